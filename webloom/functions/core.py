@@ -20,8 +20,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ends_with_any(value: Column, endings: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for ending in endings:
-        hit = hit | F.endswith(value, F.lit(ending))
-    return hit
+def bound(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """Like :func:`let`, but a plain column name needs no binding.
+
+    Functions that mention their argument often go through this. A filter on a derived column is pushed down with
+    the column's whole expression put in place of its name, so the expression must not be copied at every mention.
+    """
+    return body(F.col(value)) if isinstance(value, str) else let(value, body)
+
+
+def ends_with_any(value: Column | str, endings: tuple[str, ...]) -> Column:
+    def test(text: Column) -> Column:
+        hit = F.lit(False)
+        for ending in endings:
+            hit = hit | F.endswith(text, F.lit(ending))
+        return hit
+
+    return bound(value, test)

@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import as_col, let
+from .core import as_col, bound, let
 from .urls import basename, url_path
 
 # One attribute: a name, optionally followed by "=" and a value that is quoted or bare.
@@ -74,18 +74,19 @@ _COMMON = ("lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "hellip"
 
 def unescape(text: Column | str) -> Column:
     """Decode character references. Strings without ``&`` pass through untouched."""
-    value = as_col(text)
-    parts = F.split(value, _REFERENCE, -1)
-    refs = F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0))
-    decoded = F.array_join(
-        F.zip_with(
-            parts,
-            refs,
-            lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _named_or_number(ref))),
-        ),
-        "",
-    )
-    return F.when(value.rlike(_REFERENCE), decoded).otherwise(value)
+
+    def decode(value: Column) -> Column:
+        decoded = F.array_join(
+            F.zip_with(
+                F.split(value, _REFERENCE, -1),
+                F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0)),
+                lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _named_or_number(ref))),
+            ),
+            "",
+        )
+        return F.when(value.rlike(_REFERENCE), decoded).otherwise(value)
+
+    return bound(text, decode)
 
 
 def _named_or_number(ref: Column) -> Column:
@@ -113,15 +114,18 @@ def attr_token(attrs: Column, name: str) -> Column:
 def token_value(token: Column) -> Column:
     """Decoded value of an attribute token; a bare attribute is an empty string."""
     raw = F.regexp_extract(token, r"(?s)^[^=]*=\s*(.*)\z", 1)
-    quoted = F.substring(raw, 1, 1).isin('"', "'")
-    return unescape(F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+    return unescape(F.regexp_replace(raw, r"""(?s)^(?:"(.*)"|'(.*)')\z""", "$1$2"))
 
 
 def attr_value(attrs: Column, name: str) -> Column:
-    return F.when(
-        # One quoted attribute and nothing else: no need to split into tokens.
-        attrs.rlike(rf"""(?i)^\s*{name}="[^"&]*"\s*\z"""), F.regexp_extract(attrs, r'"([^"]*)"', 1)
-    ).otherwise(let(attr_token(attrs, name), lambda token: F.when(token.isNotNull(), token_value(token))))
+    # One quoted attribute and nothing else: no need to split into tokens.
+    alone = rf"""(?i)^\s*{name}="[^"&]*"\s*\z"""
+    return let(
+        attrs,
+        lambda text: F.when(text.rlike(alone), F.regexp_extract(text, r'"([^"]*)"', 1)).otherwise(
+            let(attr_token(text, name), lambda token: F.when(token.isNotNull(), token_value(token)))
+        ),
+    )
 
 
 def extract_anchors(html: Column | str) -> Column:

@@ -11,10 +11,9 @@ from .urls import is_internal
 
 def is_asset_url(url: Column | str, asset_types: tuple[str, ...], strip_query: bool = False) -> Column:
     """The URL string ends with an allowed extension. Case counts, and so does a query unless it is stripped."""
-    u = as_col(url)
     if strip_query:
-        u = F.regexp_replace(u, r"(?s)[?#].*\z", "")
-    return ends_with_any(u, asset_types)
+        url = F.regexp_replace(as_col(url), r"(?s)[?#].*\z", "")
+    return ends_with_any(url, asset_types)
 
 
 def is_excluded(url: Column | str, patterns: tuple[str, ...]) -> Column:
@@ -39,7 +38,7 @@ def is_html(content_type: Column | str) -> Column:
 
 def content_type_gate(content_type: Column | str, url: Column | str, url_endings: tuple[str, ...] = ()) -> Column:
     """HTML, or a URL with one of the endings that the layout keeps whatever the header says."""
-    return F.coalesce(is_html(content_type), F.lit(False)) | ends_with_any(as_col(url), url_endings)
+    return F.coalesce(is_html(content_type), F.lit(False)) | ends_with_any(url, url_endings)
 
 
 def response_ok(status: Column | str) -> Column:

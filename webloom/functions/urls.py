@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import as_col, let
+from .core import as_col, bound, let
 
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
@@ -36,19 +36,29 @@ def strip_fragment(url: Column | str) -> Column:
 
 def canonicalize_url(url: Column | str, strip_slash: bool = False) -> Column:
     """Canonical form, or NULL. ``strip_slash`` also removes one trailing slash (never the root slash)."""
-    raw = as_col(url)
+    return bound(url, lambda raw: _canonical(raw, strip_slash))
+
+
+def _canonical(raw: Column, strip_slash: bool) -> Column:
     # Most URLs are canonical already: one test and no rewriting.
-    last = "[^?#;\t\r\n/]" if strip_slash else ""
+    last = r"[^?#;\t\r\n/]" if strip_slash else ""
     done = raw.rlike(rf"^[a-z][a-z0-9+.\-]*://[a-z0-9.:_\-]+/(?:[^?#;\t\r\n]*{last})?\z")
-    tidied = tidy_url(raw)
-    origin = F.lower(F.regexp_extract(tidied, rf"^{SCHEME}://[^/?#]+", 0))
-    path = F.regexp_extract(tidied, rf"^{SCHEME}://[^/?#]+([^?#]*)", 1)
-    has_params = F.contains(tidied, F.lit(";")) & F.substring_index(origin, ":", 1).isin(*PARAM_SCHEMES)
-    path = F.when(has_params, F.regexp_replace(path, _PARAMS_AT_END, "")).otherwise(path)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    whole = F.regexp_extract(tidy_url(raw), rf"^{SCHEME}://[^/?#]+[^?#]*", 0)
+    # Parameters of the last segment, under the schemes that have them; then the root path, then a last slash.
+    whole = F.regexp_replace(whole, rf"(?s)^((?i:{'|'.join(PARAM_SCHEMES)})://[^/]+/(?:.*/)?[^/;]*);[^/]*\z", "$1")
+    whole = F.regexp_replace(whole, r"^([^:]+://[^/]+)\z", "$1/")
     if strip_slash:
-        path = F.regexp_replace(path, r"(?s)(?<=.)/\z", "")
-    return F.when(done, raw).when(origin != "", F.concat(origin, path))
+        whole = F.regexp_replace(whole, r"(?s)^([^:]+://[^/]+/.*)/\z", "$1")
+    lowered = let(
+        whole,
+        lambda u: F.when(
+            u != "",
+            F.concat(
+                F.lower(F.regexp_extract(u, r"^[^:]+://[^/]+", 0)), F.regexp_extract(u, r"(?s)^[^:]+://[^/]+(/.*)\z", 1)
+            ),
+        ),
+    )
+    return F.when(done, raw).otherwise(lowered)
 
 
 def url_host(url: Column | str) -> Column:
@@ -62,8 +72,9 @@ def url_path(url: Column | str) -> Column:
 
 def is_internal(url: Column | str, site: Column | str) -> Column:
     """True when the host equals the site exactly. Sub-domains are external; NULL and empty URLs are not internal."""
-    u = as_col(url)
-    return F.coalesce((u != "") & (url_host(u) == as_col(site)), F.lit(False))
+    # NULL and empty URLs have no host to compare.
+    host = url_host(url)
+    return F.coalesce((host != "") & (host == as_col(site)), F.lit(False))
 
 
 # --- reference resolution -------------------------------------------------------------------------
@@ -149,11 +160,14 @@ def resolve_url(base: Column | str, ref: Column | str) -> Column:
 
 def decode_path(path: Column | str) -> Column:
     """Percent-decode. ``+`` stays ``+`` and a malformed escape stays as it is."""
-    p = as_col(path)
-    kept = F.regexp_replace(p, r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(
-        F.contains(p, F.lit("%")), F.try_url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
-    ).otherwise(p)
+
+    def decode(p: Column) -> Column:
+        kept = F.regexp_replace(p, r"%(?![0-9A-Fa-f]{2})", "%25")
+        return F.when(
+            F.contains(p, F.lit("%")), F.try_url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
+        ).otherwise(p)
+
+    return bound(path, decode)
 
 
 def basename(path: Column | str) -> Column:
@@ -162,8 +176,7 @@ def basename(path: Column | str) -> Column:
 
 def dirname(path: Column | str) -> Column:
     """Directory part. Slashes at its end are dropped, unless it consists of slashes only."""
-    head = F.regexp_extract(as_col(path), r"(?s)^(.*/)", 1)
-    return F.when(head.rlike(r"^/*\z"), head).otherwise(F.regexp_replace(head, r"/+\z", ""))
+    return F.regexp_replace(F.regexp_extract(as_col(path), r"(?s)^(.*/)", 1), r"(?<=[^/])/+\z", "")
 
 
 def has_ext(path: Column | str) -> Column:
@@ -173,11 +186,14 @@ def has_ext(path: Column | str) -> Column:
 
 def tidy_path(path: Column) -> Column:
     """Collapse repeated slashes and ``.`` segments, and drop a trailing slash."""
-    messy = path.rlike(r"//|(?:^|/)\.(?:/|\z)|/\z")
-    inner = F.regexp_replace(path, r"/(?:\.?/)+", "/")
-    return F.when(
-        messy, F.regexp_replace(F.regexp_replace(inner, r"^(?:\./)+", ""), r"/\.?\z|^\.\z", "")
-    ).otherwise(path)
+
+    def tidy(p: Column) -> Column:
+        messy = p.rlike(r"//|(?:^|/)\.(?:/|\z)|/\z")
+        inner = F.regexp_replace(p, r"/(?:\.?/)+", "/")
+        clean = F.regexp_replace(F.regexp_replace(inner, r"^(?:\./)+", ""), r"/\.?\z|^\.\z", "")
+        return F.when(messy, clean).otherwise(p)
+
+    return let(path, tidy)
 
 
 def _relative_file(url: Column | str) -> Column:
@@ -186,31 +202,35 @@ def _relative_file(url: Column | str) -> Column:
 
 def site_path(url: Column | str, root: str = "html") -> Column:
     """Generic layout: every page under ``root``, extensionless paths become folders with ``index.html``."""
-    path = _relative_file(url)
-    mapped = (
-        F.when(path == "", F.lit("index.html"))
-        .when(~has_ext(path), F.concat(path, F.lit("/index.html")))
-        .otherwise(path)
-    )
-    return tidy_path(F.concat(F.lit(root + "/"), mapped))
+
+    def mapped(path: Column) -> Column:
+        return (
+            F.when(path == "", F.lit("index.html"))
+            .when(~has_ext(path), F.concat(path, F.lit("/index.html")))
+            .otherwise(path)
+        )
+
+    return tidy_path(F.concat(F.lit(root + "/"), let(_relative_file(url), mapped)))
 
 
 def cms_path(url: Column | str, with_backup: bool = False) -> Column:
     """CMS layout: the URL's own directories, with CMS folders and root-level ``.php`` files kept as they are."""
-    path = _relative_file(url)
-    in_cms_folder = F.lit(False)
-    for folder in CMS_FOLDERS:
-        in_cms_folder = in_cms_folder | F.startswith(path, F.lit(folder))
-    mapped = (
-        F.when(path == "", F.lit("index.php"))
-        .when(in_cms_folder, path)
-        .when(F.endswith(path, F.lit(".php")) & ~F.contains(path, F.lit("/")), path)
-    )
-    if with_backup:
-        archive = F.endswith(path, F.lit(".sql")) | F.endswith(path, F.lit(".zip"))
-        mapped = mapped.when(archive, F.concat(F.lit("backup/"), basename(path)))
-    mapped = mapped.when(~has_ext(path), F.concat(path, F.lit("/index.html"))).otherwise(path)
-    return tidy_path(mapped)
+
+    def mapped(path: Column) -> Column:
+        in_cms_folder = F.lit(False)
+        for folder in CMS_FOLDERS:
+            in_cms_folder = in_cms_folder | F.startswith(path, F.lit(folder))
+        out = (
+            F.when(path == "", F.lit("index.php"))
+            .when(in_cms_folder, path)
+            .when(F.endswith(path, F.lit(".php")) & ~F.contains(path, F.lit("/")), path)
+        )
+        if with_backup:
+            archive = F.endswith(path, F.lit(".sql")) | F.endswith(path, F.lit(".zip"))
+            out = out.when(archive, F.concat(F.lit("backup/"), basename(path)))
+        return out.when(~has_ext(path), F.concat(path, F.lit("/index.html"))).otherwise(path)
+
+    return tidy_path(let(_relative_file(url), mapped))
 
 
 def relative_path(from_path: Column | str, to_path: Column | str) -> Column:
@@ -240,14 +260,16 @@ def relative_path(from_path: Column | str, to_path: Column | str) -> Column:
 
 
 def page_slug(url: Column | str) -> Column:
-    path = F.trim(url_path(url), F.lit("/"))
-    return (
-        F.when(path == "", F.lit("home"))
-        .when(path.rlike(r"(?s)[^./][^/]*\.php\z"), F.regexp_replace(path, r"\.php\z", ""))
-        .when(F.endswith(path, F.lit(".php")), path)
-        .when(~has_ext(path), basename(path))
-        .otherwise(path)
-    )
+    def slug(path: Column) -> Column:
+        return (
+            F.when(path == "", F.lit("home"))
+            .when(path.rlike(r"(?s)[^./][^/]*\.php\z"), F.regexp_replace(path, r"\.php\z", ""))
+            .when(F.endswith(path, F.lit(".php")), path)
+            .when(~has_ext(path), basename(path))
+            .otherwise(path)
+        )
+
+    return let(F.trim(url_path(url), F.lit("/")), slug)
 
 
 # --- identifiers and dates -----------------------------------------------------------------------
@@ -264,8 +286,9 @@ def asset_fallback_name(url: Column | str) -> Column:
 
 def asset_name(url: Column | str) -> Column:
     """File name of an asset: the last path segment, or a hash where the path ends in a slash."""
-    name = basename(url_path(url))
-    return F.when(name == "", asset_fallback_name(url)).otherwise(name)
+    return let(
+        basename(url_path(url)), lambda name: F.when(name == "", asset_fallback_name(url)).otherwise(name)
+    )
 
 
 def rfc822_date(ts: Column | str) -> Column:

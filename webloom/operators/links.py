@@ -33,9 +33,12 @@ from ..session import spread
 
 def with_page(page: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a canonical page URL and its parts once per row, for use by every reference in the page."""
-    parts = base_parts(page)
-    bound = F.struct(page.alias("url"), url_host(page).alias("site"), *[c.alias(k) for k, c in parts.items()])
-    return let(bound, body)
+
+    def parted(url: Column) -> Column:
+        parts = [part.alias(name) for name, part in base_parts(url).items()]
+        return let(F.struct(url.alias("url"), url_host(url).alias("site"), *parts), body)
+
+    return let(page, parted)
 
 
 def resolve_in_page(page: Column, ref: Column) -> Column:

@@ -593,4 +593,4 @@ def asset_sink(spark, sf):
 
 @query
 def stream_discover_links(spark, sf):
-    return discover.stream_discover_links(spark, f"{sf}/pages.parquet")
+    return discover.stream_discover_links(spark, sf, "pages.parquet")

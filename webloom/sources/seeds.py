@@ -5,12 +5,13 @@ Sites are rows ``sites(site, base_url)``. Path lists are literal arrays exploded
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_json_hit
-from ..functions.urls import canonicalize_url, is_internal, resolve_url, url_host
+from ..functions.urls import canonicalize_url, is_internal, url_host
 from ..operators.frontier import endpoint_semi, frontier_union
+from ..operators.links import resolve_in_page, with_page
 from ..options import POSTS_API_PATH, CrawlOptions
 from .sitemaps import sitemap_urls
 
@@ -46,10 +47,18 @@ def rest_endpoint_hits(candidates: DataFrame, responses: DataFrame) -> DataFrame
 
 def seed_paths(sites: DataFrame, paths: tuple[str, ...], strip_slash: bool = False) -> DataFrame:
     """``(site, pos, url)`` of relative paths joined to each base URL."""
-    listed = F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("pos", "path")
+
+    def joined(page: Column) -> Column:
+        return F.transform(
+            F.array(*[F.lit(path) for path in paths]),
+            lambda path: canonicalize_url(resolve_in_page(page, path), strip_slash),
+        )
+
+    # The outer form keeps the optimizer from evaluating the array twice; see operators.links.
+    listed = with_page(canonicalize_url("base_url"), joined)
     return (
-        sites.select("site", canonicalize_url("base_url").alias("base"), listed)
-        .select("site", "pos", canonicalize_url(resolve_url("base", "path"), strip_slash).alias("url"))
+        sites.select("site", listed.alias("urls"))
+        .select("site", F.posexplode_outer("urls").alias("pos", "url"))
         .filter(is_internal("url", "site"))
     )
 

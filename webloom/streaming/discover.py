@@ -15,8 +15,9 @@ _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def page_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(PAGES).parquet(path)
+def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
+    """Page files as they arrive in a folder; ``files`` is a glob over their names."""
+    return spark.readStream.schema(PAGES).option("pathGlobFilter", files).parquet(folder)
 
 
 def discover_links(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
@@ -25,8 +26,10 @@ def discover_links(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
     return found.selectExpr("site", "dst as url").dropDuplicates(["site", "url"])
 
 
-def stream_discover_links(spark: SparkSession, source: str, strip_slash: bool = False, out: str | None = None) -> DataFrame:
-    """Drain what is at ``source`` now and return all URLs discovered so far.
+def stream_discover_links(
+    spark: SparkSession, folder: str, files: str = "*.parquet", strip_slash: bool = False, out: str | None = None
+) -> DataFrame:
+    """Drain what is in the folder now and return all URLs discovered so far.
 
     Give the same ``out`` again to continue from its checkpoint.
     """
@@ -36,7 +39,7 @@ def stream_discover_links(spark: SparkSession, source: str, strip_slash: bool =
     spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
         query = (
-            discover_links(page_stream(spark, source), strip_slash)
+            discover_links(page_stream(spark, folder, files), strip_slash)
             .writeStream.format("parquet")
             .option("path", f"{out}/urls")
             .option("checkpointLocation", f"{out}/checkpoint")
