@@ -524,12 +524,15 @@ def export_cms_site(spark, sf):
 
 
 def _records(spark, sf):
-    return export.page_data(derived.pages(spark, sf), CMS_EXPORT, exportable_only=True)
+    """Exportable pages, one per canonical URL."""
+    pages = derived.pages(spark, sf)
+    chosen = captures.page_index(pages).select("page_id")
+    return export.page_data(pages, CMS_EXPORT, exportable_only=True).join(chosen, "page_id", "left_semi")
 
 
 @query
 def wxr_items(spark, sf):
-    return export.wxr_items(_records(spark, sf).dropDuplicates(["url"]).drop("content").withColumn("content", F.lit("")), AS_OF)
+    return export.wxr_items(_records(spark, sf), AS_OF)
 
 
 @query
@@ -552,7 +555,7 @@ def pages_json_export(spark, sf):
 
 @query
 def page_collection(spark, sf):
-    return export.page_data(derived.pages(spark, sf), CMS_EXPORT, exportable_only=True).groupBy("site").agg(
+    return _records(spark, sf).groupBy("site").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("title").alias("first_title"), F.max("slug").alias("last_slug")
     )
 
