@@ -135,7 +135,7 @@ LOCS = f"""locs as (select * from (
 
 
 def api_rows(paths: tuple[str, ...], first: int = 0) -> str:
-    rows = ", ".join(f"({i + first}, '{p}')" for i, p in enumerate(paths))
+    rows = ", ".join(f"(cast({i + first} as bigint), '{p}')" for i, p in enumerate(paths))
     return f"(values {rows}) p(pos, path)"
 
 
@@ -155,13 +155,13 @@ ORACLES["nonempty_loc"] = f"with {LOCS} select loc, count(*) as n from locs grou
 ORACLES["rest_endpoint_candidates"] = f"""with {SITES}
   select 'generic' as layout, site, pos, concat(origin, path) as url from sites, {api_rows(('/api/', '/data/'), 1)}
   union all select 'cms', site, pos, url from ({CMS_CANDIDATES})
-  union all select 'generic', site, 0, concat(origin, '/wp-json/wp/v2/posts') from sites where origin like '%wordpress%'"""
+  union all select 'generic', site, cast(0 as bigint), concat(origin, '/wp-json/wp/v2/posts') from sites where origin like '%wordpress%'"""
 ORACLES["rest_endpoint_hits"] = f"with {SITES}, {RESPONSES} select site, url from ({CMS_CANDIDATES}) where url in ({JSON_HITS})"
 ORACLES["endpoint_semi"] = f"""with {SITES}, {RESPONSES} select site, url from
   (select site, concat(origin, path) as url from sites, {api_rows(('/api/', '/data/'))}) where url in ({JSON_HITS})"""
 ORACLES["seed_paths"] = f"with {SITES} {CMS_SEEDS}"
 ORACLES["seed_cross"] = f"""with {SITES} select site, pos, concat(origin, path) as url
-  from sites, (values (0, '/up/'), (1, '/root.php'), (2, '/a/b'), (4, '/')) p(pos, path)"""
+  from sites, (values (cast(0 as bigint), '/up/'), (1, '/root.php'), (2, '/a/b'), (4, '/')) p(pos, path)"""
 SEED_BAG = f"""bag as (select site, concat(origin, '/') as url, 0 as source from sites
   union all select site, url, 1 from locs where url is not null
   union all select site, url, 2 from ({CMS_CANDIDATES}) where url in ({JSON_HITS})
@@ -437,8 +437,8 @@ RECORDS = rf"""records as (select page_id, {HOST} as site, {PAGE} as url, {TITLE
 ORACLES["wxr_items"] = f"""with {RECORDS}, items as (select *, cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as post_id from records)
   select site, title, url as link, 'Mon, 01 Jan 2024 00:00:00 +0000' as pub_date, 'admin' as creator, url as guid, '' as description,
   content as content_encoded, post_id, '2024-01-01 00:00:00' as post_date, '2024-01-01 00:00:00' as post_date_gmt,
-  'closed' as comment_status, 'closed' as ping_status, slug as post_name, 'publish' as status, 0 as post_parent, 0 as menu_order,
-  'page' as post_type, '' as post_password, 0 as is_sticky,
+  'closed' as comment_status, 'closed' as ping_status, slug as post_name, 'publish' as status, cast(0 as bigint) as post_parent, cast(0 as bigint) as menu_order,
+  'page' as post_type, '' as post_password, cast(0 as bigint) as is_sticky,
   row_number() over (partition by site, post_id order by url) as collision_rank from items"""
 ORACLES["wxr_channel"] = f"""with {SITES}, {RECORDS} select site, site as title, concat(origin, '/') as link,
   'Exported WordPress content' as description, 'Mon, 01 Jan 2024 00:00:00 +0000' as pub_date, 'en-US' as language, '1.2' as wxr_version
