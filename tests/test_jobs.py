@@ -1,7 +1,6 @@
 """Crawls, ranks, layouts, sinks and streams on small fixtures, against brute force."""
 
 from collections import deque
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -69,7 +68,6 @@ def test_bucketed_edges_are_not_shuffled_again(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 1
-    spark.sql(f"drop table if exists {stored._jdf.queryExecution().analyzed().toString().split('.')[-1].split('[')[0]}") if False else None
 
 
 def test_max_depth(spark):
@@ -185,7 +183,7 @@ def test_export_job(spark):
     assert page.title == "A  <" and page["content:encoded"] == "<main>m &amp; <b>n</b></main>"
     assert page.guid._VALUE == "http://s/a" and page.guid._isPermaLink is False
     assert page.pubDate == "Mon, 01 Jan 2024 00:00:00 +0000" and page["wp:post_name"] == "a"
-    assert len(items.columns) == 19 or set(items.columns) >= {"wp:post_id", "wp:status", "dc:creator"}
+    assert set(items.columns) >= {"wp:post_id", "wp:status", "dc:creator"}
     channel = spark.read.format("xml").option("rowTag", "channel").load(f"{out}/channel").first()
     assert (channel.title, channel.link, channel.language) == ("s", "http://s/", "en-US")
 
@@ -237,9 +235,7 @@ def test_stream_equals_batch_and_continues(spark):
 
 
 def test_dates(spark):
-    df = spark.createDataFrame([(datetime(2024, 2, 29, 23, 5, 6),)], "ts timestamp")
     items = export.wxr_items(
         spark.createDataFrame([("s", "u", "t", "c", "g")], "site string, url string, title string, content string, slug string"), "2024-02-29 23:05:06"
     ).first()
     assert items.pub_date == "Thu, 29 Feb 2024 23:05:06 +0000" and items.post_date == "2024-02-29 23:05:06"
-    assert df.count() == 1

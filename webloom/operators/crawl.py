@@ -23,11 +23,14 @@ def seed_level(seeds: DataFrame) -> DataFrame:
 def link_edges(links: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``edges(src, dst, pos)``: first position of each distinct link.
 
-    ``index`` keeps the links of one page per canonical URL (and only of pages that were fetched as HTML).
+    ``index`` keeps the links of one page per canonical URL (and only of pages that were fetched as HTML). Links are
+    then grouped by page as well, which the join has already placed together: one exchange does for both.
     """
+    key = ["src", "dst"]
     if index is not None:
         links = links.join(index.select("page_id"), "page_id", "left_semi")
-    return links.groupBy("src", "dst").agg(F.min("pos").cast("bigint").alias("pos"))
+        key = ["page_id", *key]
+    return links.groupBy(*key).agg(F.min("pos").cast("bigint").alias("pos")).select("src", "dst", "pos")
 
 
 def store_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -9,7 +9,6 @@ from ..functions.markup import extract_main_content, extract_title
 from ..functions.predicates import exportable_page
 from ..functions.urls import canonicalize_url, page_slug, post_id, rfc822_date, sql_date, url_host
 from ..options import CrawlOptions
-from ..session import spread
 from .links import page_path
 
 # Namespaces and constants of the export format.
@@ -30,8 +29,7 @@ CREATOR = "admin"
 def page_data(pages: DataFrame, options: CrawlOptions, exportable_only: bool = False) -> DataFrame:
     """``(page_id, site, url, title, content, slug)`` from the unchanged page text. Map-only."""
     located = (
-        spread(pages)
-        .select("page_id", canonicalize_url("url", options.strip_slash).alias("url"), "html")
+        pages.select("page_id", canonicalize_url("url", options.strip_slash).alias("url"), "html")
         .filter(F.col("url").isNotNull())
     )
     if exportable_only:

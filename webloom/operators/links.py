@@ -28,7 +28,6 @@ from ..functions.urls import (
     url_host,
 )
 from ..options import CrawlOptions
-from ..session import spread
 
 
 def with_page(page: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,7 +63,7 @@ def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool
             ),
         )
 
-    located = spread(pages).select("page_id", canonicalize_url("url", strip_slash).alias("src"), "html")
+    located = pages.select("page_id", canonicalize_url("url", strip_slash).alias("src"), "html")
     # The outer form on purpose: for the plain one the optimizer would add a filter on the array's size below
     # the explode, and so scan every page twice.
     rows = (
@@ -121,8 +120,7 @@ def asset_table(pages: DataFrame, options: CrawlOptions, saved_only: bool = True
         )
 
     rows = (
-        spread(pages)
-        .select("page_id", canonicalize_url("url", options.strip_slash).alias("src_url"), "html")
+        pages.select("page_id", canonicalize_url("url", options.strip_slash).alias("src_url"), "html")
         .select("page_id", "src_url", with_page(F.col("src_url"), assets).alias("refs"))
         .select("page_id", "src_url", F.posexplode_outer("refs").alias("pos", "ref"))
         .select("page_id", url_host("src_url").alias("site"), "src_url", "pos", "ref.*")

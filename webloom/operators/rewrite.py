@@ -10,7 +10,6 @@ from ..functions.markup import asset_attr, asset_href, between_assets, open_tag,
 from ..functions.predicates import asset_filter
 from ..functions.urls import canonicalize_url, relative_path, url_host
 from ..options import CrawlOptions
-from ..session import spread
 from .links import asset_path, page_path, resolve_in_page, with_page
 
 
@@ -65,8 +64,7 @@ def rewrite_pages(pages: DataFrame, options: CrawlOptions) -> DataFrame:
         )
 
     located = (
-        spread(pages)
-        .select("page_id", canonicalize_url("url", options.strip_slash).alias("url"), "html")
+        pages.select("page_id", canonicalize_url("url", options.strip_slash).alias("url"), "html")
         .filter(F.col("url").isNotNull())
     )
     return located.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
-from ..session import spread
+from ..sources.captures import read_pages
 
 # Pages with assets, forms and every kind of content element.
 AUG_HTML = """
@@ -92,7 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def pages_aug(spark: SparkSession, sf_dir: str) -> DataFrame:

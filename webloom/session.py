@@ -53,12 +53,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input with fewer splits than cores; leave a larger one where it is.
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on a file scan with fewer splits than cores; leave a larger one where it is.
 
-    The check is on the number of splits, so a large table is never shuffled here.
+    For plain scans only: asking for the number of splits of a plan with exchanges would run them. The check is on
+    that number, so a large table is never shuffled here.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

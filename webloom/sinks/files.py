@@ -24,6 +24,17 @@ def of_site(table: DataFrame, site: str, buckets: int = SITE_BUCKETS) -> DataFra
     return table.filter((F.col("site_bucket") == site_bucket(F.lit(site), buckets)) & (F.col("site") == site))
 
 
+def _write(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
+    """One bucket's rows go together, so a task opens few files; the rebalance splits a bucket that is too large."""
+    (
+        rows.withColumn("site_bucket", site_bucket("site", buckets))
+        .hint("rebalance", "site_bucket")
+        .write.mode(mode)
+        .partitionBy("site_bucket")
+        .parquet(path)
+    )
+
+
 def site_files_sink(files: DataFrame, path: str, buckets: int = SITE_BUCKETS) -> None:
     """Write pages; the last writer of a path wins and an earlier run is overwritten.
 
@@ -31,12 +42,7 @@ def site_files_sink(files: DataFrame, path: str, buckets: int = SITE_BUCKETS) ->
     """
     winners = path_winner(files.select("site", "path", "url", "rank")).select("site", "path", "url", "rank")
     kept = files.join(winners, ["site", "path", "url", "rank"], "left_semi")
-    (
-        kept.withColumn("site_bucket", site_bucket("site", buckets))
-        .write.mode("overwrite")
-        .partitionBy("site_bucket")
-        .parquet(path)
-    )
+    _write(kept, path, "overwrite", buckets)
 
 
 def new_assets(assets: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -50,10 +56,4 @@ def asset_sink(assets: DataFrame, path: str, existing: DataFrame | None = None,
 
     ``assets(site, path, url, rank, ...)``; ``existing`` is what an earlier run wrote to ``path``.
     """
-    (
-        new_assets(assets, existing)
-        .withColumn("site_bucket", site_bucket("site", buckets))
-        .write.mode("append")
-        .partitionBy("site_bucket")
-        .parquet(path)
-    )
+    _write(new_assets(assets, existing), path, "append", buckets)

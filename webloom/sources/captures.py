@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import content_type_gate, is_html, response_ok
 from ..functions.urls import canonicalize_url
 from ..options import CrawlOptions
-from ..functions.predicates import content_type_gate, is_html, response_ok
+from ..session import spread
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``pages(page_id, url, html)``; a few large files are spread over all cores before any page is parsed."""
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"))
 
 
 def page_index(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
