@@ -23,7 +23,13 @@ _STYLE = rf"style(?:[\s/]{_ATTRS})?+>.*?(?:</style\s*>|\z)"
 _SCRIPT = rf"script(?:[\s/]{_ATTRS})?+>.*?(?:</script\s*>|\z)"
 
 _ANCHORS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|a[\s/]({_ATTRS})>)"
-_ASSETS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|(?:link|img|source)[\s/]{_ATTRS}>)"
+_ASSET = rf"<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|(?:link|img|source)[\s/]{_ATTRS}>)"
+_ASSETS = rf"(?is){_ASSET}"
+# The whole page as asset tokens and the text between them; the whole tag as attributes and what separates them.
+# (Cut by matching and not by splitting: a split compiles its pattern anew for every value.)
+_PAGE_PIECES = rf"(?is){_ASSET}|(?:[^<]++|(?!{_ASSET})<)++"
+_TAG_PIECES = rf"""(?s){_ATTR}|[\s/=>"']++"""
+_ASSET_TAG = rf"(?is)^<(?:(?:link|img|source)[\s/]{_ATTRS}>\z|script[\s/])"
 _START_TAGS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|[a-z][^\s/>]*+(?:[\s/]{_ATTRS})?+>)"
 _INPUTS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|input[\s/]({_ATTRS})>)"
 _OPEN_SCRIPT = rf"(?is)^<script(?:[\s/]{_ATTRS})?+>"
@@ -44,32 +50,33 @@ _NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
-def _decode_reference(ref: Column) -> Column:
-    """One ``&name;`` or ``&#number;``. Unknown names stay as they are."""
-    code = (
-        F.when(
-            ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("bigint")
-        )
-        .when(ref.rlike("^&#[0-9]"), F.regexp_extract(ref, "^&#([0-9]+)", 1).cast("bigint"))
+# Numbers 0x80-0x9F stand for the Windows characters at these places.
+_C1 = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+_FROM_C1, _TO_CP1252 = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
+_VALID_CODE = r"^(?!00000000|0000[Dd][89A-Fa-f])00(?:0[0-9A-Fa-f]{5}|10[0-9A-Fa-f]{4})\z"
+
+
+def _number(ref: Column) -> Column:
+    """The character of ``&#number;``; an invalid number becomes the replacement character."""
+    digits = F.when(ref.rlike("^&#[xX]"), F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1)).otherwise(
+        F.hex(F.regexp_extract(ref, "^&#([0-9]+)", 1).cast("bigint"))
     )
-    return F.when(code.isNotNull(), _code_point(code)).otherwise(ref)
-
-
-def _code_point(code: Column) -> Column:
-    # UTF-16BE bytes of the code point; invalid numbers become the replacement character.
-    high, low = F.lit(0xD800) + (code - 0x10000).bitwiseAND(F.lit(0xFFC00)) / 1024, F.lit(0xDC00) + (
-        code - 0x10000
-    ).bitwiseAND(F.lit(0x3FF))
-    wide = F.concat(F.lpad(F.hex(high.cast("bigint")), 4, "0"), F.lpad(F.hex(low), 4, "0"))
-    narrow = F.lpad(F.hex(code), 4, "0")
-    invalid = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.when(invalid, F.lit("�")).otherwise(
-        F.decode(F.unhex(F.when(code > 0xFFFF, wide).otherwise(narrow)), "UTF-16BE")
+    return let(
+        F.lpad(digits, 8, "0"),
+        lambda code: F.when(
+            code.rlike(_VALID_CODE), F.translate(F.decode(F.unhex(code), "UTF-32"), _FROM_C1, _TO_CP1252)
+        ).otherwise(F.lit("\ufffd")),
     )
 
 
-# Names seen in almost every page, decoded by plain replacement. "&amp;" goes last, so it is not decoded twice.
-_COMMON = ("lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "hellip", "mdash", "ndash", "amp")
+def _character(ref: Column) -> Column:
+    """One ``&name;`` or ``&#number;``. Unknown names stay as they are."""
+    names = sorted(_NAMED)
+    table = F.map_from_arrays(
+        F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\u0000".join(_NAMED[n] for n in names)), "\u0000")
+    )
+    named = F.try_element_at(table, F.substr(ref, F.lit(2), F.length(ref) - 2))
+    return F.when(F.startswith(ref, F.lit("&#")), _number(ref)).otherwise(F.coalesce(named, ref))
 
 
 def unescape(text: Column | str) -> Column:
@@ -80,27 +87,15 @@ def unescape(text: Column | str) -> Column:
             F.zip_with(
                 F.split(value, _REFERENCE, -1),
                 F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0)),
-                lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _named_or_number(ref))),
+                lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _character(ref))),
             ),
             "",
         )
-        return F.when(value.rlike(_REFERENCE), decoded).otherwise(value)
+        return F.when(F.contains(value, F.lit("&")), decoded).otherwise(value)
 
     return bound(text, decode)
 
 
-def _named_or_number(ref: Column) -> Column:
-    hit = F.when(ref == "&amp;", F.lit("&"))
-    for name in _COMMON[:-1]:
-        hit = hit.when(ref == f"&{name};", F.lit(_NAMED[name]))
-    names = sorted(_NAMED)
-    table = F.map_from_arrays(
-        F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\u0000".join(_NAMED[n] for n in names)), "\u0000")
-    )
-    named = F.try_element_at(table, F.regexp_extract(ref, "^&(.*);$", 1))
-    return hit.when(F.startswith(ref, F.lit("&#")), _decode_reference(ref)).otherwise(F.coalesce(named, ref))
-
-
 # --- tags and attributes --------------------------------------------------------------------------
 
 
@@ -141,9 +136,14 @@ def scan_assets(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_ASSETS), F.lit(0))
 
 
-def between_assets(html: Column) -> Column:
-    """The text before, between and after the tokens of :func:`scan_assets`."""
-    return F.split(html, _ASSETS, -1)
+def page_pieces(html: Column) -> Column:
+    """The page cut into asset tokens and the text between them, nothing left out."""
+    return F.regexp_extract_all(html, F.lit(_PAGE_PIECES), F.lit(0))
+
+
+def is_asset_tag(piece: Column) -> Column:
+    """True for a piece that is an asset tag, or a script with attributes (together with its body)."""
+    return F.startswith(piece, F.lit("<")) & piece.rlike(_ASSET_TAG)
 
 
 def open_tag(token: Column) -> Column:
@@ -189,22 +189,15 @@ def extract_asset_refs(html: Column | str) -> Column:
 def replace_attr(tag_text: Column, name: Column, value: Column) -> Column:
     """The start tag with the value of one attribute replaced, and everything else byte for byte the same."""
     escaped = F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    token = F.concat(name, F.lit('="'), escaped, F.lit('"'))
-    texts = F.split(tag_text, _ATTR, -1)
-    tokens = F.regexp_extract_all(tag_text, F.lit(_ATTR), F.lit(0))
-    # array_join drops NULL: the last text has no token after it.
-    return F.array_join(
-        F.zip_with(
-            texts,
-            tokens,
-            lambda text, old: F.concat(
-                text,
-                F.when(old.isNull(), F.lit(""))
-                .when(F.lower(F.regexp_extract(old, r"^[^\s=]+", 0)) == name, token)
-                .otherwise(old),
+    return let(
+        F.concat(name, F.lit('="'), escaped, F.lit('"')),
+        lambda token: F.array_join(
+            F.transform(
+                F.regexp_extract_all(tag_text, F.lit(_TAG_PIECES), F.lit(0)),
+                lambda old: F.when(F.lower(F.regexp_extract(old, r"^[^\s=]+", 0)) == name, token).otherwise(old),
             ),
+            "",
         ),
-        "",
     )
 
 
@@ -272,40 +265,50 @@ def _hidden_inputs(form: Column) -> Column:
 CONTENT_SELECTORS = ("main", "article", "#content", ".content", ".entry-content", "body")
 
 
-def _has_class(attrs: Column, name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attr_value(attrs, "class"), F.lit("")), r"\s+"), name)
+_SKIP = rf"(?:[^<]++|<(?:{_COMMENT}|{_STYLE}|{_SCRIPT})"
 
 
-def _start_tag_for(html: Column, selector: str) -> Column:
-    """Name and text of the first start tag that matches, as a struct; NULL when none does."""
-    if selector[0] not in "#.":
-        rx = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|({selector})(?:[\s/]{_ATTRS})?+>)"
-        tags = F.filter(F.regexp_extract_all(html, F.lit(rx), F.lit(0)), lambda t: t.rlike(rf"(?i)^<{selector}"))
-        gate = html.rlike(rf"(?i)<{selector}[\s/>]")
-    else:
-        word = selector[1:]
-        kind = "id" if selector[0] == "#" else "class"
+def _hit(selector: str, text: Column, whole: Column) -> Column:
+    return F.struct(F.lit(selector).alias("selector"), text.alias("text"), whole.alias("whole"))
 
-        def matches(tag: Column) -> Column:
-            attrs = _tag_attrs(tag)
-            test = attr_value(attrs, "id") == word if kind == "id" else _has_class(attrs, word)
-            return tag.rlike(rf"(?i)^<[a-z].*\b{kind}\b") & ~tag.rlike("(?i)^<(?:script|style)") & test
 
-        tags = F.filter(F.regexp_extract_all(html, F.lit(_START_TAGS), F.lit(0)), lambda t: F.coalesce(matches(t), F.lit(False)))
-        gate = html.rlike(rf"""(?is)\b{kind}\s*=\s*["']?[^"'>]*\b{word}\b""")
-    first = F.get(tags, F.lit(0))
+def _tag_hit(html: Column, selector: str) -> Column:
+    """First element of this name: the ``whole`` of it where one pass can tell, else the ``text`` of its start tag."""
+    start = rf"(?is)^{_SKIP}|<(?!{selector}[\s/>]))*+(<{selector}(?:[\s/]{_ATTRS})?+"
+    first = start + ">)"
+    # Closed, and no element of the same name inside.
+    plain = rf"{start}(?<!/)>{_SKIP}|<(?!/?{selector}[\s/>]))*+</{selector}\s*+>)"
+    none = F.lit("")
     return F.when(
-        gate,
+        html.rlike(rf"(?i)<{selector}[\s/>]"),
         let(
-            first,
-            lambda t: F.when(
-                t.isNotNull(),
-                F.struct(F.lower(F.regexp_extract(t, r"^<([A-Za-z][^\s/>]*)", 1)).alias("name"), t.alias("text")),
+            F.regexp_extract(html, plain, 1),
+            lambda whole: F.when(whole != "", _hit(selector, none, whole)).otherwise(
+                let(F.regexp_extract(html, first, 1), lambda text: F.when(text != "", _hit(selector, text, none)))
             ),
         ),
     )
 
 
+def _attr_hit(html: Column, selector: str) -> Column:
+    """First start tag with this id or class."""
+    word = selector[1:]
+    kind = "id" if selector[0] == "#" else "class"
+
+    def matches(tag: Column) -> Column:
+        value = attr_value(_tag_attrs(tag), kind)
+        test = value == word if kind == "id" else F.array_contains(F.split(value, r"\s+"), word)
+        is_tag = tag.rlike(rf"(?is)^<[a-z].*\b{kind}\b") & ~tag.rlike("(?i)^<(?:script|style)")
+        return F.coalesce(is_tag & test, F.lit(False))
+
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_START_TAGS), F.lit(0)), matches)
+    # Few pages pass the first test; only those are cut into tags.
+    return F.when(
+        html.rlike(rf"""(?i)\b{kind}\s*=\s*["']?[^"'>]*\b{word}\b"""),
+        let(F.get(tags, F.lit(0)), lambda text: F.when(text.isNotNull(), _hit(selector, text, F.lit("")))),
+    )
+
+
 def _outer_html(html: Column, start: Column) -> Column:
     """Source slice from a start tag to its matching end tag.
 
@@ -369,26 +372,14 @@ def _balanced(html: Column, start: Column, rx: Column) -> Column:
     return F.when(alone, start["text"]).otherwise(let(scan, slice_out))
 
 
-def _element(html: Column, selector: str) -> Column:
-    """Outer HTML of the selector's first hit, or NULL."""
-    general = let(
-        _start_tag_for(html, selector), lambda start: F.when(start.isNotNull(), _outer_html(html, start))
-    )
-    if selector[0] in "#.":
-        return general
-    # The common shape in one pass: closed, and no element of the same name inside.
-    skip = rf"(?:[^<]++|<(?:{_COMMENT}|{_STYLE}|{_SCRIPT})"
-    plain = (
-        rf"(?is)^{skip}|<(?!{selector}[\s/>]))*+"
-        rf"(<{selector}(?:[\s/]{_ATTRS})?+(?<!/)>{skip}|<(?!/?{selector}[\s/>]))*+</{selector}\s*+>)"
-    )
-    return F.when(
-        html.rlike(rf"(?i)<{selector}[\s/>]"),
-        let(F.regexp_extract(html, plain, 1), lambda found: F.when(found != "", found).otherwise(general)),
-    )
-
-
 def extract_main_content(html: Column | str) -> Column:
     """Outer HTML of the first content selector that has a hit, in order of preference; else an empty string."""
     h = as_col(html)
-    return F.coalesce(*[_element(h, selector) for selector in CONTENT_SELECTORS], F.lit(""))
+    hits = [_attr_hit(h, s) if s[0] in "#." else _tag_hit(h, s) for s in CONTENT_SELECTORS]
+
+    def cut(hit: Column) -> Column:
+        name = F.lower(F.regexp_extract(hit["text"], r"^<([A-Za-z][^\s/>]*)", 1))
+        start = F.struct(name.alias("name"), hit["text"].alias("text"))
+        return F.when(hit["whole"] != "", hit["whole"]).otherwise(let(start, lambda tag: _outer_html(h, tag)))
+
+    return let(F.coalesce(*hits), lambda hit: F.when(hit.isNull(), F.lit("")).otherwise(cut(hit)))

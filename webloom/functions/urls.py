@@ -83,10 +83,12 @@ def is_internal(url: Column | str, site: Column | str) -> Column:
 def base_parts(base: Column | str) -> dict[str, Column]:
     """What resolution needs from a canonical page URL. Compute it once per page, before exploding."""
     b = as_col(base)
+    folder = F.regexp_extract(b, rf"(?s)^{SCHEME}://[^/]+(/(?:.*/)?)", 1)
     return {
         "scheme": F.regexp_extract(b, rf"^({SCHEME}):", 1),
         "root": F.regexp_extract(b, rf"^{SCHEME}://[^/]+", 0),
-        "folder": F.regexp_extract(b, rf"(?s)^{SCHEME}://[^/]+(/(?:.*/)?)", 1),
+        "folder": folder,
+        "is_plain": ~folder.rlike(r"//|/\.\.?/"),  # nothing to fold in the folder itself
     }
 
 
@@ -118,41 +120,74 @@ def _without_empty_tail(tail: Column) -> Column:
     return F.when(tail == "", tail).otherwise(F.regexp_replace(no_query, r"^([^#]*)#\z", "$1"))
 
 
-def join_reference(base: Column, parts: dict[str, Column], ref: Column, rest: Column) -> Column:
-    """Resolve ``ref`` (tidied; ``rest`` is its :func:`relative_part`) against a canonical page URL."""
-    whole = F.regexp_extract(rest, r"^[^?#]*", 0)
-    tail = _without_empty_tail(F.substr(rest, F.length(whole) + 1))
-    has_authority = rest.rlike(r"^//[^/?#]")
-    head = F.when(F.startswith(whole, F.lit("//")), F.substr(whole, F.lit(3))).otherwise(whole)
-    has_params = F.contains(head, F.lit(";"))
-    path = F.when(has_params, F.regexp_replace(head, _PARAMS_AT_END, "")).otherwise(head)
-    params = F.when(has_params, F.regexp_extract(head, r";[^/]*\z", 0)).otherwise(F.lit(""))
-    params = F.when(params == ";", F.lit("")).otherwise(params)
-    merged = F.when(F.startswith(path, F.lit("/")), path).otherwise(
-        F.regexp_replace(F.concat(parts["folder"], path), r"/{2,}", "/")
+def _join_path(base: Column, parts: Column | dict[str, Column], whole: Column, tail: Column) -> Column:
+    """Join a reference without authority: ``whole`` is its path with parameters, ``tail`` its query and fragment."""
+
+    def joined(cut: Column) -> Column:
+        path, params = cut["path"], cut["params"]
+        merged = F.when(F.startswith(path, F.lit("/")), path).otherwise(
+            F.regexp_replace(F.concat(parts["folder"], path), r"/{2,}", "/")
+        )
+        clean = let(merged, lambda m: F.when(m.rlike(_DOT_SEGMENT), remove_dot_segments(m)).otherwise(m))
+        return F.when((path == "") & (params == ""), F.concat(base, tail)).otherwise(
+            F.concat(parts["root"], clean, params, tail)
+        )
+
+    local = F.regexp_replace(whole, r"^//", "")  # an empty authority
+    return let(
+        local,
+        lambda head: let(
+            F.when(
+                F.contains(head, F.lit(";")),
+                F.struct(
+                    F.regexp_replace(head, _PARAMS_AT_END, "").alias("path"),
+                    F.regexp_replace(F.regexp_extract(head, r";[^/]*\z", 0), r"^;\z", "").alias("params"),
+                ),
+            ).otherwise(F.struct(head.alias("path"), F.lit("").alias("params"))),
+            joined,
+        ),
     )
-    clean = F.when(merged.rlike(_DOT_SEGMENT), remove_dot_segments(merged)).otherwise(merged)
-    other_scheme = ref.rlike(rf"^{SCHEME}:") & ~F.startswith(
-        F.lower(ref), F.concat(parts["scheme"], F.lit(":"))
+
+
+# Shapes with nothing to fold, cut or drop: a path from the root, and one from the page's folder.
+_PLAIN_ROOTED = r"(?s)^/(?!/|\.\.?(?:/|\z))(?!.*/\.\.?(?:/|\z))[^;?#]*\z"
+_PLAIN_RELATIVE = r"(?s)^(?![./])(?!.*(?:/\.\.?(?:/|\z)|//))[^:;?#]+\z"
+
+
+def join_reference(base: Column, parts: Column | dict[str, Column], ref: Column, rest: Column) -> Column:
+    """Resolve ``ref`` (tidied; ``rest`` is its :func:`relative_part`) against a canonical page URL."""
+    other_scheme = ref.rlike(rf"^{SCHEME}:") & ~F.startswith(F.lower(ref), F.concat(parts["scheme"], F.lit(":")))
+    general = let(
+        F.regexp_extract(rest, r"^[^?#]*", 0),
+        lambda whole: let(
+            _without_empty_tail(F.substr(rest, F.length(whole) + 1)),
+            lambda tail: F.when(
+                F.startswith(whole, F.lit("//")) & (F.length(whole) > 2) & (F.substr(whole, F.lit(3), F.lit(1)) != "/"),
+                F.concat(parts["scheme"], F.lit(":"), whole, tail),
+            ).otherwise(_join_path(base, parts, whole, tail)),
+        ),
     )
-    # The commonest shape first: a root-relative path with nothing to fold, cut or drop.
     return (
-        F.when(rest.rlike(r"^/[^/.;?#][^.;?#]*\z"), F.concat(parts["root"], rest))
+        F.when(rest.rlike(_PLAIN_ROOTED), F.concat(parts["root"], rest))
+        .when(parts["is_plain"] & rest.rlike(_PLAIN_RELATIVE), F.concat(parts["root"], parts["folder"], rest))
         .when(other_scheme, ref)
-        .when(has_authority, F.concat(parts["scheme"], F.lit(":"), whole, tail))
-        .when((path == "") & (params == ""), F.concat(base, tail))
-        .otherwise(F.concat(parts["root"], clean, params, tail))
+        .otherwise(general)
     )
 
 
 def resolve_url(base: Column | str, ref: Column | str) -> Column:
-    """One-expression form. Tables of references should use ``operators.links.resolve_references`` instead."""
-    b = as_col(base)
-    parts = base_parts(b)
-    return let(
-        tidy_url(ref),
-        lambda r: let(relative_part(parts["scheme"], r), lambda rest: join_reference(b, parts, r, rest)),
-    )
+    """Absolute URL of a reference found in the canonical page URL ``base``."""
+
+    def resolved(b: Column) -> Column:
+        parts = F.struct(*[part.alias(name) for name, part in base_parts(b).items()])
+        return let(
+            parts,
+            lambda p: let(
+                tidy_url(ref), lambda r: let(relative_part(p["scheme"], r), lambda rest: join_reference(b, p, r, rest))
+            ),
+        )
+
+    return bound(base, resolved)
 
 
 # --- paths ---------------------------------------------------------------------------------------

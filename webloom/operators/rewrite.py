@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import let
-from ..functions.markup import asset_attr, asset_href, between_assets, open_tag, replace_attr, scan_assets, tag_name
+from ..functions.markup import asset_attr, asset_href, is_asset_tag, open_tag, page_pieces, replace_attr, tag_name
 from ..functions.predicates import asset_filter
 from ..functions.urls import canonicalize_url, relative_path, url_host
 from ..options import CrawlOptions
@@ -34,32 +34,19 @@ def rewrite_pages(pages: DataFrame, options: CrawlOptions) -> DataFrame:
             lambda href: F.when(href.isNull(), tag_text).otherwise(let(resolve_in_page(page, href), replaced)),
         )
 
-    def new_token(page: Column, path: Column, token: Column) -> Column:
-        start = open_tag(token)
-        return (
-            F.when(token.rlike("(?i)^<(?:!|style)"), token)
-            .when(
-                F.lower(F.substring(token, 1, 7)) == "<script",
-                let(
-                    start,
-                    lambda s: F.concat(new_tag(page, path, s), F.substr(token, F.length(s) + 1)),
-                ),
-            )
-            .otherwise(new_tag(page, path, token))
+    def new_piece(page: Column, path: Column, piece: Column) -> Column:
+        # Of a script only the start tag changes; other asset pieces are start tags as a whole.
+        changed = let(
+            open_tag(piece),
+            lambda start: F.concat(new_tag(page, path, start), F.substr(piece, F.length(start) + 1)),
         )
+        return F.when(is_asset_tag(piece), changed).otherwise(piece)
 
     def content(page: Column) -> Column:
         return let(
             page_path(page["url"], options),
             lambda path: F.array_join(
-                F.zip_with(
-                    between_assets(F.col("html")),
-                    scan_assets(F.col("html")),
-                    lambda text, token: F.concat(
-                        text, F.when(token.isNull(), F.lit("")).otherwise(new_token(page, path, token))
-                    ),
-                ),
-                "",
+                F.transform(page_pieces(F.col("html")), lambda piece: new_piece(page, path, piece)), ""
             ),
         )
 

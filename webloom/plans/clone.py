@@ -46,7 +46,7 @@ def crawl_sites(
     seeds = seed_queue(sites, options, sitemaps, responses)
     visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
     ranked = written(crawl_rank(visited).drop("order"), "ranked")
-    log = fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options)
+    log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options), "log")
     return SiteCrawl(sites, index, ranked, log)
 
 
