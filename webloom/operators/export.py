@@ -53,7 +53,7 @@ def with_collision_rank(items: DataFrame, id_col: str = "post_id") -> DataFrame:
 
 def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
     """One export item per page record, flat; :func:`wxr_item_columns` gives the XML names."""
-    ts = F.lit(as_of).cast("timestamp")
+    ts = F.lit(as_of).cast("timestamp_ntz")
     items = records.select(
         "site",
         "title",
@@ -116,7 +116,7 @@ def wxr_channel(sites: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
         F.regexp_extract("base_url", r"^[^:/]+://([^/?#]*)", 1).alias("title"),
         F.col("base_url").alias("link"),
         F.lit(CHANNEL_DESCRIPTION).alias("description"),
-        rfc822_date(F.lit(as_of).cast("timestamp")).alias("pub_date"),
+        rfc822_date(F.lit(as_of).cast("timestamp_ntz")).alias("pub_date"),
         F.lit(LANGUAGE).alias("language"),
         F.lit(WXR_VERSION).alias("wxr_version"),
     )

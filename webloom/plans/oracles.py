@@ -207,9 +207,10 @@ _PATHS = listed([
 ])
 _U = "concat('http://h.example', v)"
 ORACLES["decode_path"] = f"select page_id, i, url_decode(v) as decoded from {_PATHS}"
-ORACLES["path_parts"] = rf"""select page_id, i, regexp_extract(v, '[^/]*\z') as basename,
-  case when regexp_matches(h, '^/*\z') then h else regexp_replace(h, '/+\z', '') end as dirname, {has_ext('v')} as has_ext
+ORACLES["basename"] = rf"select page_id, i, regexp_extract(v, '[^/]*\z') as name from {_PATHS}"
+ORACLES["dirname"] = rf"""select page_id, i, case when regexp_matches(h, '^/*\z') then h else regexp_replace(h, '/+\z', '') end as folder
   from (select *, regexp_extract(v, '(?s)^(.*/)', 1) h from {_PATHS})"""
+ORACLES["has_ext"] = f"select page_id, i, {has_ext('v')} as has_ext from {_PATHS}"
 ORACLES["site_path"] = f"select page_id, i, {site_path(_U)} as path from {_PATHS}"
 ORACLES["cms_path"] = f"select page_id, i, {cms_path(_U)} as path, {cms_path(_U, True)} as backup_path from {_PATHS}"
 ORACLES["relative_path"] = f"""select page_id, i, case when i%2=0 then 'f.css' else concat('../../wp-content/x/', page_id, '/f.css') end as rel
@@ -218,8 +219,8 @@ ORACLES["page_slug"] = f"select page_id, i, {slug(_U)} as slug from {_PATHS}"
 ORACLES["post_id"] = f"select page_id, cast('0x' || substr(md5({PAGE}), 1, 8) as bigint) % 1000000 as post_id from pages"
 ORACLES["asset_fallback_name"] = rf"""select page_id, i, case when regexp_extract(v, '[^/]*\z') = ''
   then concat('asset_', substr(md5({_U}), 1, 16)) else regexp_extract(v, '[^/]*\z') end as name from {_PATHS}"""
-ORACLES["export_dates"] = """select event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') as rfc822,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') as sql from events"""
+ORACLES["rfc822_date"] = "select event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') as date from events"
+ORACLES["sql_date"] = "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as date from events"
 
 # --- extraction -----------------------------------------------------------------------------------
 

@@ -167,15 +167,18 @@ def decode_path(spark, sf):
 
 
 @query
-def path_parts(spark, sf):
-    """``basename``, ``dirname`` and ``has_ext``."""
-    return _path_mix(spark, sf).select(
-        "page_id",
-        big("i"),
-        urls.basename("path").alias("basename"),
-        urls.dirname("path").alias("dirname"),
-        urls.has_ext("path").alias("has_ext"),
-    )
+def basename(spark, sf):
+    return _path_mix(spark, sf).select("page_id", big("i"), urls.basename("path").alias("name"))
+
+
+@query
+def dirname(spark, sf):
+    return _path_mix(spark, sf).select("page_id", big("i"), urls.dirname("path").alias("folder"))
+
+
+@query
+def has_ext(spark, sf):
+    return _path_mix(spark, sf).select("page_id", big("i"), urls.has_ext("path").alias("has_ext"))
 
 
 @query
@@ -222,10 +225,13 @@ def asset_fallback_name(spark, sf):
 
 
 @query
-def export_dates(spark, sf):
-    """``rfc822_date`` and ``sql_date``."""
-    events = derived.table(spark, sf, "events")
-    return events.select("event_id", urls.rfc822_date("ts").alias("rfc822"), urls.sql_date("ts").alias("sql"))
+def rfc822_date(spark, sf):
+    return derived.table(spark, sf, "events").select("event_id", urls.rfc822_date("ts").alias("date"))
+
+
+@query
+def sql_date(spark, sf):
+    return derived.table(spark, sf, "events").select("event_id", urls.sql_date("ts").alias("date"))
 
 
 # --- extraction -----------------------------------------------------------------------------------
