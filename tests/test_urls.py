@@ -4,6 +4,8 @@ import posixpath
 import random
 from urllib.parse import unquote, urldefrag, urljoin, urlparse, urlunparse
 
+from pyspark.sql import functions as F
+
 from webloom.functions import urls as U
 
 
@@ -68,6 +70,20 @@ def test_resolve(spark):
         assert r.c == expected_canonical(want), (r.base, r.ref)
 
 
+def test_canonical_paths_need_no_resolving(spark):
+    refs = REFS + ["/", "/a/", "/a/b.html", "/a.b/../c", "/a/.hidden", "/é b", "/a\tb", "/%2e%2e/x", "/..a/b..", "/a//b"]
+    for strip in (False, True):
+        rows = (
+            spark.createDataFrame([(r,) for r in refs], "ref string")
+            .filter(U.is_canonical_path(F.col("ref"), strip))
+            .select("ref", F.concat(F.lit("http://h.example"), "ref").alias("fast"))
+            .collect()
+        )
+        assert {"/", "/a/b.html", "/a/.hidden", "/..a/b.."} <= {r.ref for r in rows}
+        for r in rows:
+            assert r.fast == expected_canonical(urljoin("http://h.example/x/y", r.ref), strip)
+
+
 def test_relative_path(spark):
     pairs = [
         ("html/a/b.html", "css/x.css"), ("index.php", "a/b"), ("a/b/c", "a/b/c"), ("a/b/c", "a/b"), ("a/b/c", "a/d/e/f"),

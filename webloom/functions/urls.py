@@ -175,6 +175,12 @@ def join_reference(base: Column, parts: Column | dict[str, Column], ref: Column,
     )
 
 
+def is_canonical_path(ref: Column, strip_slash: bool = False) -> Column:
+    """True where page root + reference is the canonical target already: the usual link from the root of a site."""
+    last = r"[^;?#\t\r\n/]" if strip_slash else ""
+    return ref.rlike(rf"(?s)^/(?!/|\.\.?(?:/|\z))(?!.*/\.\.?(?:/|\z))(?:[^;?#\t\r\n]*{last})?\z")
+
+
 def resolve_url(base: Column | str, ref: Column | str) -> Column:
     """Absolute URL of a reference found in the canonical page URL ``base``."""
 

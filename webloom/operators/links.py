@@ -19,6 +19,7 @@ from ..functions.urls import (
     base_parts,
     canonicalize_url,
     cms_path,
+    is_canonical_path,
     is_internal,
     join_reference,
     relative_part,
@@ -54,13 +55,13 @@ def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool
     ``dst`` is canonical, NULL for references that are not crawlable (kept only without ``internal_only``).
     """
 
+    def target(page: Column, href: Column) -> Column:
+        general = canonicalize_url(resolve_in_page(page, href), strip_slash)
+        return F.when(is_canonical_path(href, strip_slash), F.concat(page["root"], href)).otherwise(general)
+
     def links(page: Column) -> Column:
         return F.transform(
-            extract_anchors("html"),
-            lambda href: let(
-                resolve_in_page(page, href),
-                lambda url: F.struct(href.alias("href"), canonicalize_url(url, strip_slash).alias("dst")),
-            ),
+            extract_anchors("html"), lambda href: F.struct(href.alias("href"), target(page, href).alias("dst"))
         )
 
     located = pages.select("page_id", canonicalize_url("url", strip_slash).alias("src"), "html")
