@@ -36,7 +36,8 @@ def link_edges(links: DataFrame, index: DataFrame | None = None) -> DataFrame:
 def store_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
     """Write the link table once for all levels.
 
-    With ``buckets`` it is bucketed by source page, so no level shuffles it again; worth it for long crawls.
+    With ``buckets`` it is bucketed by source page, so no level shuffles it again; worth it for long crawls. It is
+    then an external table of the session's catalog (``webloom_edges_...``) with its files in the shared folder.
     """
     if not buckets:
         return written(edges, "edges")
