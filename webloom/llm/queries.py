@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import bpe, decontaminate, quality_rules
+from . import bpe, decontaminate, ngram_join, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,8 @@ def op9_quality_rules(spark, sf):
 @query
 def op10_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), BYTE_BPE)
+
+
+@query
+def op6_ngram_join(spark, sf):
+    return ngram_join.self_join(table(spark, sf, "documents"), words=4, percent=85)
