@@ -25,12 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 from . import text as tx
 from .graph import components
+from .sieve import wanted_texts
 
 CELLS = 1 << 18  #: of the hotness sketch; broadcast, 256 kB
 CELL_BLOCK = 1 << 10
@@ -38,7 +39,6 @@ HOT_FACTOR = 1.5  #: times the median cell
 GROUPS = 64  #: coordinates of the vectors in the tree
 FANOUT = 16
 BLOCK = 4096  #: vectors per tree
-SIEVE_BITS = 1 << 24
 LEAST = 4  #: hash orders of the first pass
 
 
@@ -285,31 +285,6 @@ def bounded(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "n1", "n2", "v1", "v2").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sieve(spark: SparkSession, ids: DataFrame) -> object:
-    """A fixed-size bit set that holds the given identifiers and some others: it spares moving texts nobody asks for."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)) + 1
-    parts = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    whole = np.zeros(SIEVE_BITS, bool)
-    for k, bits in parts.collect():  # at most SIEVE_BITS bits
-        span = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
-        whole[(k - 1) * len(span) : k * len(span)] = span
-    return spark.sparkContext.broadcast(np.packbits(whole))
-
-
-def wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, text`` of about the rows asked for (a superset), without a shuffle."""
-    sent = _sieve(docs.sparkSession, ids)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
-        for batch in batches:
-            kept = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
-            yield kept.select([0, 1])
-
-    slot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS))
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), slot.alias("slot")).mapInArrow(run, "doc_id bigint, text string")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link by their sets."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import bpe, decontaminate, ngram_join, quality_rules
+from . import bpe, decontaminate, ngram_join, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,8 @@ def op10_bpe(spark, sf):
 @query
 def op6_ngram_join(spark, sf):
     return ngram_join.self_join(table(spark, sf, "documents"), words=4, percent=85)
+
+
+@query
+def op7_suffix_dedup(spark, sf):
+    return suffix_dedup.digest(table(spark, sf, "documents"), length=400)
