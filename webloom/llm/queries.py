@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import written
-from . import bpe, decontaminate, ngram_join, quality_rules, suffix_dedup
+from . import bpe, decontaminate, ngram_join, quality_gam, quality_rules, suffix_dedup, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +50,31 @@ def op6_ngram_join(spark, sf):
 @query
 def op7_suffix_dedup(spark, sf):
     return suffix_dedup.digest(table(spark, sf, "documents"), length=400)
+
+
+@query
+def op1_quality_gam(spark, sf):
+    return quality_gam.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+#: Given by the contract of op5.
+RULES = (
+    url_cascade.Rule("allow", "com", "/"),
+    url_cascade.Rule("block", "example.com", "/en/"),
+    url_cascade.Rule("allow", "www.example.com", "/en/"),
+    url_cascade.Rule("block", "net", "/es/"),
+    url_cascade.Rule("block", "net", "/fr/"),
+)
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_ENDINGS = ("example.com", "example.net", "example.org")
+
+
+def listed_sites(spark: SparkSession) -> DataFrame:
+    """The list of sites to block: every name under every ending."""
+    sites = [f"{name}.{ending}" for name in LISTED_NAMES for ending in LISTED_ENDINGS]
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, sites))).alias("key"))
+
+
+@query
+def op5_url_filters(spark, sf):
+    return url_cascade.judge(table(spark, sf, "pages"), RULES, listed_sites(spark))
