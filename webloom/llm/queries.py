@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import bpe, decontaminate, ngram_join, quality_gam, quality_rules, suffix_dedup, url_cascade
+from . import bpe, chat_roles, decontaminate, ngram_join, quality_gam, quality_rules, suffix_dedup, token_counts, training_order, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,18 @@ def listed_sites(spark: SparkSession) -> DataFrame:
 @query
 def op5_url_filters(spark, sf):
     return url_cascade.judge(table(spark, sf, "pages"), RULES, listed_sites(spark))
+
+
+@query
+def op2_training_order(spark, sf):
+    return training_order.materialise(table(spark, sf, "documents"), BYTE_BPE, end=50_256)
+
+
+@query
+def op3_token_counts(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op4_chat_roles(spark, sf):
+    return chat_roles.format_chats(table(spark, sf, "conversations"))
