@@ -30,6 +30,7 @@ from pathlib import Path
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -288,3 +289,25 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+
+
+def tokenized(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, ``ids``, ``n_tokens`` and ``exact``: whether decoding gives the text again."""
+    get = shipped(docs.sparkSession, path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = get()
+        decoder = Decoder(encoder.vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n = part.num_columns - 1
+                texts = [x or "" for x in part.column(n).to_pylist()]
+                ids = [encoder.encode(x) for x in texts]
+                exact = [decoder.push(i) + decoder.finish() == x for i, x in zip(ids, texts, strict=True)]
+                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=[*part.schema.names[:n], "ids", "n_tokens", "exact"])
+
+    kept = docs.select(*keep).schema
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
+    return docs.select(*keep, text).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import text as tx
 from .graph import components
-from .sieve import wanted_texts
+from .sieve import split, wanted_texts
 
 CELLS = 1 << 18  #: of the hotness sketch; broadcast, 256 kB
 CELL_BLOCK = 1 << 10
@@ -348,3 +348,15 @@ def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "do
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are the first of their component; of rows that repeat as a whole one stays."""
+    found = written(self_join(docs, words, percent, key, text), "components")
+    gone = found.filter("component_id <> doc_id").select("doc_id")
+    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    some, others = split(docs, gone.unionByName(twice), key)
+    kept = some.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    # Null identifiers can pass the sieve as well; they are not one group.
+    first = kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull()))
+    return first.unionByName(others)

@@ -266,3 +266,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     kind = measured.schema["doc_id"].dataType.simpleString()
     return measured.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score at least ``least``. They are measured again instead of shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(measure(docs, key, text), labels, label))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in tx.chunks(batch.column(place)):
+                kept = model.value.score(measure_chunk(chunk).astype(np.float32).astype(np.float64)) >= least
+                yield batch.slice(chunk.first, chunk.rows).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

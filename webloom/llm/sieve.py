@@ -27,15 +27,36 @@ def sieve(spark: SparkSession, ids: DataFrame) -> object:
     return spark.sparkContext.broadcast(np.packbits(whole))
 
 
-def wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str, others: bool = False) -> DataFrame:
-    """``doc_id, text`` of about the rows asked for (a superset), without a shuffle; or of all ``others``."""
+def split(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(about the rows whose key is among ``ids.doc_id``: a superset; all other rows), both with all columns and without a shuffle."""
     sent = sieve(docs.sparkSession, ids)
+    slot = "slot"
+    while slot in docs.columns:
+        slot += "_"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
-        for batch in batches:
-            kept = batch.filter(pa.array(bits[batch.column(2).to_numpy()] != others))
-            yield kept.select([0, 1])
+    def run(others: bool):
+        def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(sent.value).astype(bool)
+            for batch in batches:
+                n = batch.num_columns - 1
+                yield batch.filter(pa.array(bits[batch.column(n).to_numpy()] != others)).select(list(range(n)))
 
-    slot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS))
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), slot.alias("slot")).mapInArrow(run, "doc_id bigint, text string")
+        return part
+
+    marked = docs.withColumn(slot, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS)))
+    return marked.mapInArrow(run(False), docs.schema), marked.mapInArrow(run(True), docs.schema)
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, text`` of about the rows asked for (a superset), without a shuffle."""
+    return split(texts_of(docs, key, text), ids)[0]
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All rows but those whose key is among ``ids.doc_id``, with all columns; only rows that pass the sieve are shuffled."""
+    some, others = split(docs, ids, key)
+    return some.join(ids.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns).unionByName(others)

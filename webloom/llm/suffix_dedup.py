@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import text as tx
-from .sieve import wanted_texts
+from .sieve import split, texts_of, wanted_texts
 
 LENGTH = 400
 GRAM = 64
@@ -352,8 +352,8 @@ def with_spans(docs: DataFrame, length: int, key: str, text: str) -> tuple[DataF
     """(``doc_id, text, spans`` of documents that may have repeats, ``doc_id, text`` of all others)."""
     spans = written(repeated_spans(docs, length, key=key, text=text), "spans")
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    ids = spans.select("doc_id")
-    return wanted_texts(docs, ids, key, text).join(lists, "doc_id", "left"), wanted_texts(docs, ids, key, text, others=True)
+    some, others = split(texts_of(docs, key, text), spans.select("doc_id"))
+    return some.join(lists, "doc_id", "left").select("doc_id", "text", "spans"), others
 
 
 def digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,15 +381,21 @@ def digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text`` of the documents that change; bytes of a character cut in two by a removal go as well."""
+    """The documents, with all their columns, without their repeats; bytes of a character cut in two by a removal go as well."""
+    spans = written(repeated_spans(docs, length, key=key, text=text), "spans")
+    lists = spans.groupBy(F.col("doc_id").alias("own id")).agg(F.collect_list(F.struct("begin", "end")).alias("own spans"))
+    some, others = split(docs, spans.select("doc_id"), key)
+    joined = some.join(lists, F.col(key) == F.col("own id"), "left").drop("own id")
+    place = joined.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = batch.num_columns - 1
             texts = [
-                "".join(part.decode("utf-8", "ignore") for part in kept_bytes(t.as_py().encode(), _union(s.as_py())))
-                for t, s in zip(batch.column(1), batch.column(2), strict=True)
+                t.as_py() if s.as_py() is None else "".join(part.decode("utf-8", "ignore") for part in kept_bytes((t.as_py() or "").encode(), _union(s.as_py())))
+                for t, s in zip(batch.column(place), batch.column(n), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
 
-    some, _ = with_spans(docs, length, key, text)
-    return some.filter("spans is not null").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, text string")
+    return joined.mapInArrow(run, docs.schema).unionByName(others)
