@@ -40,7 +40,8 @@ from .sieve import split, texts_of, wanted_texts
 
 LENGTH = 400
 GRAM = 64
-GROUP = 8192
+GROUP = 4096
+ROWS = 1024  #: sorted together, besides one whole group
 PLACE_BITS = 24  #: of a place in a block, below the hash in a packed key
 BLOCK = 1 << 23
 
@@ -112,14 +113,13 @@ class Suffixes:
     def __init__(self, texts: list[bytes]):
         self.texts = texts
         sizes = np.array([len(x) for x in texts], np.int64)
-        at = np.r_[0, np.cumsum(sizes)]
-        prefix = tx.prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
-        begin = at[:-1]
-        # Prefix sums of each string, its empty prefix included, as if it stood at place 0.
-        index = np.concatenate([np.arange(a, a + n + 1) for a, n in zip(begin, sizes, strict=True)]) if len(texts) else np.empty(0, np.int64)
-        owner = np.repeat(begin, sizes + 1)
-        self.hashes = memoryview((prefix[index] - prefix[owner]) * tx.powers(len(prefix))[1][owner])
-        self.at = (begin + np.arange(len(texts))).tolist()
+        begin = np.r_[0, np.cumsum(sizes + 1)][:-1]
+        # A byte after each string leaves room for its whole prefix; sums are shifted as if each string stood at place 0.
+        prefix = tx.prefix_hash(np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8))[:-1]
+        prefix -= np.repeat(prefix[begin], sizes + 1)
+        prefix *= np.repeat(tx.powers(len(prefix))[1][begin], sizes + 1)
+        self.hashes = memoryview(prefix)
+        self.at = begin.tolist()
         self.sizes = sizes.tolist()
 
     def common(self, i: int, j: int) -> int:
@@ -249,12 +249,12 @@ def sort_groups(segments: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("ah", "sh", "back", "bytes")), strict=True)
-            if len(held) >= 2048:  # all but the last group, which may go on
-                cut = len(held)
+            for at in range(0, batch.num_rows, ROWS):
+                held += zip(*(batch.column(c).slice(at, ROWS).to_pylist() for c in ("ah", "sh", "back", "bytes")), strict=True)
+                cut = len(held)  # all but the last group, which may go on
                 while cut and held[cut - 1][0] == held[-1][0]:
                     cut -= 1
-                if cut:
+                if cut >= ROWS:
                     yield solve(held[:cut])
                     held = held[cut:]
         yield solve(held)
