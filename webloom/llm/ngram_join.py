@@ -42,8 +42,14 @@ BLOCK = 4096  #: vectors per tree
 LEAST = 4  #: hash orders of the first pass
 
 
-def _sets(chunk: tx.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of a chunk, distinct, ordered by row and shingle."""
+def _by_row(row: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """An order, made one by row first; short integers are sorted by digits."""
+    short = row.astype(np.uint16) if len(row) and row.max() < 1 << 16 else row
+    return order[np.argsort(short[order], kind="stable")]
+
+
+def _shingles(chunk: tx.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of a chunk, as they come."""
     data = tx.LOWER[chunk.data]
     found = tx.find_words(data, chunk.offsets, tx.NOT_SPACE)
     hashes = tx.word_hashes(data, found)
@@ -55,8 +61,13 @@ def _sets(chunk: tx.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = found.first[r], found.first[r + 1]
         rows.append(np.array([r]))
         keys.append(tx.shingle_hashes(hashes[lo:hi], hi - lo) ^ np.uint64(hi - lo))
-    row, key = np.concatenate(rows), np.concatenate(keys)
-    order = np.lexsort((key, row))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _sets(chunk: tx.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of a chunk, distinct, ordered by row and shingle."""
+    row, key = _shingles(chunk, words)
+    order = _by_row(row, np.argsort(key))
     row, key = row[order], key[order]
     if len(row):
         new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]
@@ -71,7 +82,7 @@ def hot_cells(docs: DataFrame, text: str, words: int) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for chunk in tx.chunks(batch.column(0)):
-                _, key = _sets(chunk, words)
+                _, key = _shingles(chunk, words)
                 total += np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         blocks = total.reshape(-1, CELL_BLOCK)
         yield pa.RecordBatch.from_arrays(
@@ -122,7 +133,7 @@ def features(docs: DataFrame, key: str, text: str, words: int, percent: int, hot
                     for k in range(LEAST):
                         sums[2 + k][some] = np.minimum.reduceat(tx.mix(shingle ^ np.uint64((k + 1) * 0x9E3779B97F4A7C1)), first[some])
                 cell = hot.value[(shingle >> np.uint64(46)).astype(np.int64)]
-                ordered = shingle[np.lexsort((tx.mix(shingle), cell, row))]
+                ordered = shingle[_by_row(row, np.argsort(cell, kind="stable"))]
                 prefix, tree, vector = [], [], []
                 for r in range(chunk.rows):
                     lo, size = int(first[r]), int(n[r])
@@ -212,6 +223,25 @@ class CountTree:
         return p[real], q[real]
 
 
+def _leaves(
+    begin: np.ndarray, count: np.ndarray, ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, vectors: np.ndarray, percent: int
+) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of groups that are one leaf each."""
+    for n in range(2, FANOUT + 1):
+        at = begin[count == n]
+        i, j = np.triu_indices(n, 1)
+        for lo in range(0, len(at), 4096):
+            x = (at[lo : lo + 4096, None] + i).ravel()
+            y = (at[lo : lo + 4096, None] + j).ravel()
+            fits = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+            x, y = x[fits], y[fits]
+            least = np.minimum(vectors[x], vectors[y])
+            most = least.sum(axis=1, dtype=np.int64) + ((least == 255).any(axis=1).astype(np.int64) << 40)
+            near = (100 + percent) * most >= percent * (sizes[x] + sizes[y])
+            p, q = ids[x[near]], ids[y[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b``: candidate pairs of ``token, doc_id, comp, n, tree``, from a stream ordered by token and size."""
 
@@ -243,7 +273,11 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             raw = batch.column("tree")
             vectors = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, GROUPS)
             begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-            for lo, hi in zip(begin, np.r_[begin[1:], len(tokens)], strict=True):
+            end = np.r_[begin[1:], len(tokens)]
+            # Groups of one node that lie within the batch are joined together.
+            single = (end - begin <= FANOUT) & (begin > 0) & (end < len(tokens))
+            yield from _leaves(begin[single], (end - begin)[single], ids, sizes, comps, vectors, percent)
+            for lo, hi in zip(begin[~single], end[~single], strict=True):
                 if tokens[lo] != token:
                     yield from close()
                     token, held = tokens[lo], []
