@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import text as tx
+from .sieve import split
 
 WIDTH = 10
 PROBES = 3
@@ -126,8 +127,7 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
                     names=["term", "doc_id", "positions"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"term bigint, doc_id {kind}, positions array<int>")
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, "term bigint, doc_id bigint, positions array<int>")
 
 
 def _probes(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -177,42 +177,39 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
+    found = written(found.distinct(), "candidates")
     # A document's list is bounded by its words: as many windows begin at a word as the benchmark has sizes of windows.
-    lists = found.distinct().groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "size", "window")).alias("places"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    joined = texts.join(lists, texts["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "places")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
-                chunk.data = tx.LOWER[chunk.data]
-                words = tx.find_words(chunk.data, chunk.offsets, tx.ALNUM)
-                hashes, n_hit, seen = None, [], []
+    lists = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "size", "window")).alias("places"))
+    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    some, others = split(texts, found.select("doc_id"))
+    joined = some.join(lists, some["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "places")
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, windows array<bigint>"
+    return joined.mapInArrow(_compare, schema).unionByName(others.mapInArrow(_compare, schema))
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count words and compare the texts at candidate places with whole windows; a batch without places has none."""
+    for batch in batches:
+        for chunk in tx.chunks(batch.column(1)):
+            chunk.data = tx.LOWER[chunk.data]
+            words = tx.find_words(chunk.data, chunk.offsets, tx.ALNUM)
+            n_hit, seen = np.zeros(chunk.rows, np.int64), [[] for _ in range(chunk.rows)]
+            if batch.num_columns > 2:
+                hashes = tx.word_hashes(chunk.data, words)
                 for row in range(chunk.rows):
-                    places = batch.column(2)[chunk.first + row].as_py() or ()
                     lo, hi = words.first[row], words.first[row + 1]
                     hit, keys = np.zeros(hi - lo, bool), set()
-                    if places and hashes is None:
-                        hashes = tx.word_hashes(chunk.data, words)
-                    for p in places:
+                    for p in batch.column(2)[chunk.first + row].as_py() or ():
                         start, size, window = p["start"], p["size"], p["window"]
                         if start + size <= hi - lo and int(tx.shingle_hashes(hashes[lo + start : lo + start + size], size)[0].astype(np.int64)) == window:
                             hit[start : start + size] = True
                             keys.add(window)
-                    n_hit.append(int(hit.sum()))
-                    seen.append(sorted(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(chunk.first, chunk.rows),
-                        pa.array(np.diff(words.first)),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array(seen, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "windows"],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, windows array<bigint>")
+                    n_hit[row] = hit.sum()
+                    seen[row] = sorted(keys)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(chunk.first, chunk.rows), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array(seen, pa.list_(pa.int64()))],
+                names=["doc_id", "n_words", "n_hit", "windows"],
+            )
 
 
 def item_digest(judged: DataFrame, windows: DataFrame) -> DataFrame:
