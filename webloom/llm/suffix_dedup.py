@@ -17,8 +17,8 @@ mostly share one, so a document falls into runs (first start, last start, anchor
    combined before the exchange.
 
 Contract: null is the empty text; texts shorter than ``length`` keep all bytes; copies, also of one row, remove each other
-wholly; an empty table gives no rows; a document with a null identifier keeps all its bytes (they do count as
-occurrences); identifiers are unique but for rows repeated as a whole; other columns are not read.
+wholly; an empty table gives no rows; a document with a null identifier takes no part: it keeps all its bytes, and they are
+no occurrences; identifiers are unique but for rows repeated as a whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> Da
                     names=["doc_id", "first", "last", "anchor", "ah", "sh"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).filter("doc_id is not null").mapInArrow(
         run, "doc_id bigint, first int, last int, anchor int, ah bigint, sh bigint"
     )
 
@@ -317,8 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     classes = mixed.groupBy("ah", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("at"))
     classes = written(classes.select("ah", "sh", "n", "at.*"), "classes")
     sizes = classes.groupBy("ah").agg((F.count(F.lit(1)) > group).alias("wide"))
-    known = classes.join(sizes, "ah").filter("doc_id is not null")
-    segments = written(segments_of(known, docs, length, key, text), "segments")
+    segments = written(segments_of(classes.join(sizes, "ah"), docs, length, key, text), "segments")
     solved = sort_groups(segments.filter("not wide"), length).unionByName(count_strings(segments.filter("wide"), length))
     alone = classes.filter("n = 1").select("ah", "sh")
     copies = classes.filter("n > 1").select("ah", "sh")
@@ -327,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     spans = whole.select("doc_id", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).unionByName(
         some.select("doc_id", (F.col("anchor") - F.col("s.hi")).alias("begin"), (F.col("anchor") - F.col("s.lo") + length).alias("end"))
     )
-    return spans.filter("doc_id is not null")
+    return spans
 
 
 def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
