@@ -43,56 +43,71 @@ def zipf_scores(raw: bytes) -> dict[bytes, int]:
     return scores
 
 
+SCALE = 1 << 32  #: a value is ``score * SCALE - pieces``: more is better, and values add up
+
+
+def unpacked(value: int) -> tuple[int, int]:
+    """(score, number of pieces) of a value."""
+    pieces = -value % SCALE
+    return (value + pieces) // SCALE, pieces
+
+
 class PrefixTrie:
-    """Prefixes of pre-tokens with the best score and number of pieces of each."""
+    """Prefixes of pre-tokens with the value of the best segmentation of each."""
 
     def __init__(self, scores: dict[bytes, int], max_nodes: int = MAX_NODES):
-        self.scores, self.max_nodes = scores, max_nodes
+        self.max_nodes = max_nodes
+        #: The value of every piece, and None for what is only the end of one: where that stops, no longer piece can end.
+        self.ends: dict[bytes, int | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))}
+        self.ends |= {piece: score * SCALE - 1 for piece, score in scores.items()}
         self.longest = max(map(len, scores))
         self.computed = 0
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
-        self.best = [(0, 0)]  # (score, minus the number of pieces) of each node's prefix
+        self.best = [0]  # value of each node's prefix
 
-    def count(self, piece: bytes) -> tuple[int, int]:
-        """Best score and number of pieces of a pre-token."""
+    def count(self, piece: bytes) -> int:
+        """Value of a pre-token."""
         if len(piece) > MAX_DEPTH:
             return self._long(piece)
         if len(self.best) > self.max_nodes:
             self.clear()
-        node, path, children = 0, [0], self.children
-        for depth in range(1, len(piece) + 1):
-            edge = node << 8 | piece[depth - 1]
-            child = children.get(edge)
-            if child is None:
-                child = len(self.best)
-                children[edge] = child
-                self.best.append(self._step(piece, depth, [self.best[i] for i in path[-self.longest :]]))
-            node = child
-            path.append(node)
-        score, fewer = self.best[node]
-        return score, -fewer
-
-    def _step(self, piece: bytes, end: int, before: list[tuple[int, int]]) -> tuple[int, int]:
+        node, values, children, best = 0, [0], self.children, self.best
+        for depth, byte in enumerate(piece, 1):
+            edge = node << 8 | byte
+            node = children.get(edge, 0)
+            if node:
+                values.append(best[node])
+            else:
+                node = children[edge] = len(best)
+                values.append(self._step(piece, depth, values))
+                best.append(values[-1])
+        return values[-1]
+
+    def _step(self, piece: bytes, end: int, before: list[int]) -> int:
         """Best of all pieces that end here; ``before`` are the prefixes up to here, the nearest last."""
         self.computed += 1
-        get, best = self.scores.get, (-(1 << 62), 0)
+        get, best = self.ends.get, None
         for size in range(1, len(before) + 1):
-            own = get(piece[end - size : end])
-            if own is not None:
-                score, fewer = before[-size]
-                best = max(best, (score + own, fewer - 1))
+            own = get(piece[end - size : end], 0)
+            if own is None:
+                continue
+            if own == 0:
+                break
+            value = before[-size] + own
+            if best is None or value > best:
+                best = value
         return best
 
-    def _long(self, piece: bytes) -> tuple[int, int]:
-        before = [(0, 0)]
+    def _long(self, piece: bytes) -> int:
+        before = [0]
         for end in range(1, len(piece) + 1):
             before.append(self._step(piece, end, before))
             if len(before) > self.longest:
                 del before[0]
-        return before[-1][0], -before[-1][1]
+        return before[-1]
 
 
 class _Terminals(dict):
@@ -100,7 +115,7 @@ class _Terminals(dict):
         super().__init__()
         self.trie = trie
 
-    def __missing__(self, piece: str) -> tuple[int, int]:
+    def __missing__(self, piece: str) -> int:
         found = self.trie.count(piece.encode())
         if len(piece) <= MAX_DEPTH:
             if len(self) >= MAX_TERMINALS:
@@ -137,8 +152,8 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             rows = []
             for cell in batch.column(1):
                 pieces = find(cell.as_py() or "")
-                found = list(map(terminals.__getitem__, pieces))
-                rows.append((len(pieces), sum(f[1] for f in found), sum(f[0] for f in found)))
+                score, n = unpacked(sum(map(terminals.__getitem__, pieces)))
+                rows.append((len(pieces), n, score))
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_pre_tokens", "n_tokens", "score"]
