@@ -181,10 +181,10 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # A document's list is bounded by its words: as many windows begin at a word as the benchmark has sizes of windows.
     lists = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "size", "window")).alias("places"))
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    some, others = split(texts, found.select("doc_id"))
-    joined = some.join(lists, some["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "places")
     schema = "doc_id bigint, n_words bigint, n_hit bigint, windows array<bigint>"
-    return joined.mapInArrow(_compare, schema).unionByName(others.mapInArrow(_compare, schema))
+    some, others = split(texts, found.select("doc_id"), then=_compare, schema=schema)
+    joined = some.join(lists, some["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "places")
+    return joined.mapInArrow(_compare, schema).unionByName(others)
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

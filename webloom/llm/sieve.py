@@ -6,7 +6,7 @@ millions of identifiers it lets more and more through, and everything stays righ
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +27,27 @@ def sieve(spark: SparkSession, ids: DataFrame) -> object:
     return spark.sparkContext.broadcast(np.packbits(whole))
 
 
-def split(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(about the rows whose key is among ``ids.doc_id``: a superset; all other rows), both with all columns and without a shuffle."""
+def split(docs: DataFrame, ids: DataFrame, key: str = "doc_id", then: Callable | None = None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(about the rows whose key is among ``ids.doc_id``: a superset; all other rows), both with all columns and without a shuffle.
+
+    ``then`` turns the batches of the other rows into those of ``schema`` in the same Python worker.
+    """
     sent = sieve(docs.sparkSession, ids)
     slot = "slot"
     while slot in docs.columns:
         slot += "_"
 
-    def run(others: bool):
-        def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(sent.value).astype(bool)
-            for batch in batches:
-                n = batch.num_columns - 1
-                yield batch.filter(pa.array(bits[batch.column(n).to_numpy()] != others)).select(list(range(n)))
-
-        return part
+    def part(batches: Iterable[pa.RecordBatch], others: bool) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            n = batch.num_columns - 1
+            yield batch.filter(pa.array(bits[batch.column(n).to_numpy()] != others)).select(list(range(n)))
 
     marked = docs.withColumn(slot, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS)))
-    return marked.mapInArrow(run(False), docs.schema), marked.mapInArrow(run(True), docs.schema)
+    some = marked.mapInArrow(lambda batches: part(batches, False), docs.schema)
+    if then is None:
+        return some, marked.mapInArrow(lambda batches: part(batches, True), docs.schema)
+    return some, marked.mapInArrow(lambda batches: then(part(batches, True)), schema)
 
 
 def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:

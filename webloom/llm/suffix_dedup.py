@@ -40,10 +40,11 @@ from .sieve import split, texts_of, wanted_texts
 
 LENGTH = 400
 GRAM = 64
-GROUP = 4096
+GROUP = 2048
 ROWS = 1024  #: sorted together, besides one whole group
 PLACE_BITS = 24  #: of a place in a block, below the hash in a packed key
-BLOCK = 1 << 23
+BLOCK = 1 << 20
+CHUNK = 1 << 19  #: bytes of texts at a time; each byte takes some 100 bytes of arrays
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -61,7 +62,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     for at in range(0, max(len(data) - length + 1, 0), BLOCK):
         block = data[at : at + BLOCK + length - 1]
         n = len(block) - gram + 1
-        hashes = tx.mix(tx.span_hash(tx.prefix_hash(block), np.arange(n), np.arange(n) + gram))
+        prefix = tx.prefix_hash(block)
+        hashes = tx.mix((prefix[gram:] - prefix[:n]) * tx.powers(n)[1])
         packed = (hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
         place = (_sliding_min(packed, length - gram + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         starts = np.arange(len(place)) + at
@@ -83,7 +85,7 @@ def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(1), CHUNK):
                 first, last, anchor, hashes = runs(chunk.data, chunk.offsets, length, gram)
                 row = np.searchsorted(chunk.offsets, first, "right") - 1
                 raw = memoryview(np.ascontiguousarray(chunk.data))
@@ -347,14 +349,6 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def with_spans(docs: DataFrame, length: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, text, spans`` of documents that may have repeats, ``doc_id, text`` of all others)."""
-    spans = written(repeated_spans(docs, length, key=key, text=text), "spans")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    some, others = split(texts_of(docs, key, text), spans.select("doc_id"))
-    return some.join(lists, "doc_id", "left").select("doc_id", "text", "spans"), others
-
-
 def digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
 
@@ -375,8 +369,10 @@ def digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
             )
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    some, others = with_spans(docs, length, key, text)
-    return some.mapInArrow(run, schema).unionByName(others.mapInArrow(run, schema))
+    spans = written(repeated_spans(docs, length, key=key, text=text), "spans")
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    some, others = split(texts_of(docs, key, text), spans.select("doc_id"), then=run, schema=schema)
+    return some.join(lists, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema).unionByName(others)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
