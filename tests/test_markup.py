@@ -70,6 +70,60 @@ def test_scanners_survive_hostile_pages(spark):
     assert rows[6].c == len(hostile[6])
 
 
+def test_time_is_linear(spark):
+    """Twice the page takes about twice the time, also where no tag is ever closed."""
+    import time
+
+    def seconds(tag, size):
+        page = spark.createDataFrame([(tag * (size // len(tag)),)], "html string").coalesce(1)
+        scan = page.select(
+            F.size(M.extract_anchors("html")),
+            F.size(M.extract_asset_refs("html")),
+            F.length(M.extract_title("html", F.lit("http://h/x"))),
+            F.length(M.extract_main_content("html")),
+            F.size(M.extract_form_fields("html", "f")),
+        )
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            scan.write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for tag in ("<a ", "<img ", "<script ", "<form ", "<x ", "<main ", '<a href="', "id="):
+        assert seconds(tag, 200_000) < 3 * seconds(tag, 100_000) + 0.2, tag
+
+
+def test_open_tags_are_dropped(spark):
+    pages = ["<a href=/x>1</a><a href=/y", "<img src=/x><img src=/y ", "<script src=/x></script><script src=/y", "<title>t</title><title ", "<main>m</main><main "]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    rows = df.orderBy("i").select(M.extract_anchors("html").alias("a"), M.extract_asset_refs("html").alias("r"), M.extract_main_content("html").alias("m")).collect()
+    assert rows[0].a == ["/x"] and [x.href for x in rows[1].r] == ["/x"] and [x.href for x in rows[2].r] == ["/x"]
+    assert rows[4].m == "<main>m</main>"
+
+
+REFERENCES = [
+    "&sol;r&lbrack;&comma;1", "a&copy b", "&notit;", "&amp;amp;", "&#000000038;", "&#x26;&#X1F600", "&#0;&#128;&#x9F;", "&#xD800;&#1114112;&#99999999999999999999;",
+    "&#1;&#xFFFE;&#xFDD0;", "&NotEqualTilde;", "&bogus;", "&", "&;", "&#;", "&#x;", "&ampx", "&lt&gt", "&CounterClockwiseContourIntegral;", "&Eacute&eacute;",
+]
+
+
+def test_references_equal_the_standard_library(spark):
+    import html
+
+    df = spark.createDataFrame(list(enumerate(REFERENCES)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", M.unescape("t").alias("u")).collect()}
+    for i, text in enumerate(REFERENCES):
+        assert got[i] == html.unescape(text), text
+
+
+def test_references_in_attributes(spark):
+    cases = ["/q&sol;r&lbrack;&comma;1", "?a=1&copy=2", "?a=1&copyx", "?a=1&copy", "?a&amp;b&lt;&#38;", "?a&reg;&notit;", "?x&bogus;y"]
+    want = ["/q/r[,1", "?a=1&copy=2", "?a=1&copyx", "?a=1\u00a9", "?a&b<&", "?a\u00ae&notit;", "?x&bogus;y"]
+    df = spark.createDataFrame([(i, f'<a href="{c}">x</a>') for i, c in enumerate(cases)], "i int, html string")
+    assert [r.a[0] for r in df.orderBy("i").select(M.extract_anchors("html").alias("a")).collect()] == want
+
+
 def test_titles(spark):
     cases = [
         ("<title> A &amp; B &mdash; C\u00a0</title>", "http://h/x", "A & B \u2014 C"),

@@ -1,12 +1,13 @@
 """HTML extraction as native regular expressions over one page per row.
 
 Every scanner consumes comments, scripts and style sheets as whole tokens, so markup inside them is never seen.
-Quantifiers are possessive: matching is linear and cannot overflow the stack on hostile pages.
+Quantifiers are possessive and every token that is begun also matches up to the end of the page (a start tag without
+``>`` is dropped afterwards): no place is scanned again for each token, and matching is linear on hostile pages.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,19 +20,21 @@ _ATTR = r"""[^\s/=>"'][^\s/=>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 # The rest of a start tag after its name, up to but without ">". A quote counts only after "=".
 _ATTRS = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _COMMENT = r"!--.*?(?:-->|\z)"
-_STYLE = rf"style(?:[\s/]{_ATTRS})?+>.*?(?:</style\s*>|\z)"
-_SCRIPT = rf"script(?:[\s/]{_ATTRS})?+>.*?(?:</script\s*>|\z)"
+# The end of a start tag, or of the page inside one.
+_END = r"(?:>|\z)"
+_STYLE = rf"style(?:[\s/]{_ATTRS})?+(?:>.*?(?:</style\s*+>|\z)|\z)"
+_SCRIPT = rf"script(?:[\s/]{_ATTRS})?+(?:>.*?(?:</script\s*+>|\z)|\z)"
 
-_ANCHORS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|a[\s/]({_ATTRS})>)"
-_ASSET = rf"<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|(?:link|img|source)[\s/]{_ATTRS}>)"
+_ANCHORS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|a[\s/]({_ATTRS}{_END}))"
+_ASSET = rf"<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|(?:link|img|source)[\s/]{_ATTRS}{_END})"
 _ASSETS = rf"(?is){_ASSET}"
 # The whole page as asset tokens and the text between them; the whole tag as attributes and what separates them.
 # (Cut by matching and not by splitting: a split compiles its pattern anew for every value.)
 _PAGE_PIECES = rf"(?is){_ASSET}|(?:[^<]++|(?!{_ASSET})<)++"
 _TAG_PIECES = rf"""(?s){_ATTR}|[\s/=>"']++"""
 _ASSET_TAG = rf"(?is)^<(?:(?:link|img|source)[\s/]{_ATTRS}>\z|script[\s/])"
-_START_TAGS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|[a-z][^\s/>]*+(?:[\s/]{_ATTRS})?+>)"
-_INPUTS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|input[\s/]({_ATTRS})>)"
+_START_TAGS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|[a-z][^\s/>]*+(?:[\s/]{_ATTRS})?+{_END})"
+_INPUTS = rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|input[\s/]({_ATTRS}{_END}))"
 _OPEN_SCRIPT = rf"(?is)^<script(?:[\s/]{_ATTRS})?+>"
 _TITLE = (
     rf"(?is)^(?:[^<]++|<(?:{_COMMENT}|{_STYLE}|{_SCRIPT})|<(?!title[\s>]))*+"
@@ -45,49 +48,65 @@ VOID_TAGS = (
 
 # --- character references -------------------------------------------------------------------------
 
-# Name to character, from the standard library's table.
-_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Name to characters, from the standard library's table; the look-up is a scan, so the usual names come first.
+_COMMON = [name for name in ("amp", "quot", "lt", "gt", "nbsp", "apos", *sorted(name2codepoint)) if name + ";" in html5]
+_NAMED = {name: html5[name + ";"] for name in _COMMON} | {n[:-1]: c for n, c in sorted(html5.items()) if n.endswith(";")}
+# Names that also count without a semicolon, the longest first.
+_OLD = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_NUMERIC = "#[0-9]++;?+|#[xX][0-9A-Fa-f]++;?+"
+_REFERENCE = rf"&(?:{_NUMERIC}|[A-Za-z][A-Za-z0-9]*+;?+)"
+# In an attribute an old name without semicolon only counts as a whole, and not before "=".
+_ATTR_REFERENCE = rf"&(?:{_NUMERIC}|[A-Za-z][A-Za-z0-9]*+;|(?:{_OLD})(?![A-Za-z0-9=;]))"
 
 
 # Numbers 0x80-0x9F stand for the Windows characters at these places.
 _C1 = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
 _FROM_C1, _TO_CP1252 = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
 _VALID_CODE = r"^(?!00000000|0000[Dd][89A-Fa-f])00(?:0[0-9A-Fa-f]{5}|10[0-9A-Fa-f]{4})\z"
+# Control and non-characters stand for nothing.
+_NO_CHARACTER = r"(?i)^(?:000000(?:0[1-8bef]|1[0-9a-f]|7f)|0000fd[de][0-9a-f]|00[01][0-9a-f]fff[ef])\z"
 
 
 def _number(ref: Column) -> Column:
     """The character of ``&#number;``; an invalid number becomes the replacement character."""
-    digits = F.when(ref.rlike("^&#[xX]"), F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1)).otherwise(
-        F.hex(F.regexp_extract(ref, "^&#([0-9]+)", 1).cast("bigint"))
-    )
+    written = F.regexp_extract(ref, "^&#[xX]?0*+([0-9A-Fa-f]*)", 1)
+    decimal = F.when(F.length(written) > 8, F.lit("FFFFFFFF")).otherwise(F.hex(F.coalesce(F.nullif(written, F.lit("")), F.lit("0")).cast("bigint")))
+    digits = F.when(ref.rlike("^&#[xX]"), written).otherwise(decimal)
     return let(
-        F.lpad(digits, 8, "0"),
-        lambda code: F.when(
-            code.rlike(_VALID_CODE), F.translate(F.decode(F.unhex(code), "UTF-32"), _FROM_C1, _TO_CP1252)
-        ).otherwise(F.lit("\ufffd")),
+        F.when(F.length(digits) > 8, F.lit("FFFFFFFF")).otherwise(F.lpad(digits, 8, "0")),
+        lambda code: F.when(code.rlike(_NO_CHARACTER), F.lit(""))
+        .when(code.rlike(_VALID_CODE), F.translate(F.decode(F.unhex(code), "UTF-32"), _FROM_C1, _TO_CP1252))
+        .otherwise(F.lit("\ufffd")),
     )
 
 
-def _character(ref: Column) -> Column:
-    """One ``&name;`` or ``&#number;``. Unknown names stay as they are."""
-    names = sorted(_NAMED)
+def _character(ref: Column, in_attribute: bool) -> Column:
+    """One ``&name;``, ``&name`` or ``&#number;``. Unknown names stay, but in text for an old name that they begin with."""
+    names = list(_NAMED)
     table = F.map_from_arrays(
         F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\u0000".join(_NAMED[n] for n in names)), "\u0000")
     )
-    named = F.try_element_at(table, F.substr(ref, F.lit(2), F.length(ref) - 2))
-    return F.when(F.startswith(ref, F.lit("&#")), _number(ref)).otherwise(F.coalesce(named, ref))
+    named = F.when(F.endswith(ref, F.lit(";")), F.try_element_at(table, F.substr(ref, F.lit(2), F.length(ref) - 2)))
+
+    def begun(old: Column) -> Column:
+        return F.when(old != "", F.concat(F.try_element_at(table, old), F.substr(ref, F.length(old) + 2)))
 
+    by_prefix = let(F.regexp_extract(ref, f"^&({_OLD})", 1), begun)
+    if in_attribute:
+        by_prefix = F.when(~F.endswith(ref, F.lit(";")), by_prefix)
+    return F.when(F.startswith(ref, F.lit("&#")), _number(ref)).otherwise(F.coalesce(named, by_prefix, ref))
 
-def unescape(text: Column | str) -> Column:
+
+def unescape(text: Column | str, in_attribute: bool = False) -> Column:
     """Decode character references. Strings without ``&`` pass through untouched."""
+    pattern = _ATTR_REFERENCE if in_attribute else _REFERENCE
 
     def decode(value: Column) -> Column:
         decoded = F.array_join(
             F.zip_with(
-                F.split(value, _REFERENCE, -1),
-                F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0)),
-                lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _character(ref))),
+                F.split(value, pattern, -1),
+                F.regexp_extract_all(value, F.lit(pattern), F.lit(0)),
+                lambda part, ref: F.when(ref.isNull(), part).otherwise(F.concat(part, _character(ref, in_attribute))),
             ),
             "",
         )
@@ -109,7 +128,7 @@ def attr_token(attrs: Column, name: str) -> Column:
 def token_value(token: Column) -> Column:
     """Decoded value of an attribute token; a bare attribute is an empty string."""
     raw = F.regexp_extract(token, r"(?s)^[^=]*=\s*(.*)\z", 1)
-    return unescape(F.regexp_replace(raw, r"""(?s)^(?:"(.*)"|'(.*)')\z""", "$1$2"))
+    return unescape(F.regexp_replace(raw, r"""(?s)^(?:"(.*)"|'(.*)')\z""", "$1$2"), in_attribute=True)
 
 
 def attr_value(attrs: Column, name: str) -> Column:
@@ -125,12 +144,16 @@ def attr_value(attrs: Column, name: str) -> Column:
 
 def extract_anchors(html: Column | str) -> Column:
     """``href`` of every ``<a href>`` in document order, character references decoded."""
-    attrs = F.filter(
-        F.regexp_extract_all(as_col(html), F.lit(_ANCHORS), F.lit(1)), lambda a: F.coalesce(a != "", F.lit(False))
-    )
+    attrs = _closed_attrs(as_col(html), _ANCHORS)
     return F.filter(F.transform(attrs, lambda a: attr_value(a, "href")), lambda href: href.isNotNull())
 
 
+def _closed_attrs(html: Column, pattern: str) -> Column:
+    """Attribute texts that the pattern's group captures together with the ``>`` of their tag; tags without one are dropped."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda a: F.coalesce(F.endswith(a, F.lit(">")), F.lit(False)))
+    return F.transform(found, lambda a: F.substr(a, F.lit(1), F.length(a) - 1))
+
+
 def scan_assets(html: Column) -> Column:
     """Tokens of the asset scanner: asset tags, whole scripts, and comments and style sheets to be skipped."""
     return F.regexp_extract_all(html, F.lit(_ASSETS), F.lit(0))
@@ -206,7 +229,7 @@ def replace_attr(tag_text: Column, name: Column, value: Column) -> Column:
 
 def strip_text(text: Column) -> Column:
     """Remove white space of any script from both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
 
 
 def extract_title(html: Column | str, url: Column | str) -> Column:
@@ -226,7 +249,7 @@ def extract_form_fields(html: Column | str, form_id: str) -> Column:
     """Named hidden inputs of the form with this id, as a map; NULL when there is no such form."""
     h = as_col(html)
     forms = F.filter(
-        F.regexp_extract_all(h, F.lit(rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|form[\s/]{_ATTRS}>.*?(?:</form|\z))"), F.lit(0)),
+        F.regexp_extract_all(h, F.lit(rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|form[\s/]{_ATTRS}(?:>.*?(?:</form|\z)|\z))"), F.lit(0)),
         lambda t: t.rlike("(?i)^<form"),
     )
     own = F.filter(
@@ -239,9 +262,7 @@ def extract_form_fields(html: Column | str, form_id: str) -> Column:
 
 
 def _hidden_inputs(form: Column) -> Column:
-    attrs = F.filter(
-        F.regexp_extract_all(form, F.lit(_INPUTS), F.lit(1)), lambda a: F.coalesce(a != "", F.lit(False))
-    )
+    attrs = _closed_attrs(form, _INPUTS)
     fields = F.transform(
         F.filter(attrs, lambda a: attr_value(a, "type") == "hidden"),
         lambda a: F.struct(attr_value(a, "name").alias("name"), F.coalesce(attr_value(a, "value"), F.lit("")).alias("value")),
@@ -304,7 +325,7 @@ def _attr_hit(html: Column, selector: str) -> Column:
     tags = F.filter(F.regexp_extract_all(html, F.lit(_START_TAGS), F.lit(0)), matches)
     # Few pages pass the first test; only those are cut into tags.
     return F.when(
-        html.rlike(rf"""(?i)\b{kind}\s*=\s*["']?[^"'>]*\b{word}\b"""),
+        html.rlike(rf"""(?i)\b{kind}\s*+=\s*+(?:"[^"]*?\b{word}\b|'[^']*?\b{word}\b|[^\s"'>=]*?\b{word}\b)"""),
         let(F.get(tags, F.lit(0)), lambda text: F.when(text.isNotNull(), _hit(selector, text, F.lit("")))),
     )
 
@@ -318,7 +339,7 @@ def _outer_html(html: Column, start: Column) -> Column:
     same_name = F.concat(
         F.lit(rf"(?is)<(?:{_COMMENT}|{_STYLE}|{_SCRIPT}|/?\Q"),
         name,
-        F.lit(rf"\E(?:[\s/]{_ATTRS})?+>|/(?:body|html)\s*+>)"),
+        F.lit(rf"\E(?:[\s/]{_ATTRS})?+{_END}|/(?:body|html)\s*+>)"),
     )
     return let(same_name, lambda rx: _balanced(html, start, rx))
 
@@ -330,7 +351,7 @@ def _balanced(html: Column, start: Column, rx: Column) -> Column:
         low = F.lower(F.substr(token, F.lit(1), F.length(start["name"]) + 2))
         opens = F.startswith(low, F.concat(F.lit("<"), start["name"])) & ~F.endswith(token, F.lit("/>"))
         closes = F.startswith(low, F.concat(F.lit("</"), start["name"]))
-        return F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.when(~F.endswith(token, F.lit(">")), 0).when(opens, 1).when(closes, -1).otherwise(0)
 
     def ends_document(token: Column) -> Column:
         return token.rlike(r"(?i)^</(?:body|html)\s*>\z") & (delta(token) == 0)
