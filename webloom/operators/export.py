@@ -24,6 +24,7 @@ WXR_VERSION = "1.2"
 CHANNEL_DESCRIPTION = "Exported WordPress content"
 LANGUAGE = "en-US"
 CREATOR = "admin"
+POST_IDS = 1_000_000  # identifiers are below this
 
 
 def page_data(pages: DataFrame, options: CrawlOptions, exportable_only: bool = False) -> DataFrame:
@@ -45,14 +46,27 @@ def page_data(pages: DataFrame, options: CrawlOptions, exportable_only: bool = F
     )
 
 
-def with_collision_rank(items: DataFrame, id_col: str = "post_id") -> DataFrame:
-    """Number the URLs of a site that share an identifier. Groups are tiny: identifiers are spread by a hash."""
-    window = Window.partitionBy("site", id_col).orderBy("link")
+def records_of(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page records of narrow rows ``(page_id, site, url, ...)``: one join attaches the text, and it is parsed after that."""
+    text = chosen.join(pages.select("page_id", "html"), "page_id")
+    return text.select(
+        *chosen.columns, extract_title("html", "url").alias("title"), extract_main_content("html").alias("content"), page_slug("url").alias("slug")
+    )
+
+
+def with_collision_rank(items: DataFrame, id_col: str = "post_id", by: str = "link") -> DataFrame:
+    """Number the URLs of a site that share an identifier. Pass narrow rows: a very large site has many per identifier."""
+    window = Window.partitionBy("site", id_col).orderBy(by)
     return items.withColumn("collision_rank", F.row_number().over(window).cast("bigint"))
 
 
+def numbered(chosen: DataFrame) -> DataFrame:
+    """``post_id, collision_rank`` for narrow rows ``(site, url, ...)``, before any page text is attached."""
+    return with_collision_rank(chosen.withColumn("post_id", post_id("url")), by="url")
+
+
 def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
-    """One export item per page record, flat; :func:`wxr_item_columns` gives the XML names."""
+    """One export item per numbered page record, flat and map-only; :func:`wxr_item_columns` gives the XML names."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     items = records.select(
         "site",
@@ -63,7 +77,7 @@ def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
         F.col("url").alias("guid"),
         F.lit("").alias("description"),
         F.col("content").alias("content_encoded"),
-        post_id("url").alias("post_id"),
+        "post_id",
         sql_date(ts).alias("post_date"),
         sql_date(ts).alias("post_date_gmt"),
         F.lit("closed").alias("comment_status"),
@@ -75,8 +89,9 @@ def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
         F.lit("page").alias("post_type"),
         F.lit("").alias("post_password"),
         F.lit(0).cast("bigint").alias("is_sticky"),
+        "collision_rank",
     )
-    return with_collision_rank(items)
+    return items
 
 
 def _xml_text(value: Column) -> Column:
@@ -84,9 +99,15 @@ def _xml_text(value: Column) -> Column:
     return F.regexp_replace(value, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
 
 
+def export_id() -> Column:
+    """An identifier that is distinct within a site: those of a collision are a million apart, beyond the range of the hash."""
+    return F.col("post_id") + (F.col("collision_rank") - 1) * POST_IDS
+
+
 def wxr_item_columns(items: DataFrame) -> DataFrame:
-    """Rename a flat item to its element names, ready for the XML writer."""
+    """Rename a flat item to its element names, ready for the XML writer; ``site`` stays beside them as the key of the files."""
     return items.select(
+        "site",
         _xml_text(F.col("title")).alias("title"),
         "link",
         F.col("pub_date").alias("pubDate"),
@@ -94,7 +115,7 @@ def wxr_item_columns(items: DataFrame) -> DataFrame:
         F.struct(F.lit("false").alias("_isPermaLink"), F.col("guid").alias("_VALUE")).alias("guid"),
         "description",
         _xml_text(F.col("content_encoded")).alias("content:encoded"),
-        F.col("post_id").alias("wp:post_id"),
+        export_id().alias("wp:post_id"),
         F.col("post_date").alias("wp:post_date"),
         F.col("post_date_gmt").alias("wp:post_date_gmt"),
         F.col("comment_status").alias("wp:comment_status"),
@@ -126,12 +147,3 @@ def wxr_gate(records: DataFrame, options: CrawlOptions) -> DataFrame:
     """Sites that get an export: it is switched on and the site has pages."""
     counted = records.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
     return counted.filter(F.lit(options.generate_xml) & (F.col("n_pages") > 0))
-
-
-def pages_json(records: DataFrame) -> DataFrame:
-    """One JSON document per page: title, content, slug, status."""
-    return records.select(
-        "site",
-        "url",
-        F.to_json(F.struct("title", "content", "slug", F.lit("publish").alias("status"))).alias("json"),
-    )

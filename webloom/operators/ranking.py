@@ -7,28 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-# Rows of one group that a single task may sort for a window. Larger groups take the range-partitioned way.
-WINDOW_ROWS = 2_000_000
 
-
-def rank_within(
-    df: DataFrame, group: str, order: list[str], out: str = "rank", window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[str], out: str = "rank") -> DataFrame:
     """Add the 1-based position of every row in its group. ``order`` must be unique within a group.
 
-    Reads ``df`` twice (sizes, then rows): pass a written table.
-    """
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        window = Window.partitionBy(group).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    return _rank_by_ranges(df, group, order, out)
-
-
-def _rank_by_ranges(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """Sort by ranges, number the rows of each range, and add what lies in the ranges before.
-
-    The ranges are written once, so both readers below see the same boundaries even if executors are lost.
+    Sort by ranges, number the rows of each range, and add what lies in the ranges before. The ranges are written once, so both readers below see the same boundaries even if executors are lost.
     """
     keys = [group, *order]
     chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -52,15 +35,11 @@ def _rank_by_ranges(df: DataFrame, group: str, order: list[str], out: str) -> Da
     )
 
 
-def crawl_rank(visited: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def crawl_rank(visited: DataFrame) -> DataFrame:
     """First-in-first-out position of each visited URL in its site: by depth, then discovery order."""
-    return rank_within(visited, "site", ["depth", "order"], "rank", window_rows)
-
-
-def max_pages_cap(ranked: DataFrame, max_pages: int) -> DataFrame:
-    return ranked.filter(F.col("rank") <= max_pages)
+    return rank_within(visited, "site", ["depth", "order"])
 
 
-def crawl_wave(ranked: DataFrame, max_concurrent: int) -> DataFrame:
-    """Batch number of each URL when ``max_concurrent`` are taken at a time."""
-    return ranked.withColumn("wave", F.floor((F.col("rank") - 1) / max_concurrent).cast("bigint"))
+def max_pages_cap(ranked: DataFrame, max_pages: int | None) -> DataFrame:
+    """The first ``max_pages`` URLs of each site; all of them without a cap."""
+    return ranked if max_pages is None else ranked.filter(F.col("rank") <= max_pages)

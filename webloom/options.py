@@ -47,10 +47,9 @@ class CrawlOptions:
     follow_sitemap: bool = True
     fetch_json: bool = True
     generate_xml: bool = False
-    max_pages: int = 10_000
+    max_pages: int | None = None  # a cap per site, only where a caller asks for one
     max_depth: int | None = None
-    max_concurrent: int = 10
-    max_retries: int = 1
+    max_retries: int = 1  # attempts that count, where a job is given a log of attempts
     as_of: str = "2024-01-01 00:00:00"  # every exported date; never the wall clock
     edge_buckets: int | None = None  # keep the link table bucketed by source page for long crawls
 

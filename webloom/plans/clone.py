@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.predicates import exportable_page
 from ..functions.urls import is_internal
 from ..operators.crawl import crawl_reachability, link_edges, store_edges
-from ..operators.export import page_data, wxr_channel, wxr_items
+from ..operators.export import numbered, records_of, wxr_channel, wxr_gate, wxr_items
 from ..operators.layout import asset_manifest, path_conflicts, path_winner
 from ..operators.links import asset_table, link_table, page_path
 from ..operators.ranking import crawl_rank, max_pages_cap
 from ..operators.rewrite import rewrite_pages
 from ..options import CMS, CMS_EXPORT, GENERIC, CrawlOptions
 from ..session import written
-from ..sources.captures import fetch_outcome, fetched_html, page_index
+from ..sources.captures import failed_fetches, fetch_outcome, fetched_html, page_index
 from ..sources.seeds import seed_queue
 
 
@@ -37,22 +38,26 @@ def crawl_sites(
     options: CrawlOptions,
     sitemaps: DataFrame | None = None,
     responses: DataFrame | None = None,
+    attempts: DataFrame | None = None,
 ) -> SiteCrawl:
     slash = options.strip_slash
-    index = written(page_index(pages, slash), "index")
-    html = fetched_html(index, responses, options)
-    # The only reading of the page text; everything after it is narrow.
+    index = written(page_index(pages, slash, with_branch=options.layout == "cms"), "index")
+    failed = failed_fetches(attempts, options)
+    html = fetched_html(index, responses, options, failed)
+    # The only parsing of the page text; everything after it is narrow.
     edges = store_edges(link_edges(link_table(pages, slash), html), options.edge_buckets)
     seeds = seed_queue(sites, options, sitemaps, responses)
     visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
     ranked = written(crawl_rank(visited).drop("order"), "ranked")
-    log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options), "log")
+    log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options, failed), "log")
     return SiteCrawl(sites, index, ranked, log)
 
 
 def crawl_log(crawl: SiteCrawl, options: CrawlOptions) -> DataFrame:
-    """``(site, url, depth, rank, outcome)`` of every reached URL."""
+    """``(site, url, depth, rank, outcome)`` of every reached URL; with a cap, up to the level that fills a site."""
     columns = ["site", "url", F.col("depth").cast("bigint").alias("depth"), "rank", "outcome"]
+    if options.max_pages is None:
+        return crawl.log.select(*columns)
     beyond = crawl.ranked.filter(F.col("rank") > options.max_pages).withColumn("outcome", F.lit("cap_reached"))
     return crawl.log.select(*columns).unionByName(beyond.select(*columns))
 
@@ -77,10 +82,17 @@ class SiteClone:
     options: CrawlOptions
     pages: DataFrame
 
+    def _located(self, outcome: str) -> DataFrame:
+        log = self.crawl.log.filter(F.col("outcome") == outcome)
+        return log.select("site", "url", "page_id", "rank", page_path(F.col("url"), self.options).alias("path"))
+
     def saved(self) -> DataFrame:
         """Saved pages with their paths: ``(site, url, page_id, rank, path)``."""
-        log = self.crawl.log.filter(F.col("outcome") == "saved")
-        return log.select("site", "url", "page_id", "rank", page_path(F.col("url"), self.options).alias("path"))
+        return self._located("saved")
+
+    def resources(self) -> DataFrame:
+        """Crawled URLs that are kept but are no pages, with their paths."""
+        return self._located("resource")
 
     def _text_of(self, narrow: DataFrame) -> DataFrame:
         """Page text of chosen ids. The one join that moves page text, and only that of the chosen pages."""
@@ -94,21 +106,29 @@ class SiteClone:
             "site", "path", "url", "rank", F.lit("page").alias("kind"), "content"
         )
 
-    def assets(self) -> DataFrame:
-        """References to saved assets in saved pages. Page text is read in place; the semi-join is narrow."""
+    @cached_property
+    def _assets(self) -> DataFrame:
         saved = self.saved().select("page_id", "rank")
-        return asset_table(self.pages, self.options).join(saved, "page_id")
+        return written(asset_table(self.pages, self.options).join(saved, "page_id"), "assets")
+
+    def assets(self) -> DataFrame:
+        """References to saved assets in saved pages. Page text is parsed in place and once; the join is narrow."""
+        return self._assets
 
     def asset_files(self) -> DataFrame:
-        """``(site, path, url, rank, kind)``: the first writer of each asset path."""
+        """``(site, path, url, rank, kind)``: the first writer of each path among assets and crawled resources.
+
+        Write their contents with ``sinks.files.asset_sink``.
+        """
         refs = self.assets().select("site", F.col("local_path").alias("path"), F.col("asset_url").alias("url"), "rank", "kind")
-        return path_winner(refs, keep="first")
+        crawled = self.resources().select("site", "path", "url", "rank", F.lit("resource").alias("kind"))
+        return path_winner(refs.unionByName(crawled), keep="first")
 
     def manifest(self) -> DataFrame:
         return asset_manifest(self.assets())
 
     def files(self) -> DataFrame:
-        """The file tree without contents: ``(site, path, kind, src_url)``. An asset never replaces a page."""
+        """The file tree without contents: ``(site, path, kind, src_url)``. An asset or resource never replaces a page."""
         pages = path_winner(self.saved(), keep="last").select(
             "site", "path", F.lit("page").alias("kind"), F.col("url").alias("src_url")
         )
@@ -118,31 +138,39 @@ class SiteClone:
     def conflicts(self) -> DataFrame:
         pages = self.saved().select("site", "path", "url")
         assets = self.assets().select("site", F.col("local_path").alias("path"), F.col("asset_url").alias("url"))
-        return path_conflicts(pages.unionByName(assets))
+        return path_conflicts(pages.unionByName(assets).unionByName(self.resources().select("site", "path", "url")))
+
+    def _exported(self) -> DataFrame:
+        return self.saved().filter(exportable_page("path")).select("site", "url", "page_id", "rank")
 
     def records(self) -> DataFrame:
-        """Page records of the export: saved pages whose file ends in ``.html``."""
-        chosen = self.saved().filter(exportable_page("path"))
-        return page_data(self._text_of(chosen), self.options).join(chosen.select("page_id", "rank"), "page_id")
+        """Page records of the export, with their place in the crawl: saved pages whose file ends in ``.html``.
+
+        Identifiers are numbered on narrow rows; the text is attached once and parsed last.
+        """
+        return records_of(numbered(self._exported()), self.pages)
+
+    def _gated(self, rows: DataFrame) -> DataFrame:
+        """Rows of the sites that get an export."""
+        return rows.join(wxr_gate(self._exported(), self.options).select("site"), "site", "left_semi")
 
     def items(self) -> DataFrame:
-        return wxr_items(self.records(), self.options.as_of)
+        return wxr_items(records_of(self._gated(numbered(self._exported())), self.pages), self.options.as_of)
 
     def channel(self) -> DataFrame:
-        chosen = self.saved().filter(exportable_page("path"))
-        return wxr_channel(self.crawl.sites, chosen, self.options.as_of)
+        return wxr_channel(self._gated(self.crawl.sites), self._exported(), self.options.as_of)
 
 
-def clone_site(pages, sites, options: CrawlOptions = GENERIC, sitemaps=None, responses=None) -> SiteClone:
+def clone_site(pages, sites, options: CrawlOptions = GENERIC, sitemaps=None, responses=None, attempts=None) -> SiteClone:
     """Generic layout: pages under ``html/``, assets in folders by kind."""
-    return SiteClone(crawl_sites(pages, sites, options, sitemaps, responses), options, pages)
+    return SiteClone(crawl_sites(pages, sites, options, sitemaps, responses, attempts), options, pages)
 
 
-def clone_cms_site(pages, sites, options: CrawlOptions = CMS, sitemaps=None, responses=None) -> SiteClone:
+def clone_cms_site(pages, sites, options: CrawlOptions = CMS, sitemaps=None, responses=None, attempts=None) -> SiteClone:
     """CMS layout: pages and assets at the paths of their URLs."""
-    return SiteClone(crawl_sites(pages, sites, options, sitemaps, responses), options, pages)
+    return SiteClone(crawl_sites(pages, sites, options, sitemaps, responses, attempts), options, pages)
 
 
-def export_cms_site(pages, sites, options: CrawlOptions = CMS_EXPORT, sitemaps=None, responses=None) -> SiteClone:
+def export_cms_site(pages, sites, options: CrawlOptions = CMS_EXPORT, sitemaps=None, responses=None, attempts=None) -> SiteClone:
     """CMS layout plus page records; write them with ``sinks.exports.write_wxr``."""
-    return clone_cms_site(pages, sites, options, sitemaps, responses)
+    return clone_cms_site(pages, sites, options, sitemaps, responses, attempts)

@@ -51,8 +51,10 @@ def _node_path(k: str) -> str:
 TREE_HOST = f"concat('tree', cast(cast({TREE_SITE} as bigint) as string), '.example.org')"
 _K = f"cast({TREE_NODE} as bigint)"
 TREE_URL = f"concat('http://', {TREE_HOST}, {_node_path(_K)}, case when page_id%4=1 then '?utm=1' else '' end)"
-TREE_HTML = f"""replace(html, '<nav>', concat('<nav><a href="', {_node_path('2*' + _K + '+1')}, '">l</a><a href="',
-  {_node_path('2*' + _K + '+2')}, '">r</a><a href="/">home</a><a href="http://tree1.example.org/">t</a>'))"""
+# Every 17th page or so has no text at all.
+TREE_HTML = f"""case when page_id%17=12 then '' else replace(html, '<nav>', concat('<nav><a href="', {_node_path('2*' + _K + '+1')}, '">l</a><a href="',
+  {_node_path('2*' + _K + '+2')}, '">r</a><a href="/">home</a><a href="/wp-includes/x', cast({_K}%3 as string),
+  '.js">js</a><a href="http://tree1.example.org/">t</a>')) end"""
 
 # URL and reference spellings per page.
 HOST_RX = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -92,7 +94,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(spark, f"{sf_dir}/pages.parquet", few_files=True)
 
 
 def pages_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +161,8 @@ RESPONSE_STATUS = "case when page_id%10=9 then 404 else 200 end"
 RESPONSE_TYPE = """case when page_id%13=12 then 'application/pdf'
   when page_id%3=0 then 'Text/HTML; charset=UTF-8' else 'text/html' end"""
 API_STATUS = "case when length(h)%4=0 then 404 else 200 end"
+# Scripts that pages of the tree link to, and a file behind a seed path: answered, and no HTML.
+SCRIPT_STATUS = "case when s = 1 then 404 else 200 end"
 API_TYPE = "case when length(h)%3=0 then 'text/html' else 'application/json; charset=UTF-8' end"
 
 
@@ -178,7 +182,20 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _responses(table(spark, sf_dir, "pages").selectExpr("page_id", f"{TREE_URL} as url"))
+    urls = table(spark, sf_dir, "pages").selectExpr("page_id", f"{TREE_URL} as url")
+    scripts = tree_bases(spark, sf_dir).selectExpr("base_url", "explode(array(0, 1, 2)) as s").selectExpr(
+        "concat(base_url, 'wp-includes/x', cast(s as string), '.js') as url", f"{SCRIPT_STATUS} as status", "'text/javascript' as content_type"
+    )
+    files = tree_bases(spark, sf_dir).selectExpr(
+        "concat(base_url, 'wp-blog-header.php') as url", "200 as status", "'application/octet-stream' as content_type"
+    )
+    return _responses(urls).unionByName(scripts).unionByName(files)
+
+
+def asset_bytes(spark: SparkSession, sf_dir: str, assets: DataFrame) -> DataFrame:
+    """``resources(url, content)`` of referenced assets; some were never captured."""
+    urls = assets.select("asset_url").distinct().filter("length(asset_url)%7 <> 0")
+    return urls.selectExpr("asset_url as url", "encode(concat('bytes of ', asset_url), 'UTF-8') as content")
 
 
 def attempts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

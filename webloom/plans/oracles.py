@@ -322,7 +322,6 @@ _CRAWL = visited(TREE)
 ORACLES["crawl_reachability"] = f"{_CRAWL} select site, url, depth from ranked"
 ORACLES["crawl_rank"] = f"{_CRAWL} select site, url, depth, rank from ranked"
 ORACLES["max_pages_cap"] = f"{_CRAWL} select site, url, rank from ranked where rank <= 40"
-ORACLES["crawl_wave"] = f"""{_CRAWL} select site, (rank-1)//10 as wave, count(*) as n, min(url) as first_url from ranked group by 1, 2"""
 ORACLES["link_outcomes"] = f"""with {AUG}, a as (select site, src, unnest({_ANCHOR_LIST}) as href from aug)
   select site, case when href like 'mailto:%' then 'not_crawlable' when href like 'https://other%' then 'off_site' else 'internal' end as outcome,
   count(*) as n from a group by 1, 2"""
@@ -345,7 +344,10 @@ def job(paths: tuple[str, ...], endpoint: str, strip_slash: bool = False) -> str
         extra += f" union all select distinct site, concat('http://', site, '/{cut(p)}'), [3, {i}, 0]::bigint[] from own"
     tables = f"{SITE_PAGES}, {tree(_ANCHOR_LIST, 'aug0', strip_slash)}"
     # A URL's response is the best of the pages that share it, by status and then by content type.
-    tables += f""", resp as (select src as url, min({{'s': {d.RESPONSE_STATUS}, 't': {d.RESPONSE_TYPE}}}) as r from own group by 1),
+    tables += f""", sites as (select distinct site from own),
+      resp as (select src as url, min({{'s': {d.RESPONSE_STATUS}, 't': {d.RESPONSE_TYPE}}}) as r from own group by 1
+        union all select concat('http://', site, '/wp-includes/x', s, '.js'), {{'s': {d.SCRIPT_STATUS}, 't': 'text/javascript'}} from sites, range(3) x(s)
+        union all select concat('http://', site, '/wp-blog-header.php'), {{'s': 200, 't': 'application/octet-stream'}} from sites),
       ok as (select i.page_id, i.url from idx i join resp using (url) where r.s < 400 and lower(r.t) like '%text/html%')"""
     return visited(tables, "select page_id from ok", extra)
 
@@ -354,20 +356,22 @@ _JOB_CMS = job(CMS_SEED_PATHS, "")
 _API = r"'^http://[^/]+/api/?\z'"
 
 
-def outcome(endpoint_rx: str | None = None) -> str:
-    return rf"""case when resp.url is null then 'failed' when r.s >= 400 then 'failed'
-      when lower(r.t) like '%text/html%' then 'saved'
-      when regexp_matches(v.url, '\.(php|css|js)\z') then 'resource' else 'skipped' end"""
+# What the job keeps whatever the header says; in the CMS layouts a page without text is no page.
+CMS_KEPT, BACKUP_KEPT, GENERIC_KEPT = r"\.(php|css|js)\z", r"\.(php|css|js|sql|zip)\z", r"^\z"
 
 
-# A site is crawled to the end of the level that fills it.
-_REACHED = "depth <= coalesce((select min(f.depth) from ranked f where f.site = log.site and f.rank >= 40), depth)"
-_LOG = f"""log as (select v.site, v.url, v.depth, v.rank, idx.page_id, {outcome()} as outcome from ranked v
+def log(kept: str) -> str:
+    empty = "false" if kept == GENERIC_KEPT else "idx.page_id%17 = 12"
+    outcome = rf"""case when resp.url is null then 'failed' when r.s >= 400 then 'failed'
+      when lower(r.t) like '%text/html%' then case when {empty} then 'resource' else 'saved' end
+      when regexp_matches(v.url, '{kept}') then 'resource' else 'skipped' end"""
+    return f"""log as (select v.site, v.url, v.depth, v.rank, idx.page_id, {outcome} as outcome from ranked v
   left join resp on resp.url = v.url left join idx on idx.url = v.url)"""
-ORACLES["crawl_log"] = f"""{_JOB_CMS}, {_LOG} select site, url, depth, rank,
-  case when rank > 40 then 'cap_reached' else outcome end as outcome from log where {_REACHED}"""
-ORACLES["outcome_counts"] = f"""{_JOB_CMS}, {_LOG} select site, case when rank > 40 then 'cap_reached' else outcome end as outcome,
-  count(*) as n from log where {_REACHED} group by 1, 2"""
+
+
+_LOG = log(CMS_KEPT)
+ORACLES["crawl_log"] = f"{_JOB_CMS}, {_LOG} select site, url, depth, rank, outcome from log"
+ORACLES["outcome_counts"] = f"{_JOB_CMS}, {_LOG} select site, outcome, count(*) as n from log group by 1, 2"
 
 # Rewritten pages: the four kinds of saved references, each at its known place.
 def own_pages(own: str) -> str:
@@ -407,29 +411,37 @@ def _rewritten(files_: tuple[str, ...]) -> str:
 
 ORACLES["rewrite_pages"] = f"""with {AUG} select page_id, own as path, {_rewritten(_CMS_FILES)} as content
   from {own_pages(cms_path("src"))}"""
-ORACLES["site_files_sink"] = f"""with {AUG_GENERIC}, w as (select site, own as path, src as url, length({_rewritten(_GENERIC_FILES)}) as n_chars,
+ORACLES["site_files_sink"] = f"""with {AUG_GENERIC}, w as (select site, own as path, src as url, md5({_rewritten(_GENERIC_FILES)}) as content,
     row_number() over (partition by site, own order by page_id desc) as n from {own_pages(site_path("src"))})
-  select site, path, url, n_chars from w where n = 1"""
+  select site, path, url, content from w where n = 1"""
 
 
-def files(head: str, own_path, local: str, types: str) -> str:
+def files(head: str, own_path, local: str, types: str, kept: str) -> str:
     ref_tables = ASSETS.replace(AUG, f"aug as (select page_id, {d.TREE_HOST} as site, own.src, tree.html from tree join own using (page_id))").replace(d.TREE_HOST, "own.site")
-    return f"""{head}, {_LOG}, saved as (select site, url, page_id, rank, {own_path('url')} as path from log where outcome = 'saved'),
+    return f"""{head}, {log(kept)}, saved as (select site, url, page_id, rank, {own_path('url')} as path from log where outcome = 'saved'),
   pw as (select site, path, arg_max(url, rank) as src_url from saved group by 1, 2), {ref_tables},
   al as (select a.site, {local} as path, kind, asset_url, s.rank from assets a join saved s on s.page_id = a.page_id
-    where internal and regexp_matches(asset_url, '{types}')),
+    where internal and regexp_matches(asset_url, '{types}')
+    union all select site, {own_path('url')}, 'resource', url, rank from log where outcome = 'resource'),
   aw as (select site, path, kind, asset_url, row_number() over (partition by site, path order by rank, asset_url, kind) as w from al)
   select site, path, 'page' as kind, src_url from pw
   union all select site, path, kind, asset_url from aw where w = 1 and (site, path) not in (select (site, path) from pw)"""
 
 
-ORACLES["clone_cms_site"] = files(_JOB_CMS, cms_path, cms_path("asset_url"), CMS_TYPES)
-ORACLES["clone_site"] = files(job((), "/api/", True), site_path, GENERIC_LOCAL, GENERIC_TYPES)
+ORACLES["clone_cms_site"] = files(_JOB_CMS, cms_path, cms_path("asset_url"), CMS_TYPES, CMS_KEPT)
+ORACLES["clone_backup_site"] = files(
+    _JOB_CMS, lambda u: cms_path(u, True), cms_path("asset_url", True), CMS_TYPES.replace("|ico)", "|ico|sql|zip)"), BACKUP_KEPT
+)
+ORACLES["clone_site"] = files(job((), "/api/", True), site_path, GENERIC_LOCAL, GENERIC_TYPES, GENERIC_KEPT)
 ORACLES["export_cms_site"] = rf"""{_JOB_CMS}, {_LOG}, saved as (select site, url, page_id from log where outcome = 'saved'
     and regexp_matches({cms_path('url')}, '(?s)[^/]\.html\z'))
   select site, url as link, {TITLE} as title, {slug('url')} as post_name,
-    cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as post_id, length({CONTENT}) as n_chars
+    cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as post_id, md5({CONTENT}) as content
   from (select s.site, s.url, s.page_id, t.html from saved s join tree t on t.page_id = s.page_id)"""
+ORACLES["page_collection"] = rf"""{_JOB_CMS}, {_LOG}, saved as (select site, url, page_id, rank from log where outcome = 'saved'
+    and regexp_matches({cms_path('url')}, '(?s)[^/]\.html\z'))
+  select site, rank, url, {TITLE} as title, {slug('url')} as slug, md5({CONTENT}) as content
+  from (select s.site, s.url, s.page_id, s.rank, t.html from saved s join tree t on t.page_id = s.page_id)"""
 
 _PATH = cms_path(PAGE)
 RECORDS = rf"""records as (select page_id, {HOST} as site, {PAGE} as url, {TITLE} as title,
@@ -445,12 +457,11 @@ ORACLES["wxr_channel"] = f"""with {SITES}, {RECORDS} select site, site as title,
   'Exported WordPress content' as description, 'Mon, 01 Jan 2024 00:00:00 +0000' as pub_date, 'en-US' as language, '1.2' as wxr_version
   from sites where site in (select site from records)"""
 ORACLES["wxr_gate"] = f"with {RECORDS} select site, count(*) as n_pages from records group by site"
-ORACLES["page_collection"] = f"""with {RECORDS} select site, count(*) as n_pages, min(title) as first_title, max(slug) as last_slug
-  from records group by site"""
-ORACLES["pages_json_export"] = f"with {RECORDS} select title, content, slug, 'publish' as status from records"
-ORACLES["wxr_files"] = f"""with {RECORDS} select title, url as link, length(content) as content,
-  cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as post_id, slug as post_name, 'publish' as status from records"""
+ORACLES["pages_json_export"] = f"with {RECORDS} select site, title, content, slug, 'publish' as status from records"
+ORACLES["wxr_files"] = f"""with {RECORDS} select site, title, url as link, md5(content) as content,
+  id + 1000000 * (row_number() over (partition by site, id order by url) - 1) as post_id, slug as post_name, 'publish' as status
+  from (select *, cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as id from records)"""
 ORACLES["asset_sink"] = f"""with {ASSETS}, w as (select site, {cms_path('asset_url')} as path, asset_url as url, page_id as rank, kind
-  from assets where {SAVED_CMS}) select site, path, url, rank, kind
+  from assets where {SAVED_CMS} and length(asset_url)%7 <> 0) select site, path, url, rank, kind, md5(concat('bytes of ', url)) as content
   from (select *, row_number() over (partition by site, path order by rank, url, kind) as n from w) where n = 1"""
 ORACLES["stream_discover_links"] = f"with {LINKED} select site, url from linked"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, predicates, urls
 from ..operators import attempts, crawl, export, frontier, layout, links, ranking, rewrite
-from ..options import BACKUP_ENDINGS, CMS, CMS_ENDINGS, CMS_EXPORT, GENERIC
+from ..options import BACKUP_ENDINGS, CMS, CMS_ENDINGS, CMS_EXPORT, CMS_WITH_BACKUP, GENERIC
 from ..session import scratch_path
 from ..sinks import files as file_sinks
 from ..sinks.exports import write_pages_json, write_wxr
@@ -21,8 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 MAX_RETRIES = 3
-MAX_CONCURRENT = 10
-MAX_PAGES = 40  # small enough to bind at every scale factor
+MAX_PAGES = 40  # of the cap's own query: small enough to bind at every scale factor
 AS_OF = GENERIC.as_of
 
 
@@ -474,12 +473,6 @@ def max_pages_cap(spark, sf):
     return ranking.max_pages_cap(ranked, MAX_PAGES).select("site", "url", "rank")
 
 
-@query
-def crawl_wave(spark, sf):
-    waves = ranking.crawl_wave(ranking.crawl_rank(_visited(spark, sf)), MAX_CONCURRENT)
-    return waves.groupBy("site", "wave").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
-
-
 def _tree_clone(spark, sf, options):
     sites = seeds.site_table(derived.tree_bases(spark, sf))
     return clone.clone_cms_site(
@@ -489,14 +482,12 @@ def _tree_clone(spark, sf, options):
 
 @query
 def crawl_log(spark, sf):
-    options = CMS.with_(max_pages=MAX_PAGES)
-    return clone.crawl_log(_tree_clone(spark, sf, options).crawl, options)
+    return clone.crawl_log(_tree_clone(spark, sf, CMS).crawl, CMS)
 
 
 @query
 def outcome_counts(spark, sf):
-    options = CMS.with_(max_pages=MAX_PAGES)
-    log = clone.crawl_log(_tree_clone(spark, sf, options).crawl, options)
+    log = clone.crawl_log(_tree_clone(spark, sf, CMS).crawl, CMS)
     return clone.outcome_counts(log)
 
 
@@ -526,14 +517,21 @@ def clone_cms_site(spark, sf):
 @query
 def export_cms_site(spark, sf):
     items = _tree_clone(spark, sf, CMS_EXPORT).items()
-    return items.select("site", "link", "title", "post_name", "post_id", F.length("content_encoded").cast("bigint").alias("n_chars"))
+    return items.select("site", "link", "title", "post_name", "post_id", F.md5("content_encoded").alias("content"))
+
+
+@query
+def clone_backup_site(spark, sf):
+    """The layout that also keeps database dumps and archives."""
+    return _tree_clone(spark, sf, CMS_WITH_BACKUP).files()
 
 
 def _records(spark, sf):
-    """Exportable pages, one per canonical URL."""
+    """Exportable pages, one per canonical URL, numbered before their text is attached."""
     pages = derived.pages(spark, sf)
-    chosen = captures.page_index(pages).select("page_id")
-    return export.page_data(pages, CMS_EXPORT, exportable_only=True).join(chosen, "page_id", "left_semi")
+    index = captures.page_index(pages).withColumn("site", urls.url_host("url"))
+    chosen = index.filter(predicates.exportable_page(links.page_path(F.col("url"), CMS_EXPORT)))
+    return export.records_of(export.numbered(chosen), pages)
 
 
 @query
@@ -556,14 +554,15 @@ def pages_json_export(spark, sf):
     """Written as JSON files and read back."""
     out = scratch_path(spark, "json")
     write_pages_json(_records(spark, sf), out)
-    return spark.read.schema("title string, content string, slug string, status string").json(out)
+    schema = "title string, content string, slug string, status string, site_bucket int, site string"
+    return spark.read.schema(schema).json(out).drop("site_bucket")
 
 
 @query
 def page_collection(spark, sf):
-    return _records(spark, sf).groupBy("site").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.min("title").alias("first_title"), F.max("slug").alias("last_slug")
-    )
+    """The exported pages of a crawl, in its order."""
+    records = _tree_clone(spark, sf, CMS_EXPORT).records()
+    return records.select("site", "rank", "url", "title", "slug", F.md5("content").alias("content"))
 
 
 @query
@@ -572,32 +571,36 @@ def wxr_files(spark, sf):
     out = scratch_path(spark, "wxr")
     records = _records(spark, sf)
     write_wxr(export.wxr_items(records, AS_OF), export.wxr_channel(_sites(spark, sf), records, AS_OF), out)
-    schema = "title string, link string, `content:encoded` string, `wp:post_id` bigint, `wp:post_name` string, `wp:status` string"
+    schema = "title string, link string, `content:encoded` string, `wp:post_id` bigint, `wp:post_name` string, `wp:status` string, site_bucket int, site string"
     back = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").schema(schema).load(f"{out}/items")
-    return back.toDF("title", "link", "content", "post_id", "post_name", "status").withColumn(
-        "content", F.length("content").cast("bigint")
-    )
+    flat = back.drop("site_bucket").toDF("title", "link", "content", "post_id", "post_name", "status", "site")
+    return flat.withColumn("content", F.md5("content"))
 
 
 @query
 def site_files_sink(spark, sf):
     """Pages written under paths that slash variants share; the last writer of each path is read back."""
     out = scratch_path(spark, "site_files")
-    files = rewrite.rewrite_pages(derived.pages_aug(spark, sf), GENERIC).withColumn("rank", F.col("page_id"))
-    file_sinks.site_files_sink(files.select("site", "path", "url", "rank", "content"), out)
-    return spark.read.parquet(out).select("site", "path", "url", F.length("content").cast("bigint").alias("n_chars"))
+    pages = derived.pages_aug(spark, sf)
+    url = urls.canonicalize_url("url", GENERIC.strip_slash)
+    located = pages.select("page_id", url.alias("url"), F.col("page_id").alias("rank")).filter("url is not null")
+    paths = located.select(urls.url_host("url").alias("site"), links.page_path(F.col("url"), GENERIC).alias("path"), "url", "rank", "page_id")
+    kept = layout.path_winner(paths).select("page_id", "rank")
+    files = rewrite.rewrite_pages(pages.join(kept, "page_id", "left_semi"), GENERIC).withColumn("rank", F.col("page_id"))
+    file_sinks.site_files_sink(files.select("site", "path", "url", "rank", "content"), out, one_per_path=True)
+    return spark.read.parquet(out).select("site", "path", "url", F.md5("content").alias("content"))
 
 
 @query
 def asset_sink(spark, sf):
-    """Asset references written twice; the second run finds every path taken and adds nothing."""
+    """Contents of captured assets written twice; the second run finds every path taken and adds nothing."""
     out = scratch_path(spark, "assets")
-    refs = links.asset_table(derived.pages_aug(spark, sf), CMS).select(
-        "site", F.col("local_path").alias("path"), F.col("asset_url").alias("url"), F.col("page_id").alias("rank"), "kind"
-    )
-    file_sinks.asset_sink(refs, out)
-    file_sinks.asset_sink(refs, out, existing=spark.read.parquet(out))
-    return spark.read.parquet(out).select("site", "path", "url", "rank", "kind")
+    found = links.asset_table(derived.pages_aug(spark, sf), CMS)
+    refs = found.select("site", F.col("local_path").alias("path"), F.col("asset_url").alias("url"), F.col("page_id").alias("rank"), "kind")
+    captured = derived.asset_bytes(spark, sf, found)
+    file_sinks.asset_sink(refs, captured, out)
+    file_sinks.asset_sink(refs, captured, out, existing=spark.read.parquet(out))
+    return spark.read.parquet(out).select("site", "path", "url", "rank", "kind", F.md5("content").alias("content"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "webloom", cores: str = "*", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -17,6 +21,8 @@ def build_session(app: str = "webloom", cores: str = "*", **conf: str) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # What a stream has seen grows without bound, so it is kept on disk and not on the heap.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -24,11 +30,11 @@ def build_session(app: str = "webloom", cores: str = "*", **conf: str) -> SparkS
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a temporary folder only in local mode."""
+    """The shared folder the cluster names for checkpoints; one of its own only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -54,7 +60,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use every core on a file scan with fewer splits than cores; leave a larger one where it is.
+    """Use every core on a file scan with fewer splits than cores; leave a larger one where it is. A caller's choice.
 
     For plain scans only: asking for the number of splits of a plan with exchanges would run them. The check is on
     that number, so a large table is never shuffled here.

@@ -35,11 +35,15 @@ def _write(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
     )
 
 
-def site_files_sink(files: DataFrame, path: str, buckets: int = SITE_BUCKETS) -> None:
+def site_files_sink(files: DataFrame, path: str, buckets: int = SITE_BUCKETS, one_per_path: bool = False) -> None:
     """Write pages; the last writer of a path wins and an earlier run is overwritten.
 
     ``files(site, path, url, rank, ...)``. Winners are picked on the narrow key columns; page text is only filtered.
+    With ``one_per_path`` they are picked already (as in ``SiteClone.page_files``), and text moves in the rebalance only.
     """
+    if one_per_path:
+        _write(files, path, "overwrite", buckets)
+        return
     winners = path_winner(files.select("site", "path", "url", "rank")).select("site", "path", "url", "rank")
     kept = files.join(winners, ["site", "path", "url", "rank"], "left_semi")
     _write(kept, path, "overwrite", buckets)
@@ -51,9 +55,12 @@ def new_assets(assets: DataFrame, existing: DataFrame | None) -> DataFrame:
     return path_winner(fresh, keep="first")
 
 
-def asset_sink(assets: DataFrame, path: str, existing: DataFrame | None = None, buckets: int = SITE_BUCKETS) -> None:
-    """Append assets whose path does not exist yet, so a second run adds nothing.
+def asset_sink(assets: DataFrame, resources: DataFrame, path: str, existing: DataFrame | None = None, buckets: int = SITE_BUCKETS) -> None:
+    """Append the contents of assets whose path does not exist yet, so a second run adds nothing.
 
-    ``assets(site, path, url, rank, ...)``; ``existing`` is what an earlier run wrote to ``path``.
+    ``assets(site, path, url, rank, ...)``; ``resources(url, content)`` are the captured bytes (for files, of Spark's
+    ``binaryFile`` source); an asset without them failed and is left to a later run. ``existing`` is what an earlier run wrote to ``path``.
     """
-    _write(new_assets(assets, existing), path, "append", buckets)
+    captured = assets.join(resources.select("url"), "url", "left_semi")
+    chosen = new_assets(captured, existing)
+    _write(chosen.join(resources.select("url", "content").dropDuplicates(["url"]), "url"), path, "append", buckets)

@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import content_type_gate, is_html, response_ok
+from ..functions.predicates import content_type_gate, is_html, response_ok, route_page_or_resource
 from ..functions.urls import canonicalize_url
+from ..operators.attempts import retry_outcome
 from ..options import CrawlOptions
 from ..session import spread
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``pages(page_id, url, html)``; a few large files are spread over all cores before any page is parsed."""
-    return spread(spark.read.parquet(path).select("page_id", "url", "html"))
+def read_pages(spark: SparkSession, path: str, few_files: bool = False) -> DataFrame:
+    """``pages(page_id, url, html)``; with ``few_files`` they are spread over all cores before any page is parsed."""
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(pages) if few_files else pages
 
 
-def page_index(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
+def page_index(pages: DataFrame, strip_slash: bool = False, with_branch: bool = False) -> DataFrame:
     """``(url, page_id)``: one page per canonical URL, the one with the lowest id.
 
-    Reads identifiers and URLs only. An aggregate and not a window, so copies of one URL combine before the exchange.
+    Reads identifiers and URLs only; ``with_branch`` also looks whether there is text and adds ``branch``. An aggregate
+    and not a window, so copies of one URL combine before the exchange.
     """
-    return (
-        pages.select(canonicalize_url("url", strip_slash).alias("url"), "page_id")
-        .filter(F.col("url").isNotNull())
-        .groupBy("url")
-        .agg(F.min("page_id").alias("page_id"))
-    )
+    located = pages.select(
+        canonicalize_url("url", strip_slash).alias("url"), "page_id", *([route_page_or_resource("html").alias("branch")] if with_branch else [])
+    ).filter(F.col("url").isNotNull())
+    branch = [F.min_by("branch", "page_id").alias("branch")] if with_branch else []
+    return located.groupBy("url").agg(F.min("page_id").alias("page_id"), *branch)
 
 
 def page_source(frontier: DataFrame, pages: DataFrame, strip_slash: bool = False) -> DataFrame:
@@ -45,8 +47,9 @@ def page_source(frontier: DataFrame, pages: DataFrame, strip_slash: bool = False
 
 
 def canonical_responses(responses: DataFrame, strip_slash: bool = False) -> DataFrame:
-    """``(url, status, content_type)``: one response per canonical URL, the best by status."""
-    best = F.min(F.struct("status", "content_type")).alias("r")
+    """``(url, status, content_type)``: one response per canonical URL: a success before any other, then the lowest status."""
+    good = F.coalesce(F.col("status").between(200, 399), F.lit(False))
+    best = F.min(F.struct((~good).alias("bad"), "status", "content_type")).alias("r")
     return (
         responses.select(canonicalize_url("url", strip_slash).alias("url"), "status", "content_type")
         .filter(F.col("url").isNotNull())
@@ -56,8 +59,18 @@ def canonical_responses(responses: DataFrame, strip_slash: bool = False) -> Data
     )
 
 
-def fetched_html(index: DataFrame, responses: DataFrame | None, options: CrawlOptions) -> DataFrame:
+def failed_fetches(attempts: DataFrame | None, options: CrawlOptions) -> DataFrame | None:
+    """URLs of an attempt log ``(url, ts, attempt_id, ok)`` without a success among the attempts that count."""
+    if attempts is None:
+        return None
+    canonical = attempts.withColumn("url", canonicalize_url("url", options.strip_slash)).filter(F.col("url").isNotNull())
+    return retry_outcome(canonical, options.max_retries).filter(F.col("first_success").isNull()).select("url")
+
+
+def fetched_html(index: DataFrame, responses: DataFrame | None, options: CrawlOptions, failed: DataFrame | None = None) -> DataFrame:
     """Index rows whose response is fine and HTML. Without responses every captured page is."""
+    if failed is not None:
+        index = index.join(failed, "url", "left_anti")
     if responses is None:
         return index
     good = canonical_responses(responses, options.strip_slash).filter(
@@ -66,20 +79,31 @@ def fetched_html(index: DataFrame, responses: DataFrame | None, options: CrawlOp
     return index.join(good, "url", "left_semi")
 
 
-def fetch_outcome(visited: DataFrame, index: DataFrame, responses: DataFrame | None, options: CrawlOptions) -> DataFrame:
-    """``crawl_log`` rows of visited URLs: saved, resource, skipped or failed."""
-    log = visited.join(index.select("url", "page_id"), "url", "left")
+def fetch_outcome(
+    visited: DataFrame, index: DataFrame, responses: DataFrame | None, options: CrawlOptions, failed: DataFrame | None = None
+) -> DataFrame:
+    """``crawl_log`` rows of visited URLs: saved, resource, skipped or failed.
+
+    In the CMS layouts a page without text goes the way of a resource; the generic layout has no such branch.
+    """
+    log = visited.join(index, "url", "left")
     if responses is None:
         log = log.withColumn("status", F.when(F.col("page_id").isNotNull(), F.lit(200))).withColumn(
             "content_type", F.when(F.col("page_id").isNotNull(), F.lit("text/html"))
         )
     else:
         log = log.join(canonical_responses(responses, options.strip_slash), "url", "left")
+    if failed is not None:
+        log = log.join(failed.withColumn("gave_up", F.lit(True)), "url", "left")
+    gave_up = F.coalesce(F.col("gave_up"), F.lit(False)) if failed is not None else F.lit(False)
+    is_page = F.col("page_id").isNotNull()
+    if options.layout == "cms":
+        is_page = is_page & (F.col("branch") == "page")
     outcome = (
-        F.when(F.col("page_id").isNull() & F.col("status").isNull(), F.lit("failed"))
+        F.when(gave_up | (F.col("page_id").isNull() & F.col("status").isNull()), F.lit("failed"))
         .when(~response_ok("status"), F.lit("failed"))
         .when(~content_type_gate("content_type", "url", options.url_endings), F.lit("skipped"))
-        .when(F.coalesce(is_html("content_type"), F.lit(False)) & F.col("page_id").isNotNull(), F.lit("saved"))
+        .when(F.coalesce(is_html("content_type"), F.lit(False)) & is_page, F.lit("saved"))
         .otherwise(F.lit("resource"))
     )
-    return log.withColumn("outcome", outcome)
+    return log.withColumn("outcome", outcome).drop("branch", "gave_up")

@@ -11,13 +11,14 @@ from ..session import nullable, scratch_path
 PAGES = T.StructType().add("page_id", "long").add("url", "string").add("html", "string")
 URLS = T.StructType().add("site", "string").add("url", "string")
 
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BATCH_BYTES = "100g"  # of page files per micro-batch: a failure repeats at most that much
 
 
-def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
-    """Page files as they arrive in a folder; ``files`` is a glob over their names."""
-    return spark.readStream.schema(PAGES).option("pathGlobFilter", files).parquet(folder)
+def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", batch_bytes: str = BATCH_BYTES, batch_files: int | None = None) -> DataFrame:
+    """Page files as they arrive in a folder; ``files`` is a glob over their names. A backlog is taken in batches."""
+    reader = spark.readStream.schema(PAGES).option("pathGlobFilter", files)
+    limited = reader.option("maxFilesPerTrigger", batch_files) if batch_files else reader.option("maxBytesPerTrigger", batch_bytes)
+    return limited.parquet(folder)
 
 
 def discover_links(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
@@ -27,27 +28,27 @@ def discover_links(pages: DataFrame, strip_slash: bool = False) -> DataFrame:
 
 
 def stream_discover_links(
-    spark: SparkSession, folder: str, files: str = "*.parquet", strip_slash: bool = False, out: str | None = None
+    spark: SparkSession,
+    folder: str,
+    files: str = "*.parquet",
+    strip_slash: bool = False,
+    out: str | None = None,
+    batch_bytes: str = BATCH_BYTES,
+    batch_files: int | None = None,
 ) -> DataFrame:
     """Drain what is in the folder now and return all URLs discovered so far.
 
-    Give the same ``out`` again to continue from its checkpoint.
+    Give the same ``out`` again to continue from its checkpoint. The state store is the session's: see ``build_session``.
     """
     out = out or scratch_path(spark, "discovered")
-    # "Seen" grows without bound, so it lives on disk and not on the heap.
-    before = spark.conf.get(_STATE_STORE)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)
-    try:
-        query = (
-            discover_links(page_stream(spark, folder, files), strip_slash)
-            .writeStream.format("parquet")
-            .option("path", f"{out}/urls")
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(_STATE_STORE, before)
+    query = (
+        discover_links(page_stream(spark, folder, files, batch_bytes, batch_files), strip_slash)
+        .writeStream.format("parquet")
+        .option("path", f"{out}/urls")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     return spark.read.schema(nullable(URLS)).parquet(f"{out}/urls")
