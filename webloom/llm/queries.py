@@ -14,6 +14,7 @@ from . import bpe, chat_roles, decontaminate, ngram_join, quality_gam, quality_r
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(function: Query) -> Query:
@@ -82,12 +83,12 @@ def op5_url_filters(spark, sf):
 
 @query
 def op2_training_order(spark, sf):
-    return training_order.materialise(table(spark, sf, "documents"), BYTE_BPE, end=50_256)
+    return training_order.materialise(table(spark, sf, "documents"), BYTE_RANKS, end=50_256)
 
 
 @query
 def op3_token_counts(spark, sf):
-    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(table(spark, sf, "documents"), BYTE_RANKS)
 
 
 @query

@@ -1,6 +1,6 @@
 """Training-order materialisation of token sequences.
 
-1. Texts are encoded once; each task writes its rows with the place of their first token among the task's tokens. The
+1. Texts are encoded once with a rank file; each task writes its rows with the place of their first token among the task's tokens. The
    number of tokens per task is all that comes to the driver; with it every token has a global place.
 2. The stream of all tokens (an end token after each text) is cut into sequences of ``length`` tokens, the last one filled up.
 3. A keyed Feistel network over the next even number of bits, walked until it falls below the number of sequences, is a
@@ -8,31 +8,35 @@
 4. Slots are dealt out by ranges: shard ``slot div per_shard``. Every record has the same size, so a
    reader finds slot ``s`` at ``(s mod per_shard) * stride`` of its shard and can stop and go on anywhere.
 
-Contract: null and empty texts give an end token alone; repeated rows are texts of their own; an empty table gives no
+Contract: null and empty texts give an end token alone; the name of the end token in a text is ordinary text; repeated rows are texts of their own; an empty table gives no
 records; other columns are not read. The order depends on the key, the length and the split of the input files into tasks; once the tokens are written it is
 fixed, lost executors included. Token identifiers must fit 16 bits (``ValueError`` otherwise).
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import os
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .bpe import Encoder, shipped
+from .bpe import MAX_FILE_BYTES, PATTERN
 
 LENGTH = 2048
 PER_SHARD = 4096
 ROUNDS = 6
 KEY = 0x5DEECE66D
-MEMO_ENTRIES = 600_000
 WIDTH = 2  #: bytes of a token
 
 
@@ -58,51 +62,41 @@ def slots(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
-class _Packed(dict):
-    """Pre-tokens as packed identifiers."""
+_encodings: dict[bytes, tiktoken.Encoding] = {}
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
 
-    def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.encoder.memo.__missing__(piece), "<u2").tobytes()
-        self.encoder.memo.clear()  # one table is enough
-        if len(piece) <= 48:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = out
-        return out
+def _shipped(spark: SparkSession, path: str) -> Callable[[], tiktoken.Encoding]:
+    raw = Path(path).read_bytes()
+    if len(raw) > MAX_FILE_BYTES:
+        raise ValueError(f"the vocabulary file is larger than {MAX_FILE_BYTES} bytes")
+    name, sent = hashlib.sha256(raw).digest(), spark.sparkContext.broadcast(raw)
 
+    def get() -> tiktoken.Encoding:
+        if name not in _encodings:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, sent.value.splitlines())}
+            if max(ranks.values()) >= 1 << 16:
+                raise ValueError("token identifiers must fit 16 bits")
+            _encodings.clear()
+            _encodings[name] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return _encodings[name]
 
-_packed: dict[int, _Packed] = {}
+    return get
 
 
 def packed_texts(docs: DataFrame, path: str, end: int, text: str) -> DataFrame:
     """``task, start, ids``: packed tokens of each text, with its place among its task's tokens."""
-    get = shipped(docs.sparkSession, path)
+    get = _shipped(docs.sparkSession, path)
+    if not 0 <= end < 1 << 16:
+        raise ValueError("token identifiers must fit 16 bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = get()
-        if max(encoder.vocabulary.token_bytes) >= 1 << 16 or end >= 1 << 16:
-            raise ValueError("token identifiers must fit 16 bits")
-        if id(encoder) not in _packed:
-            _packed.clear()
-            _packed[id(encoder)] = _Packed(encoder)
-        memo, stop = _packed[id(encoder)], np.array([end], "<u2").tobytes()
+        encode, stop = get().encode_ordinary, array("H", [end]).tobytes()
         task, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, starts = [], []
                 for cell in batch.column(0).slice(at, 512):
-                    parts = []
-                    for i, part in enumerate(encoder.added.split(cell.as_py() or "") if encoder.added else [cell.as_py() or ""]):
-                        if i % 2:
-                            parts.append(np.array([encoder.vocabulary.added[part]], "<u2").tobytes())
-                        elif part:
-                            for pieces in encoder.pieces(part):
-                                parts.append(b"".join(map(memo.__getitem__, pieces)))
-                    ids.append(b"".join((*parts, stop)))
+                    ids.append(array("H", encode(cell.as_py() or "")).tobytes() + stop)
                     starts.append(start)
                     start += len(ids[-1]) // WIDTH
                 yield pa.RecordBatch.from_arrays(
