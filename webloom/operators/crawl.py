@@ -8,11 +8,16 @@ a large one. The driver sees one row count per level.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import nullable, scratch_path, written
+from ..session import nullable, scratch_path
+from .ranking import rank_within
+
+REBASE = 16
 
 
 def seed_level(seeds: DataFrame) -> DataFrame:
@@ -33,15 +38,15 @@ def link_edges(links: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return links.groupBy(*key).agg(F.min("pos").cast("bigint").alias("pos")).select("src", "dst", "pos")
 
 
-def store_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Write the link table once for all levels.
+@contextmanager
+def stored_edges(edges: DataFrame, buckets: int | None = None) -> Iterator[DataFrame]:
+    """Write the link table once for all levels, bucketed by source page, so that no level shuffles it again.
 
-    With ``buckets`` it is bucketed by source page, so no level shuffles it again; worth it for long crawls. It is
-    then an external table of the session's catalog (``webloom_edges_...``) with its files in the shared folder.
+    It is an external table of the session's catalog with its files in the shared folder, and leaves the catalog at the end.
+    ``buckets`` is the session's number of shuffle partitions if it is not given.
     """
-    if not buckets:
-        return written(edges, "edges")
     spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"webloom_edges_{uuid.uuid4().hex}"
     (
         edges.repartition(buckets, "src")
@@ -50,7 +55,10 @@ def store_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
         .sortBy("src")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def crawl_reachability(
@@ -62,7 +70,8 @@ def crawl_reachability(
     """``visited(site, url, order, depth)`` from ``seeds(site, url, order)`` over stored ``edges(src, dst, pos)``.
 
     ``order`` is the list of link positions that leads to a URL. Within a depth it sorts URLs exactly as a
-    first-in-first-out queue would, so no level needs a global sort. ``max_pages`` stops sites that are full after
+    first-in-first-out queue would, so a level needs no sort. Every ``REBASE`` levels the list is replaced by the
+    URL's rank within its level and site, so its width does not grow with the depth. ``max_pages`` stops sites that are full after
     a whole level; the exact cut is made by rank afterwards (everything up to the cap is in the result).
     """
     spark = seeds.sparkSession
@@ -82,6 +91,9 @@ def crawl_reachability(
         if found == 0 or depth == max_depth:
             break
         frontier = visited(depth).select("site", "url", "order")
+        if depth % REBASE == REBASE - 1:
+            ranked = rank_within(frontier, "site", ["order"])
+            frontier = ranked.select("site", "url", F.array("rank").alias("order"))
         if max_pages is not None and total >= max_pages:
             full = visited().groupBy("site").count().filter(F.col("count") >= max_pages)
             frontier = frontier.join(full, "site", "left_anti")

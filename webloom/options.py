@@ -51,7 +51,7 @@ class CrawlOptions:
     max_depth: int | None = None
     max_retries: int = 1  # attempts that count, where a job is given a log of attempts
     as_of: str = "2024-01-01 00:00:00"  # every exported date; never the wall clock
-    edge_buckets: int | None = None  # keep the link table bucketed by source page for long crawls
+    edge_buckets: int | None = None  # of the link table, by source page; None: the session's shuffle partitions
 
     def with_(self, **changes) -> CrawlOptions:
         return replace(self, **changes)

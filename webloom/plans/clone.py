@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import exportable_page
 from ..functions.urls import is_internal
-from ..operators.crawl import crawl_reachability, link_edges, store_edges
+from ..operators.crawl import crawl_reachability, link_edges, stored_edges
 from ..operators.export import numbered, records_of, wxr_channel, wxr_gate, wxr_items
 from ..operators.layout import asset_manifest, path_conflicts, path_winner
 from ..operators.links import asset_table, link_table, page_path
@@ -45,9 +45,9 @@ def crawl_sites(
     failed = failed_fetches(attempts, options)
     html = fetched_html(index, responses, options, failed)
     # The only parsing of the page text; everything after it is narrow.
-    edges = store_edges(link_edges(link_table(pages, slash), html), options.edge_buckets)
     seeds = seed_queue(sites, options, sitemaps, responses)
-    visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
+    with stored_edges(link_edges(link_table(pages, slash), html), options.edge_buckets) as edges:
+        visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
     ranked = written(crawl_rank(visited).drop("order"), "ranked")
     log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options, failed), "log")
     return SiteCrawl(sites, index, ranked, log)

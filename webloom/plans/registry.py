@@ -451,10 +451,10 @@ def link_graph(spark, sf):
 def _visited(spark, sf, max_pages=None):
     pages = derived.pages_tree(spark, sf)
     index = captures.page_index(pages)
-    edges = crawl.store_edges(crawl.link_edges(links.link_table(pages), index))
     sites = seeds.site_table(derived.tree_bases(spark, sf))
     queue = seeds.seed_queue(sites, CMS.with_(seed_paths=()))
-    return crawl.crawl_reachability(queue, edges, max_pages=max_pages)
+    with crawl.stored_edges(crawl.link_edges(links.link_table(pages), index)) as edges:
+        return crawl.crawl_reachability(queue, edges, max_pages=max_pages)
 
 
 @query
