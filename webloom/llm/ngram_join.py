@@ -33,10 +33,11 @@ from . import text as tx
 from .graph import components
 from .sieve import split, wanted_texts
 
-CELLS = 1 << 18  #: of the hotness sketch; broadcast, 256 kB
+CELLS = 1 << 20  #: of the hotness sketch; a byte each is broadcast
+CELL_BITS = 20
 CELL_BLOCK = 1 << 10
 HOT_FACTOR = 1.5  #: times the median cell
-GROUPS = 64  #: coordinates of the vectors in the tree
+GROUPS = 128  #: coordinates of the vectors in the tree
 FANOUT = 16
 BLOCK = 4096  #: vectors per tree
 LEAST = 4  #: hash orders of the first pass
@@ -83,28 +84,27 @@ def hot_cells(docs: DataFrame, text: str, words: int) -> np.ndarray:
         for batch in batches:
             for chunk in tx.chunks(batch.column(0)):
                 _, key = _shingles(chunk, words)
-                total += np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+                total += np.bincount((key >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
         blocks = total.reshape(-1, CELL_BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(blocks))), pa.array([b.astype("<u4").tobytes() for b in blocks], pa.binary())], names=["block", "counts"]
-        )
+        packed = [b.astype("u1" if b.max() < 256 else "<u8").tobytes() for b in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(counts, "<u4").astype(np.int64)
+                got = np.frombuffer(counts, "u1" if len(counts) == CELL_BLOCK else "<u8").astype(np.int64)
                 total[block] = total[block] + got if block in total else got
         keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k].tolist() for k in keys], pa.list_(pa.int64()))], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["block", "counts"])
 
     parts = docs.select(text).mapInArrow(count, "block bigint, counts binary").repartition("block")
-    summed = parts.mapInArrow(add, "block bigint, counts array<bigint>").collect()  # CELLS numbers, whatever the table
+    summed = parts.mapInArrow(add, "block bigint, counts binary").collect()  # CELLS numbers, whatever the table
     total = np.zeros((CELLS // CELL_BLOCK, CELL_BLOCK), np.int64)
     for block, counts in summed:
-        total[block] = counts
+        total[block] = np.frombuffer(counts, np.int64)
     cells = total.ravel()
-    usual = max(float(np.median(cells)), 16.0)
+    usual = max(float(np.median(cells)), 8.0)
     return np.maximum(np.floor(np.log2(np.maximum(cells, 1) / (usual * HOT_FACTOR))) + 1, 0).astype(np.uint8)
 
 
@@ -132,7 +132,7 @@ def features(docs: DataFrame, key: str, text: str, words: int, percent: int, hot
                     sums[1][some] = np.add.reduceat(tx.mix(shingle ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[some])
                     for k in range(LEAST):
                         sums[2 + k][some] = np.minimum.reduceat(tx.mix(shingle ^ np.uint64((k + 1) * 0x9E3779B97F4A7C1)), first[some])
-                cell = hot.value[(shingle >> np.uint64(46)).astype(np.int64)]
+                cell = hot.value[(shingle >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 ordered = shingle[_by_row(row, np.argsort(cell, kind="stable"))]
                 prefix, tree, vector = [], [], []
                 for r in range(chunk.rows):

@@ -321,14 +321,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     sizes = classes.groupBy("ah").agg((F.count(F.lit(1)) > group).alias("wide"))
     segments = written(segments_of(classes.join(sizes, "ah"), docs, length, key, text), "segments")
     solved = sort_groups(segments.filter("not wide"), length).unionByName(count_strings(segments.filter("wide"), length))
-    alone = classes.filter("n = 1").select("ah", "sh")
-    copies = classes.filter("n > 1").select("ah", "sh")
-    whole = shared.filter("not mixed").unionByName(mixed.join(copies, ["ah", "sh"], "left_semi"))
-    some = mixed.join(solved.join(alone, ["ah", "sh"]), ["ah", "sh"]).select("doc_id", "anchor", F.explode("spans").alias("s"))
-    spans = whole.select("doc_id", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).unionByName(
-        some.select("doc_id", (F.col("anchor") - F.col("s.hi")).alias("begin"), (F.col("anchor") - F.col("s.lo") + length).alias("end"))
-    )
-    return spans
+    # One outcome for each different run: all of it (no spans), or some strings. Equal runs (n > 1) are repeats as a whole.
+    outcome = classes.join(solved, ["ah", "sh"], "left").filter("n > 1 or spans is not null")
+    outcome = outcome.select("ah", "sh", F.when(F.col("n") == 1, F.col("spans")).alias("spans"), F.lit(True).alias("known"))
+    joined = shared.join(outcome, ["ah", "sh"], "left").filter("not mixed or known")
+    every = F.array(F.struct((F.col("anchor") - F.col("last")).alias("lo"), (F.col("anchor") - F.col("first")).alias("hi")))
+    some = joined.select("doc_id", "anchor", F.explode(F.coalesce("spans", every)).alias("s"))
+    return some.select("doc_id", (F.col("anchor") - F.col("s.hi")).alias("begin"), (F.col("anchor") - F.col("s.lo") + length).alias("end"))
 
 
 def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
