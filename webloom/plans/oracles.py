@@ -147,7 +147,7 @@ JSON_HITS = "select url from responses where status = 200 and content_type like
 
 ORACLES["page_source"] = f"""with idx as (select {PAGE} as url, min(page_id) as page_id from pages group by 1),
   q as (select url from idx union select concat(url, '/next') from idx)
-  select q.url, i.page_id, length(p.html) as n_chars, case when p.page_id is null then 'failed' else 'fetched' end as outcome
+  select q.url, i.page_id, md5(p.html) as content, case when p.page_id is null then 'failed' else 'fetched' end as outcome
   from q left join idx i using (url) left join pages p on p.page_id = i.page_id"""
 ORACLES["sitemap_urls"] = f"with {LOCS} select distinct site, doc, url from locs where url is not null"
 ORACLES["sitemap_count"] = f"with {LOCS} select site, count(*) as n from locs group by site"
@@ -177,8 +177,7 @@ _MIX = listed([e.format(host=HOST) for e in d.URL_MIX])
 ORACLES["canonicalize_url"] = f"select page_id, i, {canon('v')} as url, {canon('v', True)} as url_no_slash from {_MIX}"
 ORACLES["url_host"] = rf"select page_id, i, lower(regexp_extract(v, '^{SCHEME}://([^/?#]*)', 1)) as host from {_MIX}"
 ORACLES["strip_fragment"] = rf"select page_id, i, regexp_replace(v, '(?s)#.*\z', '') as url from {_MIX}"
-ORACLES["is_internal"] = rf"""select i, lower(regexp_extract(v, '^{SCHEME}://([^/?#]*)', 1)) = 'blog.tionsh.example.com' as internal,
-  count(*) as n from {_MIX} group by 1, 2"""
+ORACLES["is_internal"] = rf"""select page_id, i, lower(regexp_extract(v, '^{SCHEME}://([^/?#]*)', 1)) = {HOST} as internal from {_MIX}"""
 
 _FOLD = r"""list_reduce(list_transform(string_split(m, '/'), lambda s: [s]), lambda acc, s:
   case when s[1] = '..' then acc[1:len(acc)-1] when s[1] = '.' then acc else list_concat(acc, s) end, []::varchar[])"""
@@ -204,8 +203,9 @@ _PATHS = listed([
     "concat('/dump/b', page_id, '.sql')",
     "concat('//a//', page_id, '/./b/')",
     "'/'",
+    "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)",
 ])
-_U = "concat('http://h.example', v)"
+_U = "case when i = 9 then url else concat('http://h.example', v) end"
 ORACLES["decode_path"] = f"select page_id, i, url_decode(v) as decoded from {_PATHS}"
 ORACLES["basename"] = rf"select page_id, i, regexp_extract(v, '[^/]*\z') as name from {_PATHS}"
 ORACLES["dirname"] = rf"""select page_id, i, case when regexp_matches(h, '^/*\z') then h else regexp_replace(h, '/+\z', '') end as folder
@@ -232,19 +232,18 @@ ORACLES["extract_form_fields"] = """select page_id, 'redirect_to' as name, conca
   from pages where page_id%4=0 union all select page_id, 'testcookie', '1' from pages where page_id%4=0"""
 ORACLES["extract_title"] = f"select page_id, {TITLE} as title from pages"
 ORACLES["extract_main_content"] = f"with {AUG} select page_id, {CONTENT} as content from aug"
-ORACLES["first_selector"] = """select case page_id%6 when 0 then '<article>' when 1 then '<main class="wrap">' when 2 then '<div id="content">'
-  when 3 then '<div class="post content">' when 4 then '<section class="entry-content wide">' else '<body>' end as opening,
-  count(*) as n from pages group by 1"""
+ORACLES["first_selector"] = """select page_id, case page_id%6 when 0 then '<article>' when 1 then '<main class="wrap">' when 2 then '<div id="content">'
+  when 3 then '<div class="post content">' when 4 then '<section class="entry-content wide">' else '<body>' end as opening from pages"""
 ORACLES["page_data"] = f"""select page_id, {PAGE} as url, {TITLE} as title, regexp_extract(html, '(?s)<article>.*?</article>') as content,
   {slug(PAGE)} as slug from pages"""
 
 # --- predicates -----------------------------------------------------------------------------------
 
-ORACLES["is_asset_url"] = rf"""with {ASSETS} select tag, regexp_matches(asset_url, '{CMS_TYPES}') as is_asset,
-  regexp_matches(regexp_replace(asset_url, '[?#].*', ''), '{CMS_TYPES}') as is_asset_without_query, count(*) as n from assets group by 1, 2, 3"""
+ORACLES["is_asset_url"] = rf"""with {ASSETS} select page_id, pos, tag, regexp_matches(asset_url, '{CMS_TYPES}') as is_asset,
+  regexp_matches(regexp_replace(asset_url, '[?#].*', ''), '{CMS_TYPES}') as is_asset_without_query from assets"""
 ORACLES["is_excluded"] = rf"""select page_id, i, regexp_matches({_U}, '^(.*wp-config\.php|.*wp-login\.php|.*\.sql|.*\.zip)\z') as cms,
   regexp_matches({_U}, '^.*\.(pdf|zip|exe)\z') as generic from {_PATHS}"""
-ORACLES["asset_filter"] = f"with {ASSETS} select page_id, {SAVED_CMS} as saved, count(*) as n from assets group by 1, 2"
+ORACLES["asset_filter"] = f"with {ASSETS} select page_id, pos, {SAVED_CMS} as saved from assets"
 ORACLES["content_type_gate"] = rf"""with {RESPONSES} select url, lower(content_type) like '%text/html%' as generic,
   lower(content_type) like '%text/html%' or regexp_matches(url, '\.(php|css|js)\z') as cms,
   lower(content_type) like '%text/html%' or regexp_matches(url, '\.(php|css|js|sql|zip)\z') as backup from responses"""
@@ -277,8 +276,8 @@ ORACLES["crawl_count"] = f"with {LINKED} select site, count(*) as n from linked
 ORACLES["distinct_urls"] = f"with {LINKED} select site, url from linked"
 ORACLES["asset_manifest"] = f"""with {ASSETS} select site, asset_url, {cms_path('asset_url')} as path, kind, count(*) as n_refs,
   count(distinct page_id) as n_pages, min(page_id) as first_page from assets where {SAVED_CMS} group by 1, 2, 3, 4"""
-ORACLES["asset_kind"] = f"""with {ASSETS_GENERIC} select kind, {GENERIC_LOCAL} as local_path, count(*) as n from assets
-  where {SAVED_GENERIC} group by 1, 2"""
+ORACLES["asset_kind"] = f"""with {ASSETS_GENERIC} select page_id, pos, kind, {GENERIC_LOCAL} as local_path from assets
+  where {SAVED_GENERIC}"""
 ORACLES["retry_outcome"] = """with a as (select concat('res/', user_id) as url, event_type <> 'error' as ok,
     row_number() over (partition by user_id order by ts, event_id) as attempt from events),
   t as (select url, min(attempt) filter (where ok) as first_success, max(attempt) as tried from a where attempt <= 3 group by url)

@@ -43,7 +43,7 @@ def page_source(spark, sf):
     urls_ = derived.table(spark, sf, "pages").select(urls.canonicalize_url("url").alias("url"))
     queue = urls_.union(urls_.select(F.concat("url", F.lit("/next")))).distinct()
     found = captures.page_source(queue, derived.table(spark, sf, "pages"))
-    return found.select("url", "page_id", F.length("html").cast("bigint").alias("n_chars"), "outcome")
+    return found.select("url", "page_id", F.md5("html").alias("content"), "outcome")
 
 
 @query
@@ -144,7 +144,7 @@ def resolve_url(spark, sf):
 
 
 def _path_mix(spark, sf):
-    """A path of several shapes per page."""
+    """A path of several shapes per page, and last its whole URL."""
     return derived.table(spark, sf, "pages").selectExpr(
         "page_id",
         """posexplode(array(
@@ -156,8 +156,10 @@ def _path_mix(spark, sf):
           concat('/x/p', cast(page_id as string), '.php'),
           concat('/dump/b', cast(page_id as string), '.sql'),
           concat('//a//', cast(page_id as string), '/./b/'),
-          '/')) as (i, path)""",
-    ).withColumn("u", F.concat(F.lit("http://h.example"), "path"))
+          '/',
+          regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1))) as (i, path)""",
+        "url",
+    ).withColumn("u", F.when(F.col("i") == 9, F.col("url")).otherwise(F.concat(F.lit("http://h.example"), "path")))
 
 
 @query
@@ -182,10 +184,9 @@ def has_ext(spark, sf):
 
 @query
 def is_internal(spark, sf):
-    mix = derived.url_mix(spark, sf).withColumn("host", F.lit("blog.tionsh.example.com"))
-    return mix.groupBy("i", urls.is_internal("u", "host").alias("internal")).agg(F.count(F.lit(1)).alias("n")).select(
-        big("i"), "internal", "n"
-    )
+    """Each spelling against the host of its page."""
+    mix = derived.url_mix(spark, sf).join(derived.table(spark, sf, "pages").select("page_id", urls.url_host("url").alias("host")), "page_id")
+    return mix.select("page_id", big("i"), urls.is_internal("u", "host").alias("internal"))
 
 
 @query
@@ -269,8 +270,7 @@ def extract_main_content(spark, sf):
 def first_selector(spark, sf):
     """Which kind of element each page's content is."""
     opening = F.regexp_extract(markup.extract_main_content("html"), "^<[^>]*>", 0)
-    kinds = derived.pages_aug(spark, sf).select(opening.alias("opening"))
-    return kinds.groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    return derived.pages_aug(spark, sf).select("page_id", opening.alias("opening"))
 
 
 @query
@@ -289,11 +289,7 @@ def _asset_urls(spark, sf):
 def is_asset_url(spark, sf):
     by_default = predicates.is_asset_url("asset_url", CMS.asset_types)
     stripped = predicates.is_asset_url("asset_url", CMS.asset_types, strip_query=True)
-    return (
-        _asset_urls(spark, sf)
-        .groupBy("tag", by_default.alias("is_asset"), stripped.alias("is_asset_without_query"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _asset_urls(spark, sf).select("page_id", big("pos"), "tag", by_default.alias("is_asset"), stripped.alias("is_asset_without_query"))
 
 
 @query
@@ -309,7 +305,7 @@ def is_excluded(spark, sf):
 
 @query
 def asset_filter(spark, sf):
-    return _asset_urls(spark, sf).groupBy("page_id", "saved").agg(F.count(F.lit(1)).alias("n"))
+    return _asset_urls(spark, sf).select("page_id", big("pos"), "saved")
 
 
 @query
@@ -421,7 +417,7 @@ def asset_manifest(spark, sf):
 @query
 def asset_kind(spark, sf):
     refs = links.asset_table(derived.pages_aug(spark, sf), GENERIC)
-    return refs.groupBy("kind", "local_path").agg(F.count(F.lit(1)).alias("n"))
+    return refs.select("page_id", big("pos"), "kind", "local_path")
 
 
 @query
