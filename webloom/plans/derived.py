@@ -157,6 +157,16 @@ def sitemaps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of the tree's sites that list every seventh page, in documents of at most 64 page numbers."""
+    listed = table(spark, sf_dir, "pages").filter("page_id%7 = 3").selectExpr(
+        "page_id", f"{TREE_HOST} as site", "cast(floor(page_id/64) as bigint) as doc", f"concat('<url><loc>', {TREE_URL}, '</loc></url>') as entry"
+    )
+    docs = listed.groupBy("site", "doc").agg(F.sort_array(F.collect_list(F.struct("page_id", "entry"))).alias("e"))
+    body = F.array_join(F.transform("e", lambda x: x["entry"]), "")
+    return docs.select("site", "doc", F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("xml"))
+
+
 RESPONSE_STATUS = "case when page_id%10=9 then 404 else 200 end"
 RESPONSE_TYPE = """case when page_id%13=12 then 'application/pdf'
   when page_id%3=0 then 'Text/HTML; charset=UTF-8' else 'text/html' end"""

@@ -332,11 +332,10 @@ STATUS_404 = "page_id%10 = 9"
 PDF = "page_id%13 = 12"
 
 
-def job(paths: tuple[str, ...], endpoint: str, strip_slash: bool = False) -> str:
+def job(paths: tuple[str, ...], endpoint: str, strip_slash: bool = False, extra: str = "") -> str:
     """Crawl of tree pages with assets under given seed paths and one possible API hit per site, without a cap that binds."""
     cut = (lambda p: p.rstrip("/")) if strip_slash else (lambda p: p)
     hit = "length(site)%4 <> 0 and length(site)%3 <> 0"
-    extra = ""
     if endpoint:
         extra += f" union all select distinct site, concat('http://', site, '{cut(endpoint)}'), [2, 1, 0]::bigint[] from own where {hit}"
     for i, p in enumerate(paths):
@@ -370,6 +369,9 @@ def log(kept: str) -> str:
 
 _LOG = log(CMS_KEPT)
 ORACLES["crawl_log"] = f"{_JOB_CMS}, {_LOG} select site, url, depth, rank, outcome from log"
+_LISTED = """ union all select site, src, [1, page_id//64, row_number() over (partition by site, page_id//64 order by page_id) - 1]::bigint[]
+  from own where page_id%7 = 3"""
+ORACLES["crawl_from_sitemaps"] = f"{job(CMS_SEED_PATHS, '', extra=_LISTED)}, {_LOG} select site, url, depth, rank, outcome from log"
 ORACLES["outcome_counts"] = f"{_JOB_CMS}, {_LOG} select site, outcome, count(*) as n from log group by 1, 2"
 
 # Rewritten pages: the four kinds of saved references, each at its known place.

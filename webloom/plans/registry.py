@@ -481,6 +481,16 @@ def crawl_log(spark, sf):
     return clone.crawl_log(_tree_clone(spark, sf, CMS).crawl, CMS)
 
 
+@query
+def crawl_from_sitemaps(spark, sf):
+    """The crawl with sitemaps among its seeds, so that pages behind empty ones are reached."""
+    sites = seeds.site_table(derived.tree_bases(spark, sf))
+    answers = derived.tree_responses(spark, sf)
+    maps = derived.tree_sitemaps(spark, sf)
+    job = clone.clone_cms_site(derived.pages_site(spark, sf), sites, CMS, sitemaps=maps, responses=answers)
+    return clone.crawl_log(job.crawl, CMS)
+
+
 @query
 def outcome_counts(spark, sf):
     log = clone.crawl_log(_tree_clone(spark, sf, CMS).crawl, CMS)
