@@ -13,7 +13,7 @@ Rendering: a marker at the beginning of a line is removed; lines of one role tha
 
 Contract: a null text is an empty line; null turns come first; rows of the same conversation and turn are ordered by their text; null
 conversations form one conversation; roles that are null or not among ``ROLES`` are not learned from; ties go to the role listed first; without
-labelled rows all scores are equal but markers still count; an empty table gives no rows; only the named columns are read.
+labelled rows markers still count and lines stay with their speaker; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -55,11 +55,17 @@ def observe(line: str, first: bool) -> tuple[int, int, str]:
     return (MARKERS[found[1].lower()] if found else -1), (found.end() if found else 0), f"{'1' if first else '0'}{size}{end}{kind}"
 
 
+def _untrained_steps() -> list[list[list[int]]]:
+    """Inside a row a speaker rather goes on; else nothing is known."""
+    inside = [[1_000_000 if a == b else 0 for b in range(len(ROLES))] for a in range(START + 1)]
+    return [inside, [[0] * len(ROLES) for _ in range(START + 1)]]
+
+
 @dataclass
 class RoleModel:
     """Scores in millionths: ``step[0]`` inside a row, ``step[1]`` from row to row; rows are from, columns to."""
 
-    step: list[list[list[int]]] = field(default_factory=lambda: [[[0] * len(ROLES) for _ in range(START + 1)] for _ in range(2)])
+    step: list[list[list[int]]] = field(default_factory=_untrained_steps)
     emit: dict[str, list[int]] = field(default_factory=dict)
     unseen: list[int] = field(default_factory=lambda: [0] * len(ROLES))
 
@@ -134,6 +140,8 @@ def fit(chats: DataFrame) -> RoleModel:
     for kind, before, seen, n in rows.groupBy("kind", "before", "seen").agg(F.sum("n")).collect():
         table[kind].setdefault(before, {})[seen] = n
     model = RoleModel()
+    if not any(table.values()):
+        return model
     roles = [str(r) for r in range(len(ROLES))]
     for i, kind in enumerate(("same", "next")):
         for before in range(START + 1):
