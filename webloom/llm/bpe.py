@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 1 << 16
-MEMO_ENTRIES = 400_000  #: of short pre-tokens with their identifiers, per Python worker
+MEMO_ENTRIES = 250_000  #: of short pre-tokens with their identifiers, per Python worker
 MEMO_CHARS = 48
 MAX_FILE_BYTES = 64 << 20  #: of a vocabulary file that is sent to executors
 NONE = 1 << 60
@@ -286,6 +286,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())],
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "exact"],
             )
+        encoder.memo.clear()  # an idle worker holds no memory
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
@@ -307,6 +308,7 @@ def tokenized(docs: DataFrame, path: str, keep: list[str], text: str = "text") -
                 exact = [decoder.push(i) + decoder.finish() == x for i, x in zip(ids, texts, strict=True)]
                 made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=[*part.schema.names[:n], "ids", "n_tokens", "exact"])
+        encoder.memo.clear()  # an idle worker holds no memory
 
     kept = docs.select(*keep).schema
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])

@@ -40,6 +40,7 @@ HOT_FACTOR = 1.5  #: times the median cell
 GROUPS = 128  #: coordinates of the vectors in the tree
 FANOUT = 16
 BLOCK = 4096  #: vectors per tree
+PAIRS_AT_ONCE = 1 << 14
 LEAST = 4  #: hash orders of the first pass
 
 
@@ -187,9 +188,8 @@ class CountTree:
         yield from self._down(other, at, a, b, percent)
 
     def _down(self, other: CountTree, at: tuple[int, int], a: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = 1 << 14
-        for lo in range(0, len(a), step):
-            x, y = a[lo : lo + step], b[lo : lo + step]
+        for lo in range(0, len(a), PAIRS_AT_ONCE):
+            x, y = a[lo : lo + PAIRS_AT_ONCE], b[lo : lo + PAIRS_AT_ONCE]
             if self is other:
                 x, y = x[x <= y], y[x <= y]
             x, y = self._may(other, at, x, y, percent)
@@ -230,9 +230,10 @@ def _leaves(
     for n in range(2, FANOUT + 1):
         at = begin[count == n]
         i, j = np.triu_indices(n, 1)
-        for lo in range(0, len(at), 4096):
-            x = (at[lo : lo + 4096, None] + i).ravel()
-            y = (at[lo : lo + 4096, None] + j).ravel()
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for lo in range(0, len(at), step):
+            x = (at[lo : lo + step, None] + i).ravel()
+            y = (at[lo : lo + step, None] + j).ravel()
             fits = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
             x, y = x[fits], y[fits]
             least = np.minimum(vectors[x], vectors[y])

@@ -38,10 +38,11 @@ def split(docs: DataFrame, ids: DataFrame, key: str = "doc_id", then: Callable |
         slot += "_"
 
     def part(batches: Iterable[pa.RecordBatch], others: bool) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             n = batch.num_columns - 1
-            yield batch.filter(pa.array(bits[batch.column(n).to_numpy()] != others)).select(list(range(n)))
+            slots = batch.column(n).to_numpy()
+            held = (sent.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array((held == 1) != others)).select(list(range(n)))
 
     marked = docs.withColumn(slot, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS)))
     some = marked.mapInArrow(lambda batches: part(batches, False), docs.schema)
