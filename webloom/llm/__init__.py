@@ -1,6 +1 @@
 """Training-data operators: scoring, filtering, de-duplication, decontamination and tokenization of text tables."""
-
-import pyarrow as pa
-
-# Python workers live on between tasks: large buffers go back to the system as soon as they are freed.
-pa.set_memory_pool(pa.system_memory_pool())

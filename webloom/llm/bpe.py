@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .tasks import arrow_map
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 1 << 16
@@ -240,7 +242,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, text).transform(arrow_map, run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -254,7 +256,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     kind = tokens.schema[key].dataType.simpleString()
-    return tokens.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return tokens.select(key, ids).transform(arrow_map, run, f"`{key}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +291,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         encoder.memo.clear()  # an idle worker holds no memory
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select(key, text).transform(arrow_map, run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
 def tokenized(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -312,4 +314,4 @@ def tokenized(docs: DataFrame, path: str, keep: list[str], text: str = "text") -
 
     kept = docs.select(*keep).schema
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).transform(arrow_map, run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 
 ROLES = ("system", "user", "assistant")
 START = len(ROLES)
@@ -135,7 +136,7 @@ def fit(chats: DataFrame) -> RoleModel:
             names=["kind", "before", "seen", "n"],
         )
 
-    rows = _ordered(chats, "role", "opens").mapInArrow(run, "kind string, before int, seen string, n bigint")
+    rows = _ordered(chats, "role", "opens").transform(arrow_map, run, "kind string, before int, seen string, n bigint")
     table: dict[str, dict[int, dict[str, int]]] = {"next": {}, "same": {}, "emit": {}}
     for kind, before, seen, n in rows.groupBy("kind", "before", "seen").agg(F.sum("n")).collect():
         table[kind].setdefault(before, {})[seen] = n
@@ -185,7 +186,7 @@ def block_matrices(chats: DataFrame, model: object) -> DataFrame:
                 vectors = start()
 
     kind = pa.int64()
-    return _ordered(chats).mapInArrow(run, "conv_id bigint, block bigint, scores array<bigint>")
+    return _ordered(chats).transform(arrow_map, run, "conv_id bigint, block bigint, scores array<bigint>")
 
 
 def block_borders(matrices: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def block_borders(matrices: DataFrame) -> DataFrame:
         if held:
             yield emit(chain(held))
 
-    return matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(run, "conv_id bigint, block bigint, before int, after int")
+    return matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").transform(arrow_map, run, "conv_id bigint, block bigint, before int, after int")
 
 
 def render(lines: list[str], roles: list[int]) -> tuple[str, int]:
@@ -297,7 +298,7 @@ def format_chats(chats: DataFrame, labels: bool = True) -> DataFrame:
                 held = []
 
     schema = "conv_id bigint, turn bigint, role_found string, n_segments int, rendered string"
-    return _ordered(joined.select("conv_id", "block", "turn", "text", "before", "after"), "before", "after").mapInArrow(run, schema)
+    return _ordered(joined.select("conv_id", "block", "turn", "text", "before", "after"), "before", "after").transform(arrow_map, run, schema)
 
 
 def _opens() -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 from . import text as tx
 from .sieve import split
 
@@ -72,7 +73,7 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH, key: str = "item_id"
                 )
 
     kind = items.schema[key].dataType.simpleString()
-    return items.select(key, text).mapInArrow(run, f"item_id {kind}, window bigint, size int, terms array<bigint>")
+    return items.select(key, text).transform(arrow_map, run, f"item_id {kind}, window bigint, size int, terms array<bigint>")
 
 
 def _find(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -102,7 +103,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(sent.value[seen].astype(np.int64)), pa.array(total[seen])], names=["term", "n"])
 
-    return docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(text).transform(arrow_map, run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,7 +128,7 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
                     names=["term", "doc_id", "positions"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, "term bigint, doc_id bigint, positions array<int>")
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).transform(arrow_map, run, "term bigint, doc_id bigint, positions array<int>")
 
 
 def _probes(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     schema = "doc_id bigint, n_words bigint, n_hit bigint, windows array<bigint>"
     some, others = split(texts, found.select("doc_id"), then=_compare, schema=schema)
     joined = some.join(lists, some["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_compare, schema).unionByName(others)
+    return joined.transform(arrow_map, _compare, schema).unionByName(others)
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,7 @@ def proximity(docs: DataFrame, phrases: DataFrame, span: int, key: str = "doc_id
             )
 
     kinds = [met.schema[c].dataType.simpleString() for c in ("item_id", "doc_id")]
-    return met.select("item_id", "doc_id", "lists").mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, start int, length int")
+    return met.select("item_id", "doc_id", "lists").transform(arrow_map, run, f"item_id {kinds[0]}, doc_id {kinds[1]}, start int, length int")
 
 
 def shortest_stretch(lists: list[list[int]]) -> tuple[int, int]:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 from . import text as tx
 from .graph import components
 from .sieve import split, wanted_texts
@@ -99,8 +100,8 @@ def hot_cells(docs: DataFrame, text: str, words: int) -> np.ndarray:
         keys = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["block", "counts"])
 
-    parts = docs.select(text).mapInArrow(count, "block bigint, counts binary").repartition("block")
-    summed = parts.mapInArrow(add, "block bigint, counts binary").collect()  # CELLS numbers, whatever the table
+    parts = docs.select(text).transform(arrow_map, count, "block bigint, counts binary").repartition("block")
+    summed = parts.transform(arrow_map, add, "block bigint, counts binary").collect()  # CELLS numbers, whatever the table
     total = np.zeros((CELLS // CELL_BLOCK, CELL_BLOCK), np.int64)
     for block, counts in summed:
         total[block] = np.frombuffer(counts, np.int64)
@@ -159,7 +160,7 @@ def features(docs: DataFrame, key: str, text: str, words: int, percent: int, hot
                 )
 
     schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, least array<bigint>, prefix array<bigint>, tree binary, vector binary"
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).transform(arrow_map, run, schema)
 
 
 class CountTree:
@@ -291,7 +292,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         yield from close()
 
     ordered = rows.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.transform(arrow_map, run, "a bigint, b bigint").distinct()
 
 
 def bounded(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +318,7 @@ def bounded(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
                     keep.append(False)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "n1", "n2", "v1", "v2").mapInArrow(run, "a bigint, b bigint")
+    return sides.select("a", "b", "n1", "n2", "v1", "v2").transform(arrow_map, run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -346,7 +347,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, p
                         last = (*own, here)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return met.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
+    return met.select("a", "b", "text").transform(arrow_map, run, "a bigint, b bigint")
 
 
 def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 from . import text as tx
 
 MAX_TRAIN = 20_000
@@ -118,7 +119,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), lists], names=["doc_id", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select(F.col(key).alias("doc_id"), text).transform(arrow_map, run, f"doc_id {kind}, x array<float>")
 
 
 @dataclass
@@ -265,7 +266,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             )
 
     kind = measured.schema["doc_id"].dataType.simpleString()
-    return measured.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return measured.select("doc_id", held_out().alias("held_out"), "x").transform(arrow_map, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
@@ -279,4 +280,4 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 kept = model.value.score(measure_chunk(chunk).astype(np.float32).astype(np.float64)) >= least
                 yield batch.slice(chunk.first, chunk.rows).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

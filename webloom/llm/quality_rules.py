@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 from . import text as tx
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -99,7 +100,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     kind = docs.schema[key].dataType.simpleString()
     columns = [F.col(key).alias("doc_id"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col(text)]
-    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return docs.select(*columns).transform(arrow_map, run, f"doc_id {kind}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 def value_of(name: str) -> Column:

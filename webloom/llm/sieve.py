@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tasks import arrow_map
+
 SIEVE_BITS = 1 << 24
 
 
@@ -45,10 +47,10 @@ def split(docs: DataFrame, ids: DataFrame, key: str = "doc_id", then: Callable |
             yield batch.filter(pa.array((held == 1) != others)).select(list(range(n)))
 
     marked = docs.withColumn(slot, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SIEVE_BITS)))
-    some = marked.mapInArrow(lambda batches: part(batches, False), docs.schema)
+    some = marked.transform(arrow_map, lambda batches: part(batches, False), docs.schema)
     if then is None:
-        return some, marked.mapInArrow(lambda batches: part(batches, True), docs.schema)
-    return some, marked.mapInArrow(lambda batches: then(part(batches, True)), schema)
+        return some, marked.transform(arrow_map, lambda batches: part(batches, True), docs.schema)
+    return some, marked.transform(arrow_map, lambda batches: then(part(batches, True)), schema)
 
 
 def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .tasks import arrow_map
 from . import text as tx
 from .sieve import split, texts_of, wanted_texts
 
@@ -104,7 +105,7 @@ def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> Da
                     names=["doc_id", "first", "last", "anchor", "ah", "sh"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).filter("doc_id is not null").mapInArrow(
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).filter("doc_id is not null").transform(arrow_map,
         run, "doc_id bigint, first int, last int, anchor int, ah bigint, sh bigint"
     )
 
@@ -262,7 +263,7 @@ def sort_groups(segments: DataFrame, length: int) -> DataFrame:
         yield solve(held)
 
     ordered = segments.select("ah", "sh", "back", "bytes").repartition("ah").sortWithinPartitions("ah", "sh")
-    return ordered.mapInArrow(run, "ah bigint, sh bigint, spans array<struct<lo:int,hi:int>>")
+    return ordered.transform(arrow_map, run, "ah bigint, sh bigint, spans array<struct<lo:int,hi:int>>")
 
 
 def count_strings(segments: DataFrame, length: int) -> DataFrame:
@@ -279,7 +280,7 @@ def count_strings(segments: DataFrame, length: int) -> DataFrame:
                     names=["ah", "sh", "o", "string"],
                 )
 
-    each = written(segments.select("ah", "sh", "back", "bytes").mapInArrow(run, "ah bigint, sh bigint, o int, string bigint"), "strings")
+    each = written(segments.select("ah", "sh", "back", "bytes").transform(arrow_map, run, "ah bigint, sh bigint, o int, string bigint"), "strings")
     twice = each.groupBy("ah", "o", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hits = each.join(twice, ["ah", "o", "string"])  # a run has at most `length` strings of one anchor
     return hits.groupBy("ah", "sh").agg(F.transform(F.collect_set("o"), lambda o: F.struct(o.alias("lo"), o.alias("hi"))).alias("spans"))
@@ -305,7 +306,7 @@ def segments_of(classes: DataFrame, docs: DataFrame, length: int, key: str, text
                     names=["ah", "sh", "wide", "back", "bytes"],
                 )
 
-    return texts.join(wanted, "doc_id").select("text", "cuts").mapInArrow(run, "ah bigint, sh bigint, wide boolean, back int, bytes binary")
+    return texts.join(wanted, "doc_id").select("text", "cuts").transform(arrow_map, run, "ah bigint, sh bigint, wide boolean, back int, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -371,7 +372,7 @@ def digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     spans = written(repeated_spans(docs, length, key=key, text=text), "spans")
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     some, others = split(texts_of(docs, key, text), spans.select("doc_id"), then=run, schema=schema)
-    return some.join(lists, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema).unionByName(others)
+    return some.join(lists, "doc_id", "left").select("doc_id", "text", "spans").transform(arrow_map, run, schema).unionByName(others)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,4 +393,4 @@ def cleaned(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
             columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(n)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
 
-    return joined.mapInArrow(run, docs.schema).unionByName(others)
+    return joined.transform(arrow_map, run, docs.schema).unionByName(others)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .tasks import arrow_map
 from .bpe import MAX_FILE_BYTES, PATTERN
 
 SHIFT = 10
@@ -160,4 +161,4 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_pre_tokens bigint, n_tokens bigint, score bigint")
+    return docs.select(key, text).transform(arrow_map, run, f"doc_id {kind}, n_pre_tokens bigint, n_tokens bigint, score bigint")

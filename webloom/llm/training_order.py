@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .tasks import arrow_map
 from .bpe import MAX_FILE_BYTES, PATTERN
 
 LENGTH = 2048
@@ -103,7 +104,7 @@ def packed_texts(docs: DataFrame, path: str, end: int, text: str) -> DataFrame:
                     [pa.array(np.full(len(ids), task, np.int32)), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["task", "start", "ids"]
                 )
 
-    return docs.select(text).mapInArrow(run, "task int, start bigint, ids binary")
+    return docs.select(text).transform(arrow_map, run, "task int, start bigint, ids binary")
 
 
 def materialise(
@@ -178,8 +179,8 @@ def materialise(
     tasks = max(shards, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n)) if shards < 1 << 16 else 1 << 16
     # Ranges of slots, equal by construction: nothing has to be sampled to find their borders.
     ranged = (F.col("slot") * tasks / max(n, 1)).cast("int")
-    dealt = tokens.mapInArrow(cut, "slot bigint, inside int, sequence bigint, piece binary").repartitionById(tasks, ranged)
-    return dealt.sortWithinPartitions("slot", "inside").mapInArrow(join, "slot bigint, shard bigint, byte_offset bigint, sequence bigint, record binary")
+    dealt = tokens.transform(arrow_map, cut, "slot bigint, inside int, sequence bigint, piece binary").repartitionById(tasks, ranged)
+    return dealt.sortWithinPartitions("slot", "inside").transform(arrow_map, join, "slot bigint, shard bigint, byte_offset bigint, sequence bigint, record binary")
 
 
 def write_shards(records: DataFrame, folder: str) -> None:
@@ -201,7 +202,7 @@ def write_shards(records: DataFrame, folder: str) -> None:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    records.select("shard", "byte_offset", "record").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    records.select("shard", "byte_offset", "record").transform(arrow_map, run, "n bigint").agg(F.sum("n")).collect()
 
 
 @dataclass
