@@ -37,7 +37,7 @@ from .tasks import arrow_map
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 1 << 16
-MEMO_ENTRIES = 250_000  #: of short pre-tokens with their identifiers, per Python worker
+MEMO_ENTRIES = 150_000  #: of short pre-tokens with their identifiers, per Python worker
 MEMO_CHARS = 48
 MAX_FILE_BYTES = 64 << 20  #: of a vocabulary file that is sent to executors
 NONE = 1 << 60
@@ -302,8 +302,8 @@ def tokenized(docs: DataFrame, path: str, keep: list[str], text: str = "text") -
         encoder = get()
         decoder = Decoder(encoder.vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 n = part.num_columns - 1
                 texts = [x or "" for x in part.column(n).to_pylist()]
                 ids = [encoder.encode(x) for x in texts]
