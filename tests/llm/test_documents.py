@@ -90,6 +90,29 @@ def test_ngram_join_keeps_rows(awkward, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (11, 12, 13)) == [11]
 
 
+def test_ngram_join_of_repeated_rows(spark):
+    """Repeated rows beside texts that only their vectors bring near."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(500)]
+        other = list(words)
+        for at in rng.sample(range(500), 13 + i % 3):
+            other[at] = f"u{rng.randrange(5000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    twice = rows + rows[::2] + rows[:6]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.self_join(spark.createDataFrame(twice, "doc_id long, text string"), 4, 85).collect()}
+    want = brute.components(dict(rows), 4, 85)
+    assert len({c for _, c in want.values()}) > 60
+    assert got == want
+
+
+def test_verify_takes_a_pair_twice(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c x y z"), (3, "a b c d e f g")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 3), (1, 3)], "a long, b long")
+    assert {tuple(r) for r in ngram_join.verify(pairs, docs, "doc_id", "text", 1, 80).collect()} == {(1, 3)}
+
+
 def test_count_tree_finds_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 6, (40, ngram_join.GROUPS))

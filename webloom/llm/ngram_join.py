@@ -325,12 +325,12 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, p
     """The pairs ``a, b`` that link by their sets."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
     texts = wanted_texts(docs, sides.select("doc_id"), key, text).dropDuplicates(["doc_id"])
-    met = sides.join(texts, "doc_id").repartition("a", "b").sortWithinPartitions("a", "b")
+    met = sides.join(texts, "doc_id").repartition("a", "b").sortWithinPartitions("a", "b", "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
+        last: tuple = (None, None, None, None)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, b, doc = (batch.column(c).to_pylist() for c in ("a", "b", "doc_id"))
             links = []
             for chunk in tx.chunks(batch.column("text")):
                 row, shingle = _sets(chunk, words)
@@ -338,16 +338,22 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, p
                 for r in range(chunk.rows):
                     own = a[chunk.first + r], b[chunk.first + r]
                     here = shingle[cut[r] : cut[r + 1]]
-                    if last[:2] == own:
-                        both = len(np.intersect1d(last[2], here, assume_unique=True))
-                        if 100 * both >= percent * (len(last[2]) + len(here) - both) and both:
+                    if last[:2] != own:
+                        last = (*own, doc[chunk.first + r], here)
+                    elif last[2] != doc[chunk.first + r]:  # a pair may come twice, but a document is never its own other side
+                        both = len(np.intersect1d(last[3], here, assume_unique=True))
+                        if 100 * both >= percent * (len(last[3]) + len(here) - both) and both:
                             links.append(own)
-                        last = (None, None, None)
-                    else:
-                        last = (*own, here)
+                        last = (None, None, None, None)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return met.select("a", "b", "text").transform(arrow_map, run, "a bigint, b bigint")
+    return met.select("a", "b", "doc_id", "text").transform(arrow_map, run, "a bigint, b bigint")
+
+
+def _once(feats: DataFrame) -> DataFrame:
+    """Features of each identifier once; only those of repeated rows are shuffled."""
+    twice = written(feats.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    return feats.join(twice, "doc_id", "left_anti").unionByName(feats.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,21 +363,22 @@ def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "do
     feats = written(features(docs, key, text, words, percent, hot), "features")
     same = feats.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     same = written(same, "classes")
-    reps = feats.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    once = _once(feats)
+    reps = once.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     # First pass: each against the first with the same least hash.
     least = reps.select("doc_id", F.posexplode("least").alias("k", "token"))
     leaders = least.groupBy("k", "token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other")).filter("leader < other")
     tried = least.join(leaders, ["k", "token"]).filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = written(verify(written(bounded(tried, feats, percent), "tried"), docs, key, text, words, percent), "stars")
+    stars = written(verify(written(bounded(tried, once, percent), "tried"), docs, key, text, words, percent), "stars")
     roots = components(stars)
 
     # Second pass: what prefixes of different components share.
     labelled = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
     tokens = written(labelled.select("doc_id", "comp", F.explode("prefix").alias("token")), "prefixes")
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rows = tokens.join(mixed, "token").join(feats.select("doc_id", "n", "tree"), "doc_id")
-    pairs = bounded(_tree_pairs(rows.select("token", "doc_id", "comp", "n", "tree"), percent), feats, percent)
+    rows = tokens.join(mixed, "token").join(once.select("doc_id", "n", "tree"), "doc_id")
+    pairs = bounded(_tree_pairs(rows.select("token", "doc_id", "comp", "n", "tree"), percent), once, percent)
     more = verify(written(pairs, "pairs"), docs, key, text, words, percent)
     links = written(stars.unionByName(more), "links")
     roots = components(links).withColumnRenamed("u", "rep")
