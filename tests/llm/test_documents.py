@@ -141,6 +141,30 @@ def test_tree_blocks(spark, given, monkeypatch):
     assert got == {d: c for d, (_, c) in brute.components(dict(table_of(given)), 4, 85).items()}
 
 
+def test_hot_tokens_are_split(spark, monkeypatch):
+    """A template in all documents, just below the limit: no task holds more than two blocks, and nothing is lost."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for d in range(60):
+        own = [f"o{d if d % 6 else d // 12}x{i}" for i in range(8 + d % 4)]
+        rows.append((d, " ".join(template[:50] + own + template[50:])))
+    rng.shuffle(rows)
+    monkeypatch.setattr(ngram_join, "SPLIT", 8)
+    sizes = []
+    plain = ngram_join._block_pairs
+
+    def seen(split, percent):
+        sizes.extend((r.token, r["count"]) for r in split.groupBy("token", "i", "j").count().collect())
+        return plain(split, percent)
+
+    monkeypatch.setattr(ngram_join, "_block_pairs", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.self_join(docs, 4, 85).collect()}
+    assert got == brute.components(dict(rows), 4, 85)
+    assert len(sizes) > 10 and max(n for _, n in sizes) < 60
+
+
 # --- suffix sort ---------------------------------------------------------------------------------
 
 

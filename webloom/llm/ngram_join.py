@@ -11,7 +11,8 @@ coordinates bound it for all sets below a node. Vectors fold: groups are hash va
    document and hash, so groups of copies stay linear). Bounds, then exact sets decide; components are made.
 4. Second pass, for all that is left: prefix shingles whose documents are in more than one component. Their
    documents stream, ordered by size, through an R-tree join per shingle; only pairs of different components whose bounds
-   allow a link are exact-checked. No pair inside a component is made, no link between components is lost.
+   allow a link are exact-checked. No pair inside a component is made, no link between components is lost. Documents of a hot
+   shingle are split into blocks by size and hash, and each two blocks near in size are a group of a shuffle, so a task holds two blocks.
 
 Contract: null and empty texts and texts without words have an empty set, size 0, are linked with nothing and are their own
 component; a text with fewer words than a shingle has one shingle of all its words; identifiers are unique, rows
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -41,6 +42,7 @@ HOT_FACTOR = 1.5  #: times the median cell
 GROUPS = 128  #: coordinates of the vectors in the tree
 FANOUT = 16
 BLOCK = 4096  #: vectors per tree
+SPLIT = 4 * BLOCK  #: documents of a prefix shingle in one task; more are split into blocks, and a task gets two of them
 PAIRS_AT_ONCE = 1 << 14
 LEAST = 4  #: hash orders of the first pass
 
@@ -295,6 +297,62 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.transform(arrow_map, run, "a bigint, b bigint").distinct()
 
 
+def _split(rows: DataFrame, percent: int) -> DataFrame:
+    """``token, i, j, side`` and the columns of ``token, doc_id, comp, n, tree``: for hot tokens each two blocks (i <= j) that are near in size, as one group.
+
+    A block is a band of sizes, or a part by hash of a band with too many documents of one size. Sizes are ranked by their counts, not by rows.
+    """
+    sizes = rows.groupBy("token", "n").agg(F.count(F.lit(1)).alias("docs"))
+    upto = F.sum("docs").over(Window.partitionBy("token").orderBy("n"))  # a row per size of a hot token
+    banded = written(sizes.withColumn("band", F.floor((upto - F.col("docs")) / SPLIT)), "sizes")
+    bands = banded.groupBy("token", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.sum("docs") / SPLIT).alias("parts"))
+    bands = written(bands, "bands")
+    blocks = bands.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    block = F.struct("band", "part")
+    i, j = (blocks.select("token", block.alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+    met = i.join(j, "token").filter((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= percent * F.col("low_j"))).select("token", "i", "j")
+    both = F.array(F.struct(F.col("i").alias("own"), F.lit(0).alias("side")), F.struct(F.col("j").alias("own"), F.lit(1).alias("side")))
+    sides = met.select("token", "i", "j", F.explode(F.when(F.col("i") < F.col("j"), both).otherwise(F.slice(both, 1, 1))).alias("s"))
+    sides = written(sides.select("token", "i", "j", "s.*"), "sides")
+    placed = rows.join(banded.select("token", "n", "band"), ["token", "n"]).join(bands.select("token", "band", "parts"), ["token", "band"])
+    placed = placed.withColumn("own", F.struct("band", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")))
+    return placed.join(sides, ["token", "own"]).select("token", "i", "j", "side", "doc_id", "comp", "n", "tree")
+
+
+def _block_pairs(split: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: candidate pairs of the result of ``_split``; a task holds two blocks at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, ([], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            trees = [CountTree(*(np.concatenate(x) for x in zip(*p, strict=True))) for p in parts if p]
+            for p in parts:
+                p.clear()
+            if trees:
+                for x, y in trees[0].join(trees[-1], percent):
+                    if len(x):
+                        p, q = trees[0].ids[x], trees[-1].ids[y]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([tx.by_key(batch, c) for c in ("token", "i_band", "i_part", "j_band", "j_part", "side")], axis=1)
+            ids, comps, sizes = (tx.by_key(batch, c) for c in ("doc_id", "comp", "n"))
+            vectors = np.frombuffer(b"".join(batch.column("tree").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.empty(0, np.int64)
+            for lo, hi in zip(begin, np.r_[begin[1:], len(keys)], strict=True):
+                own = tuple(keys[lo, :-1].tolist())
+                if own != group:
+                    yield from close()
+                    group = own
+                parts[keys[lo, -1]].append((ids[lo:hi], sizes[lo:hi], comps[lo:hi], vectors[lo:hi]))
+        yield from close()
+
+    names = ["token", "i_band", "i_part", "j_band", "j_part"]
+    flat = split.select("token", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("band", "part")], F.col("side").cast("bigint"), "doc_id", "comp", "n", "tree")
+    return flat.repartition(*names).sortWithinPartitions(*names, "side").transform(arrow_map, run, "a bigint, b bigint").distinct()
+
+
 def bounded(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
     """The pairs that may link by their sizes and whole vectors."""
     f = feats.select("doc_id", "n", "vector")
@@ -376,9 +434,15 @@ def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "do
     # Second pass: what prefixes of different components share.
     labelled = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
     tokens = written(labelled.select("doc_id", "comp", F.explode("prefix").alias("token")), "prefixes")
-    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rows = tokens.join(mixed, "token").join(once.select("doc_id", "n", "tree"), "doc_id")
-    pairs = bounded(_tree_pairs(rows.select("token", "doc_id", "comp", "n", "tree"), percent), once, percent)
+    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi")
+    mixed = written(mixed.select("token", (F.col("docs") > SPLIT).alias("hot")), "mixed")
+    vectors, columns = once.select("doc_id", "n", "tree"), ("token", "doc_id", "comp", "n", "tree")
+    near = _tree_pairs(tokens.join(mixed.filter("not hot"), "token").join(vectors, "doc_id").select(*columns), percent)
+    hot_tokens = mixed.filter("hot").select("token")
+    if not hot_tokens.isEmpty():
+        placed = tokens.join(hot_tokens, "token").join(vectors, "doc_id").select(*columns)
+        near = near.unionByName(_block_pairs(_split(placed, percent), percent)).distinct()
+    pairs = bounded(near, once, percent)
     more = verify(written(pairs, "pairs"), docs, key, text, words, percent)
     links = written(stars.unionByName(more), "links")
     roots = components(links).withColumnRenamed("u", "rep")
