@@ -2,18 +2,26 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written as Parquet and read again for the next one. All but
 the last return the columns of ``documents``, extra ones included; ``n_chars`` follows the text. An empty table passes through empty.
+A row with a null ``doc_id`` is a document of its own: it is given a surrogate key inside a stage that needs one, behind all real
+identifiers, so of near duplicates an identified one stays; it leaves the stage with null again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, decontaminate, ngram_join, quality_gam, suffix_dedup
 from webloom.llm.sieve import without
+from webloom.operators.ranking import rank_within
 from webloom.session import written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 LENGTH = 400  #: bytes of a repeated string
 WORDS, PERCENT = 5, 80  #: of near duplicates
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,17 +32,44 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_gam.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def identified(stage: Stage) -> Stage:
+    """The stage on a table where every row has an identifier; only rows without one are written for it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = F.col("doc_id").cast("bigint")
+        n, low, high = docs.agg(F.count(F.when(own.isNull(), 1)), F.min(own), F.max(own)).first()
+        if not n:
+            return stage(spark, docs, sf_dir)
+        base = 0 if high is None else high  # surrogates are base + 1 to base + n
+        if base + n >= 1 << 63:
+            base = low - n - 1
+        if base + 1 < -(1 << 63):
+            raise ValueError("no room for surrogate keys beside the identifiers")
+        null = docs.filter(own.isNull()).withColumn("null row", F.lit(0)).withColumn("null id", F.monotonically_increasing_id())
+        ranked = rank_within(null, "null row", ["null id"], "null rank").withColumn("doc_id", F.col("null rank") + F.lit(base))
+        keyed = docs.filter(own.isNotNull()).withColumn("doc_id", own).unionByName(written(ranked.select(docs.columns), "keyed"))
+        found = stage(spark, keyed, sf_dir)
+        made = F.col("doc_id").between(base + 1, base + n)
+        return found.withColumn("doc_id", F.when(~made, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
+
+    return run
+
+
+@identified
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
     return ngram_join.deduplicated(docs, WORDS, PERCENT)
 
 
+@identified
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without byte strings that occur elsewhere."""
     found = suffix_dedup.cleaned(docs, LENGTH)
     return found.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else found
 
 
+@identified
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     judged = written(decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "judged")

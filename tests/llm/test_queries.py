@@ -191,3 +191,26 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_pipeline_rows_without_identifier(spark):
+    """Null identifiers are documents like others: leaks go, copies go, passages count on both sides."""
+    rng = random.Random(9)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(brute.ALNUM.findall(r.text)) >= 12)
+    own = [" ".join(f"z{rng.randrange(9000)}" for _ in range(120)) for _ in range(7)]
+    passage = " ".join(f"p{rng.randrange(9000)}" for _ in range(120))
+    texts = [
+        (1, own[0]), (None, own[0]), (None, own[1]), (None, own[1]), (None, f"{own[2]} {item} {own[3]}"),
+        (2, f"{own[4]} {passage}"), (None, f"{own[5]} {passage}"), (None, None), (9, own[6]),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("near_duplicates", "repeated_passages", "benchmark_leaks"):
+        docs = corpus_pipeline.written(dict(corpus_pipeline.STAGES)[name](spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "near_duplicates":
+            want = [*texts[:1], *texts[3:]]
+            assert ordered((r.doc_id, r.text) for r in docs.collect()) == ordered(want)
+    got = ordered((r.doc_id, (r.text or "").strip()) for r in docs.collect())
+    assert [d for d, _ in got] == [d for d, _ in ordered([(1, 0), (2, 0), (9, 0), (None, 0), (None, 0), (None, 0)])]
+    assert item not in " ".join(t for _, t in got) and passage[60:-60] not in " ".join(t for _, t in got)
+    assert sum(own[1] in t for _, t in got) == 1 and sum(own[5] in t for _, t in got) == 1
