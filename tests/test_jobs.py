@@ -289,6 +289,13 @@ def test_stream_equals_batch_and_continues(spark):
     assert both.count() == both.distinct().count()
 
 
+def test_stream_takes_its_default_batches(spark):
+    folder = scratch_path(spark, "pages")
+    derived.pages(spark, SF).repartition(3).write.parquet(folder)
+    found = stream_discover_links(spark, folder)
+    assert found.count() == QUERIES["distinct_urls"](spark, SF).count() > 0
+
+
 def test_dates(spark):
     record = spark.createDataFrame([("s", "u", "t", "c", "g")], "site string, url string, title string, content string, slug string")
     items = export.wxr_items(export.numbered(record), "2024-02-29 23:05:06").first()

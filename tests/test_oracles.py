@@ -1,6 +1,7 @@
 """Every named query against its SQL twin, on the smallest tables."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -40,3 +41,13 @@ def test_query(spark, sql, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == columns
     assert ordered(got.select(*columns).collect()) == ordered(want.project(", ".join(columns)).fetchall())
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "xxhash", "webloom.llm"])
+def test_entry_without_an_optional_package(monkeypatch, missing):
+    """The other queries stay when a package of the optional part cannot be imported."""
+    for name in [n for n in sys.modules if n.startswith(("webloom.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    assert set(contract.queries()) - {"pipeline"} == set(QUERIES)  # the pipeline may do without the package
+    assert set(contract.oracle_sql()) == set(ORACLES)

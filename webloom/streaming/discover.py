@@ -11,10 +11,10 @@ from ..session import nullable, scratch_path
 PAGES = T.StructType().add("page_id", "long").add("url", "string").add("html", "string")
 URLS = T.StructType().add("site", "string").add("url", "string")
 
-BATCH_BYTES = "100g"  # of page files per micro-batch: a failure repeats at most that much
+BATCH_BYTES = 100 << 30  # of page files per micro-batch: a failure repeats at most that much
 
 
-def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", batch_bytes: str = BATCH_BYTES, batch_files: int | None = None) -> DataFrame:
+def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", batch_bytes: int = BATCH_BYTES, batch_files: int | None = None) -> DataFrame:
     """Page files as they arrive in a folder; ``files`` is a glob over their names. A backlog is taken in batches."""
     reader = spark.readStream.schema(PAGES).option("pathGlobFilter", files)
     limited = reader.option("maxFilesPerTrigger", batch_files) if batch_files else reader.option("maxBytesPerTrigger", batch_bytes)
@@ -33,7 +33,7 @@ def stream_discover_links(
     files: str = "*.parquet",
     strip_slash: bool = False,
     out: str | None = None,
-    batch_bytes: str = BATCH_BYTES,
+    batch_bytes: int = BATCH_BYTES,
     batch_files: int | None = None,
 ) -> DataFrame:
     """Drain what is in the folder now and return all URLs discovered so far.
