@@ -92,3 +92,94 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
             covered |= {i, i + 1, i + 2}
     n = len(words)
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def runs(words: list, least: int = 24, times: int = 3) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, by trying every period at every place."""
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+WHOLE = re.compile("(s?(ua)+)?")
+
+
+def faults(rows: list[tuple[str, str]]) -> list[str]:
+    """Each row's first fault."""
+    out, seen = [], set()
+    for role, text in rows:
+        said = text.rstrip("\t\n\x0b\x0c\r ")
+        out.append("blank" if not said else "duplicate" if (role, text) in seen else "" if said[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def _choices(row: tuple[str, str], fault: str):
+    """(letter, cost, role) of what may be done with a row."""
+    yield "D", 3, None
+    if fault not in ("blank", "duplicate"):
+        extra = fault == "truncated"
+        yield "K", extra, row[0]
+        for role in ("user", "assistant"):
+            yield "R", 2 + extra, role
+
+
+def repair(rows: list[tuple[str, str]]) -> tuple[int, str, str]:
+    """(cost, audit, digest) by dynamic programming over strings; the state is what the last role allows."""
+    follow = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    best = {"": (0, "", ())}
+
+    def inserted(found):
+        for _ in range(4):
+            for state, (cost, audit, out) in list(found.items()):
+                for role in ("user", "assistant"):
+                    to = follow.get((state, role[0]))
+                    if to and (to not in found or (cost + 2, audit + "I") < found[to][:2]):
+                        found[to] = (cost + 2, audit + "I", (*out, f"{role}:"))
+        return found
+
+    for row, fault in zip(rows, faults(rows), strict=True):
+        after = {}
+        for state, (cost, audit, out) in inserted(best).items():
+            for letter, price, role in _choices(row, fault):
+                to = state if role is None else follow.get((state, role[:1]))
+                new = (cost + price, audit + letter, out if role is None else (*out, f"{role}:{row[1]}"))
+                if to is not None and (to not in after or new[:2] < after[to][:2]):
+                    after[to] = new
+        best = after
+    found = inserted(best)
+    cost, audit, out = min((found[s] for s in ("", "a") if s in found), key=lambda x: x[:2])
+    return cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def repair_by_trying(rows: list[tuple[str, str]]) -> tuple[int, str]:
+    """The same for very few rows: every choice for each row, up to two inserts in each gap."""
+    gaps = ["", "u", "a", "ua", "au"]
+    found = [(0, "", "")]  # cost, audit, initials
+    for row, fault in zip(rows, faults(rows), strict=True):
+        found = [
+            (cost + 2 * len(gap) + price, audit + "I" * len(gap) + letter, initials + gap + (role or "")[:1])
+            for cost, audit, initials in found for gap in gaps for letter, price, role in _choices(row, fault)
+        ]
+    found = [(cost + 2 * len(gap), audit + "I" * len(gap), initials + gap) for cost, audit, initials in found for gap in gaps]
+    return min((cost, audit) for cost, audit, initials in found if WHOLE.fullmatch(initials))
+
+
+def conversation(rows: list[tuple[int | None, str | None, str | None]]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, digest) of ``(turn, role, text)`` rows."""
+    plain = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+    plain.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    turns = {t for t, _, _ in plain if t is not None}
+    said = [(r, x) for _, r, x in plain]
+    kinds = faults(said)
+    illegal = sum(a[:1] + b[:1] not in ("su", "ua", "au") for (a, _), (b, _) in zip(said, said[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return (gaps, *(kinds.count(k) for k in ("blank", "duplicate", "truncated")), illegal, *repair(said))
