@@ -33,7 +33,7 @@ from .word_bpe import shipped
 WINDOW = 4096
 OPEN = 512  #: partially filled windows of a task
 WIDTH = 4  #: bytes of a token
-ROWS, BYTES = 256, 1 << 20  #: of texts encoded together
+ROWS, BYTES = 64, 1 << 20  #: of texts encoded together
 OUT_BYTES = 4 << 20  #: of tokens in a batch of results
 TASK_SHIFT = 33
 

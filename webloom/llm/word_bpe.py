@@ -76,16 +76,19 @@ class WordEncoder:
             raise ValueError("two merges make the same token")
         return ranks, np.array([vocab[token] for token in tokens], np.uint32)
 
+    def _odd(self, text: str) -> bool:
+        return bool(ODD.search(text)) or any(a in text for a in self.added)
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found, plain = {}, []
-        for word in words:
-            text = word.decode()
-            if len(word) > PIECE_BYTES or ODD.search(text) or any(a in text for a in self.added):
-                found[word] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-            else:
-                plain.append(word)
-        marked = PRE_TOKEN.sub("\\g<0>\0", b"\n".join(plain).decode().lower())
-        ranks = np.array(self.encoder.encode_ordinary(marked), np.int64)
+        found, plain = {}, words
+        joined = b"\n".join(words).decode()
+        if max(map(len, words)) > PIECE_BYTES or self._odd(joined):
+            odd = {word for word in words if len(word) > PIECE_BYTES or self._odd(word.decode())}
+            for word in odd:
+                found[word] = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+            plain = [word for word in words if word not in odd]
+            joined = b"\n".join(plain).decode()
+        ranks = np.array(self.encoder.encode_ordinary(PRE_TOKEN.sub("\\g<0>\0", joined.lower())), np.int64)
         packed, at = self.ids[ranks].tobytes(), 0
         for word, end in zip(plain, [*(4 * np.flatnonzero(ranks == self.line)).tolist(), len(packed)], strict=bool(plain)):
             found[word] = packed[at:end]
@@ -112,11 +115,16 @@ class WordEncoder:
                     end = space.start() if space else len(data)
                 words.append(data[at[i] : end].split())
                 at[i] = end
-            new = set().union(*words).difference(memo)
-            learnt = self._learn(list(new)) if new else {}
-            if len(memo) < MEMO_WORDS:
-                memo.update((w, ids) for w, ids in learnt.items() if len(w) <= MEMO_BYTES)
-            yield [b"".join([learnt[w] if w in learnt else memo[w] for w in own]) for own in words]
+            found = [list(map(memo.get, own)) for own in words]
+            new = {w for own, ids in zip(words, found, strict=True) if None in ids for w, x in zip(own, ids, strict=True) if x is None}
+            if new:
+                learnt = self._learn(list(new))
+                for own, ids in zip(words, found, strict=True):
+                    if None in ids:
+                        ids[:] = [learnt[w] if x is None else x for w, x in zip(own, ids, strict=True)]
+                if len(memo) < MEMO_WORDS:
+                    memo.update((w, ids) for w, ids in learnt.items() if len(w) <= MEMO_BYTES)
+            yield [b"".join(ids) for ids in found]
             if all(end >= len(data) for end, data in zip(at, raw, strict=True)):
                 return
 
