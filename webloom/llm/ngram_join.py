@@ -11,7 +11,8 @@ coordinates bound it for all sets below a node. Vectors fold: groups are hash va
    document and hash, so groups of copies stay linear). Bounds, then exact sets decide; components are made.
 4. Second pass, for all that is left: prefix shingles whose documents are in more than one component. Their
    documents stream, ordered by size, through an R-tree join per shingle; only pairs of different components whose bounds
-   allow a link are exact-checked. No pair inside a component is made, no link between components is lost. Documents of a hot
+   allow a link are exact-checked. A pair that shares the shingle before as well has been told there, and the places of the
+   shingle in both prefixes bound the overlap too. No pair inside a component is made, no link between components is lost. Documents of a hot
    shingle are split into blocks by size and hash, and each two blocks near in size are a group of a shuffle, so a task holds two blocks.
 
 Contract: null and empty texts and texts without words have an empty set, size 0, are linked with nothing and are their own
@@ -44,6 +45,7 @@ FANOUT = 16
 BLOCK = 4096  #: vectors per tree
 SPLIT = 4 * BLOCK  #: documents of a prefix shingle in one task; more are split into blocks, and a task gets two of them
 PAIRS_AT_ONCE = 1 << 14
+BEFORE = 3  #: shingles before one in its prefix that go with it
 LEAST = 4  #: hash orders of the first pass
 
 
@@ -168,9 +170,11 @@ def features(docs: DataFrame, key: str, text: str, words: int, percent: int, hot
 class CountTree:
     """A bulk-loaded R-tree over count vectors of one shingle's documents, joined with itself or another level by level."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, vectors: np.ndarray, places: np.ndarray | None = None, before: np.ndarray | None = None):
         order = np.lexsort((vectors.argmax(axis=1), sizes)) if len(ids) else np.empty(0, np.int64)
         self.ids, self.groups = ids[order], groups[order]
+        if places is not None:
+            self.places, self.before = places[order], before[order]
         wide = vectors[order].astype(np.int32)
         wide[wide == 255] = 1 << 24  # a full byte stands for any count
         #: level 0 are points; (largest coordinates, least size, largest size, the one component or -1)
@@ -190,6 +194,15 @@ class CountTree:
         a, b = (x.ravel() for x in np.meshgrid(np.arange(len(self.levels[at[0]][0])), np.arange(len(other.levels[at[1]][0])), indexing="ij"))
         yield from self._down(other, at, a, b, percent)
 
+    def pairs(self, other: CountTree, percent: int) -> Iterator[pa.RecordBatch]:
+        """The pairs of ``join`` that are to be told at this shingle."""
+        sizes = self.levels[0][1], other.levels[0][1]
+        for x, y in self.join(other, percent):
+            new = _told_here(self.places[x], other.places[y], self.before[x], other.before[y], sizes[0][x], sizes[1][y], percent)
+            if new.any():
+                p, q = self.ids[x[new]], other.ids[y[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
     def _down(self, other: CountTree, at: tuple[int, int], a: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lo in range(0, len(a), PAIRS_AT_ONCE):
             x, y = a[lo : lo + PAIRS_AT_ONCE], b[lo : lo + PAIRS_AT_ONCE]
@@ -226,8 +239,28 @@ class CountTree:
         return p[real], q[real]
 
 
+def _told_here(
+    place1: np.ndarray, place2: np.ndarray, before1: np.ndarray, before2: np.ndarray, size1: np.ndarray, size2: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which pairs that meet at a shingle are told there.
+
+    A pair with a shingle in common among the last few before this one has met there already. And if this is the first one that they share, they share
+    nothing before it and at most what follows; where that is too little they do not link, or were told at an earlier one.
+    """
+    met = np.zeros(len(place1), bool)
+    for i in range(BEFORE):
+        for j in range(BEFORE):
+            met |= (before1[:, i] == before2[:, j]) & (place1 > i) & (place2 > j)
+    rest = np.minimum(size1 - place1, size2 - place2)
+    return ~met & ((100 + percent) * rest >= percent * (size1 + size2))
+
+
+def _before(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([tx.by_key(batch, f"before{k}") for k in range(BEFORE)], axis=1)
+
+
 def _leaves(
-    begin: np.ndarray, count: np.ndarray, ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, vectors: np.ndarray, percent: int
+    begin: np.ndarray, count: np.ndarray, ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, vectors: np.ndarray, places: np.ndarray, before: np.ndarray, percent: int
 ) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of groups that are one leaf each."""
     for n in range(2, FANOUT + 1):
@@ -239,6 +272,8 @@ def _leaves(
             y = (at[lo : lo + step, None] + j).ravel()
             fits = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
             x, y = x[fits], y[fits]
+            new = _told_here(places[x], places[y], before[x], before[y], sizes[x], sizes[y], percent)
+            x, y = x[new], y[new]
             least = np.minimum(vectors[x], vectors[y])
             most = least.sum(axis=1, dtype=np.int64) + ((least == 255).any(axis=1).astype(np.int64) << 40)
             near = (100 + percent) * most >= percent * (sizes[x] + sizes[y])
@@ -247,7 +282,7 @@ def _leaves(
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: candidate pairs of ``token, doc_id, comp, n, tree``, from a stream ordered by token and size."""
+    """``a, b``: candidate pairs of ``token, doc_id, comp, n, tree, place, before0, ...``, from a stream ordered by token and size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, held, parts, n_held = None, [], [], 0
@@ -257,37 +292,34 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             nonlocal held, parts, n_held
             if not parts:
                 return
-            ids, comps, sizes, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+            tree = CountTree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            sizes = tree.levels[0][1]
             parts, n_held = [], 0
-            if len(ids) < 2 and not held:
-                small = CountTree(ids, sizes, comps, vectors)
-                held = [small]
+            if len(sizes) < 2 and not held:
+                held = [tree]
                 return
-            tree = CountTree(ids, sizes, comps, vectors)
             held = [t for t in held if 100 * t.levels[0][2].max() >= percent * sizes.min()]
             for other in [tree, *held]:
-                for x, y in tree.join(other, percent):
-                    if len(x):
-                        p, q = tree.ids[x], other.ids[y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                yield from tree.pairs(other, percent)
             held.append(tree)
 
         for batch in batches:
-            tokens, ids, comps, sizes = (tx.by_key(batch, c) for c in ("token", "doc_id", "comp", "n"))
+            tokens, ids, comps, sizes, places = (tx.by_key(batch, c) for c in ("token", "doc_id", "comp", "n", "place"))
+            before = _before(batch)
             raw = batch.column("tree")
             vectors = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, GROUPS)
             begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             end = np.r_[begin[1:], len(tokens)]
             # Groups of one node that lie within the batch are joined together.
             single = (end - begin <= FANOUT) & (begin > 0) & (end < len(tokens))
-            yield from _leaves(begin[single], (end - begin)[single], ids, sizes, comps, vectors, percent)
+            yield from _leaves(begin[single], (end - begin)[single], ids, sizes, comps, vectors, places, before, percent)
             for lo, hi in zip(begin[~single], end[~single], strict=True):
                 if tokens[lo] != token:
                     yield from close()
                     token, held = tokens[lo], []
                 for at in range(lo, hi, BLOCK):
                     end = min(hi, at + BLOCK)
-                    parts.append((ids[at:end], comps[at:end], sizes[at:end], vectors[at:end]))
+                    parts.append(tuple(x[at:end] for x in (ids, sizes, comps, vectors, places, before)))
                     n_held += end - at
                     if n_held >= BLOCK:
                         yield from close()
@@ -298,7 +330,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _split(rows: DataFrame, percent: int) -> DataFrame:
-    """``token, i, j, side`` and the columns of ``token, doc_id, comp, n, tree``: for hot tokens each two blocks (i <= j) that are near in size, as one group.
+    """``token, i, j, side`` and the columns of ``token, doc_id, comp, n, tree, place, before0, ...``: for hot tokens each two blocks (i <= j) that are near in size, as one group.
 
     A block is a band of sizes, or a part by hash of a band with too many documents of one size. Sizes are ranked by their counts, not by rows.
     """
@@ -316,7 +348,7 @@ def _split(rows: DataFrame, percent: int) -> DataFrame:
     sides = written(sides.select("token", "i", "j", "s.*"), "sides")
     placed = rows.join(banded.select("token", "n", "band"), ["token", "n"]).join(bands.select("token", "band", "parts"), ["token", "band"])
     placed = placed.withColumn("own", F.struct("band", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")))
-    return placed.join(sides, ["token", "own"]).select("token", "i", "j", "side", "doc_id", "comp", "n", "tree")
+    return placed.join(sides, ["token", "own"]).select("token", "i", "j", "side", "doc_id", "comp", "n", "tree", "place", *[f"before{k}" for k in range(BEFORE)])
 
 
 def _block_pairs(split: DataFrame, percent: int) -> DataFrame:
@@ -330,14 +362,12 @@ def _block_pairs(split: DataFrame, percent: int) -> DataFrame:
             for p in parts:
                 p.clear()
             if trees:
-                for x, y in trees[0].join(trees[-1], percent):
-                    if len(x):
-                        p, q = trees[0].ids[x], trees[-1].ids[y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                yield from trees[0].pairs(trees[-1], percent)
 
         for batch in batches:
             keys = np.stack([tx.by_key(batch, c) for c in ("token", "i_band", "i_part", "j_band", "j_part", "side")], axis=1)
-            ids, comps, sizes = (tx.by_key(batch, c) for c in ("doc_id", "comp", "n"))
+            ids, comps, sizes, places = (tx.by_key(batch, c) for c in ("doc_id", "comp", "n", "place"))
+            before = _before(batch)
             vectors = np.frombuffer(b"".join(batch.column("tree").to_pylist()), np.uint8).reshape(-1, GROUPS)
             begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.empty(0, np.int64)
             for lo, hi in zip(begin, np.r_[begin[1:], len(keys)], strict=True):
@@ -345,11 +375,11 @@ def _block_pairs(split: DataFrame, percent: int) -> DataFrame:
                 if own != group:
                     yield from close()
                     group = own
-                parts[keys[lo, -1]].append((ids[lo:hi], sizes[lo:hi], comps[lo:hi], vectors[lo:hi]))
+                parts[keys[lo, -1]].append(tuple(x[lo:hi] for x in (ids, sizes, comps, vectors, places, before)))
         yield from close()
 
     names = ["token", "i_band", "i_part", "j_band", "j_part"]
-    flat = split.select("token", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("band", "part")], F.col("side").cast("bigint"), "doc_id", "comp", "n", "tree")
+    flat = split.select("token", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("band", "part")], F.col("side").cast("bigint"), "doc_id", "comp", "n", "tree", "place", *[f"before{k}" for k in range(BEFORE)])
     return flat.repartition(*names).sortWithinPartitions(*names, "side").transform(arrow_map, run, "a bigint, b bigint").distinct()
 
 
@@ -433,10 +463,12 @@ def self_join(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "do
 
     # Second pass: what prefixes of different components share.
     labelled = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
-    tokens = written(labelled.select("doc_id", "comp", F.explode("prefix").alias("token")), "prefixes")
+    tokens = written(labelled.select("doc_id", "comp", F.posexplode("prefix").alias("place", "token")), "prefixes")
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi")
     mixed = written(mixed.select("token", (F.col("docs") > SPLIT).alias("hot")), "mixed")
-    vectors, columns = once.select("doc_id", "n", "tree"), ("token", "doc_id", "comp", "n", "tree")
+    vectors = once.select("doc_id", "n", "tree", "prefix")
+    before = [F.coalesce(F.get("prefix", F.col("place") - k - 1), F.lit(0).cast("bigint")).alias(f"before{k}") for k in range(BEFORE)]
+    columns = ["token", "doc_id", "comp", "n", "tree", F.col("place").cast("bigint").alias("place"), *before]
     near = _tree_pairs(tokens.join(mixed.filter("not hot"), "token").join(vectors, "doc_id").select(*columns), percent)
     hot_tokens = mixed.filter("hot").select("token")
     if not hot_tokens.isEmpty():
