@@ -283,7 +283,11 @@ def count_strings(segments: DataFrame, length: int) -> DataFrame:
     each = written(segments.select("ah", "sh", "back", "bytes").transform(arrow_map, run, "ah bigint, sh bigint, o int, string bigint"), "strings")
     twice = each.groupBy("ah", "o", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hits = each.join(twice, ["ah", "o", "string"])  # a run has at most `length` strings of one anchor
-    return hits.groupBy("ah", "sh").agg(F.transform(F.collect_set("o"), lambda o: F.struct(o.alias("lo"), o.alias("hi"))).alias("spans"))
+    places = hits.groupBy("ah", "sh").agg(F.sort_array(F.collect_set("o")).alias("o"))
+    # Neighbouring places are one span.
+    low = F.filter("o", lambda x, i: (i == 0) | (F.get("o", i - 1) < x - 1))
+    high = F.filter("o", lambda x, i: (i == F.size("o") - 1) | (F.get("o", i + 1) > x + 1))
+    return places.select("ah", "sh", F.arrays_zip(low.alias("lo"), high.alias("hi")).alias("spans"))
 
 
 def segments_of(classes: DataFrame, docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
