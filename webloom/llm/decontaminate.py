@@ -8,7 +8,7 @@
    in the text itself, so results are exact.
 
 Terms of the benchmark are sent to executors as sorted 64-bit hashes, at most ``MAX_TERMS`` at a time; a larger benchmark is
-worked off in blocks of items. No list of documents is collected; a term or passage in a third of all documents is only many rows,
+worked off in blocks of windows whose terms are counted. No list of documents is collected; a term or passage in a third of all documents is only many rows,
 which are joined with the small side of windows.
 
 Contract: null and empty texts have no words; null identifiers are kept; repeated rows are judged each by itself; an empty
@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -165,19 +165,31 @@ def candidates(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: s
     return found
 
 
+def _block(blocks: int) -> Column:
+    """By their least terms: neighbouring windows share most of their terms, and mostly the least one."""
+    return F.pmod(F.xxhash64(F.array_min("terms")), F.lit(blocks))
+
+
+def _blocks(windows: DataFrame) -> int:
+    """Blocks of windows by hash, as many as it takes that the terms of none are more than ``MAX_TERMS``; blocks share terms, so each is counted."""
+    blocks = 1
+    while True:
+        terms = windows.select(_block(blocks).alias("block"), F.explode("terms").alias("term"))
+        most = terms.groupBy("block").agg(F.count_distinct("term").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= MAX_TERMS:
+            return blocks
+        if blocks > 1 << 40:
+            raise ValueError("a window has more terms than may be sent")
+        blocks *= 1 << max(1, (most // MAX_TERMS).bit_length() - 1)
+
+
 def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_hit, windows``: words inside windows of the benchmark, and the windows that occur."""
     windows = written(benchmark_windows(items, width), "windows")
-    n_terms = windows.select(F.explode("terms").alias("term")).agg(F.count_distinct("term")).first()[0]
-    blocks = max(1, -(-n_terms // MAX_TERMS))
-    if blocks == 1:
-        found = candidates(docs, windows, key, text)
-    else:  # a benchmark beyond the bound of a broadcast: block after block
-        block = F.pmod(F.xxhash64("window"), F.lit(2 * blocks))
-        parts = [candidates(docs, windows.filter(block == b), key, text) for b in range(2 * blocks)]
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
+    blocks = _blocks(windows)
+    found = candidates(docs, windows.filter(_block(blocks) == 0), key, text)
+    for b in range(1, blocks):  # a benchmark beyond the bound of a broadcast: block after block
+        found = found.unionByName(candidates(docs, windows.filter(_block(blocks) == b), key, text))
     found = written(found.distinct(), "candidates")
     # A document's list is bounded by its words: as many windows begin at a word as the benchmark has sizes of windows.
     lists = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "size", "window")).alias("places"))
