@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -141,6 +142,54 @@ def test_tree_blocks(spark, given, monkeypatch):
     assert got == {d: c for d, (_, c) in brute.components(dict(table_of(given)), 4, 85).items()}
 
 
+def edited_copies(rng, n_texts, copies):
+    """Texts with many edited copies, some near enough to link and some not."""
+    rows = []
+    for t in range(n_texts):
+        words = [f"e{t}x{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(copies):
+            other = list(words)
+            for at in rng.sample(range(len(other)), rng.randrange(0, max(2, len(other) // 40))):
+                other[at : at + 1] = rng.choice([[], [f"n{rng.randrange(10**6)}"], [other[at], "again"]])
+            rows.append((len(rows), " ".join(other)))
+    return rows
+
+
+def test_the_tree_alone_finds_all_links(spark, given, monkeypatch):
+    """Without the first pass every link between different sets has to come from the trees."""
+    plain, calls = ngram_join.bounded, []
+
+    def second_pass_only(pairs, feats, percent):
+        calls.append(1)
+        return plain(pairs.limit(0) if len(calls) == 1 else pairs, feats, percent)
+
+    rows = edited_copies(random.Random(8), 12, 9)
+    for df, texts in ((spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)), (given, dict(table_of(given)))):
+        calls.clear()
+        monkeypatch.setattr(ngram_join, "bounded", second_pass_only)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.self_join(df, 4, 85).collect()}
+        assert len(calls) == 2 and got == brute.components(texts, 4, 85)
+        assert len({c for _, c in got.values()}) < len(got)
+
+
+def test_a_pair_is_told_a_few_times(spark):
+    """Near copies share most of their prefixes, and are candidates at the places after an edit only."""
+    rows = edited_copies(random.Random(9), 1, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = spark.sparkContext.broadcast(ngram_join.hot_cells(docs, "text", 1))
+    feats = ngram_join.features(docs, "doc_id", "text", 1, 50, hot)
+    before = [f"coalesce(get(prefix, place - {k + 1}), 0L) as before{k}" for k in range(ngram_join.BEFORE)]
+    tokens = feats.selectExpr("doc_id", "doc_id as comp", "n", "tree", "prefix", "posexplode(prefix) as (place, token)")
+    tokens = tokens.selectExpr("token", "doc_id", "comp", "n", "tree", "cast(place as bigint) as place", *before)
+    pairs = ngram_join._tree_pairs(tokens, 50)
+    told = sum(1 for _ in pairs.collect())
+    n = tokens.select("doc_id").distinct().count()
+    assert told == n * (n - 1) // 2
+    shared = tokens.alias("x").join(tokens.alias("y"), "token").filter("x.doc_id < y.doc_id").count()
+    raw = pairs._jdf.queryExecution().logical().children().apply(0)
+    assert DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, raw), spark).count() < shared / 4
+
+
 def test_hot_tokens_are_split(spark, monkeypatch):
     """A template in all documents, just below the limit: no task holds more than two blocks, and nothing is lost."""
     rng = random.Random(4)
@@ -241,6 +290,41 @@ def test_decontamination_in_blocks(spark, given, monkeypatch):
     assert got == {d: x[:2] for (d, _), x in zip(rows, want, strict=True)}
 
 
+def test_terms_sent_are_bounded(spark, given, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_TERMS", 400)
+    sent, plain = [], decontaminate._sent
+    monkeypatch.setattr(decontaminate, "_sent", lambda terms: sent.append(terms.count()) or plain(terms))
+    windows = decontaminate.benchmark_windows(spark.read.parquet(f"{SF}/benchmark.parquet"), 10)
+    blocks = decontaminate._blocks(windows)
+    decontaminate.judge(given, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert 1 < blocks < 40 and 0 < max(sent) <= 400
+
+
+def thue_morse(n, letters="ab"):
+    """Texts of n bytes and their swap, which collide in every polynomial hash modulo 2**64 from some length on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+COLLIDING = [x for n in (256, 1024, 2048, 4096, 8192) for x in thue_morse(n)]
+
+
+def test_constructed_collisions_are_told_apart(spark):
+    words = [f"c{i}" for i in range(60)]
+    texts = [*COLLIDING, *(" ".join([w, *words]) for w in COLLIDING), *("\n".join([*COLLIDING[i : i + 2], *words]) for i in range(0, 10, 2))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.self_join(docs, 4, 85).collect()}
+    assert got == brute.components(dict(enumerate(texts)), 4, 85) and got[1] == (1, 1)
+    rules = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    for d, t in enumerate(texts):
+        want = brute.base_rules(t)
+        assert (rules[d].n_words, rules[d].word_chars, rules[d].n_symbols, rules[d].n_dup_lines, rules[d].n_repeat_words, rules[d].base_failed) == want
+    items = [(0, COLLIDING[2]), (1, " ".join([COLLIDING[5], *words[:9]]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.judge(docs, bench).collect()}
+    assert hits == {d: x[:2] for d, x in enumerate(brute.leaks(texts, items))}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a fox b quick"), (2, "quick red c c c c fox"), (3, "red quick"), (4, None)], "doc_id long, text string")
     phrases = spark.createDataFrame([(1, "quick red fox"), (2, None)], "item_id long, text string")

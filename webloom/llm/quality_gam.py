@@ -80,7 +80,7 @@ def measure_chunk(chunk: tx.Chunk) -> np.ndarray:
 
     own = tx.mix(np.arange(rows, dtype=np.uint64) + np.uint64(1))
     length = words.end - words.start
-    hashes = tx.mix(tx.span_hash(prefix, words.start, words.end) + length.astype(np.uint64))
+    hashes = tx.span_keys(data, prefix, words.start, words.end)
     _, once, count = np.unique(hashes ^ own[row], return_index=True, return_counts=True)
     top = np.zeros(rows, np.int64)
     np.maximum.at(top, row[once], count)
@@ -89,7 +89,7 @@ def measure_chunk(chunk: tx.Chunk) -> np.ndarray:
     _, gram_once = np.unique(grams[whole] ^ own[row[whole]], return_index=True)
     lines = tx.find_words(data, offsets, NOT_NEWLINE)
     line_row = lines.rows()
-    _, line_once = np.unique(tx.mix(tx.span_hash(prefix, lines.start, lines.end)) ^ own[line_row], return_index=True)
+    _, line_once = np.unique(tx.span_keys(data, prefix, lines.start, lines.end) ^ own[line_row], return_index=True)
     n_lines, n_grams = by_row(line_row), by_row(row[whole])
     out = {name: _share(total(mask[data]), size) for name, mask in COUNTED.items()}
     out |= {

@@ -68,12 +68,12 @@ def measure_chunk(chunk: tx.Chunk) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
     of_line = lines.rows()[has_word]
     start, end = lines.start[has_word], lines.end[has_word]
-    line_key = tx.mix(tx.span_hash(prefix, start, end) + (end - start).astype(np.uint64)) ^ tx.mix(of_line.astype(np.uint64) + np.uint64(1))
+    line_key = tx.span_keys(data, prefix, start, end) ^ tx.mix(of_line.astype(np.uint64) + np.uint64(1))
     n_lines = np.bincount(of_line, minlength=rows)
     _, once = np.unique(line_key, return_index=True)
     n_dup_lines = n_lines - np.bincount(of_line[once], minlength=rows)
 
-    word_hash = tx.mix(tx.span_hash(prefix, words.start, words.end) + (words.end - words.start).astype(np.uint64))
+    word_hash = tx.span_keys(data, prefix, words.start, words.end)
     grams = tx.shingle_hashes(word_hash, 3)
     row = words.rows()
     n_repeat = np.zeros(rows, np.int64)

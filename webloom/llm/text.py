@@ -12,10 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
+LONG = 256  #: bytes from which a span is hashed by xxh3: modulo 2**64 any base has collisions that can be written down from some 1,000 bytes on
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -120,8 +122,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def span_keys(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Well-mixed hashes of byte spans: polynomial ones of short spans, xxh3 of long ones."""
+    size = end - start
+    out = mix(span_hash(prefix, start, end) + size.astype(np.uint64))
+    long = np.flatnonzero(size >= LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return mix(span_hash(prefix_hash(data), words.start, words.end) + (words.end - words.start).astype(np.uint64))
+    return span_keys(data, prefix_hash(data), words.start, words.end)
 
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
