@@ -1,6 +1,8 @@
 """Crawls, ranks, layouts, sinks and streams on small fixtures, against brute force."""
 
 from collections import deque
+from pathlib import Path
+from xml.etree import ElementTree
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from webloom.operators.attempts import retry_outcome
 from webloom.plans import clone, derived
 from webloom.plans.registry import QUERIES
 from webloom.session import scratch_path, written
-from webloom.sinks import exports, files
+from webloom.sinks import exports, files, imports
 from webloom.sources import captures, seeds, sitemaps
 from webloom.streaming.discover import stream_discover_links
 
@@ -300,3 +302,35 @@ def test_dates(spark):
     record = spark.createDataFrame([("s", "u", "t", "c", "g")], "site string, url string, title string, content string, slug string")
     items = export.wxr_items(export.numbered(record), "2024-02-29 23:05:06").first()
     assert items.pub_date == "Thu, 29 Feb 2024 23:05:06 +0000" and items.post_date == "2024-02-29 23:05:06"
+
+
+def test_import_files_are_whole_documents(spark):
+    """A standard parser reads every file: header, items in order, parts of a bounded size."""
+    pages, sites = site_pages(spark)
+    odd = ' "q" & <x> \r\n\t]]> é\u0001 &amp;'
+    more = [(20 + k, f"http://s/k{k}.html", f"<title>T{k}{odd}</title><main>{odd}{k}</main>") for k in range(7)]
+    hub = [(10, "http://s/e", "".join(f'<a href="/k{k}.html">x</a>' for k in range(7)))]
+    pages = pages.unionByName(spark.createDataFrame(more + hub, pages.schema))
+    sites = sites.unionByName(spark.createDataFrame([("empty", "http://empty/")], sites.schema))
+    job = clone.export_cms_site(pages, sites, CMS_EXPORT.with_(seed_paths=("e",)))
+    out = scratch_path(spark, "import")
+    imports.write_import_files(job.import_items(), job.channel(), out, per_file=4)
+    found = sorted(Path(out.removeprefix("file:")).rglob("part-*"))
+    assert len(found) == 3  # of ten or eleven items
+    want = {r.link: r for r in job.items().collect()}
+    order = [r.url for r in job.records().orderBy("rank").collect()]
+    links = []
+    for k, file in enumerate(found):
+        assert file.parent.name == f"part={k}" and file.parent.parent.name == "site=s"
+        root = ElementTree.parse(file).getroot()
+        assert root.tag == "rss" and root.get("version") == "2.0" and len(root) == 1
+        channel = root[0]
+        assert [channel.findtext(t) for t in ("title", "link", "language")] == ["s", "http://s/", "en-US"]
+        for item in channel.findall("item"):
+            link = item.findtext("link")
+            links.append(link)
+            assert len(item) == 19 and item.find("guid").get("isPermaLink") == "false" and item.findtext("guid") == link
+            assert item.findtext(f"{{{export.NAMESPACES['content']}}}encoded") == (want[link].content_encoded or "").replace("\u0001", "")
+            assert item.findtext("title") == want[link].title.replace("\u0001", "")
+    assert links == order and len(links) == len(want)
+    imports.write_import_files(job.import_items(), job.channel().limit(0), scratch_path(spark, "none"))

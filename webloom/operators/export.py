@@ -10,6 +10,7 @@ from ..functions.predicates import exportable_page
 from ..functions.urls import canonicalize_url, page_slug, post_id, rfc822_date, sql_date, url_host
 from ..options import CrawlOptions
 from .links import page_path
+from .ranking import rank_within
 
 # Namespaces and constants of the export format.
 NAMESPACES = {
@@ -65,8 +66,13 @@ def numbered(chosen: DataFrame) -> DataFrame:
     return with_collision_rank(chosen.withColumn("post_id", post_id("url")), by="url")
 
 
+def positioned(chosen: DataFrame, order: str = "rank") -> DataFrame:
+    """``position``, from 1 in each site, for narrow rows ``(site, url, ...)``, before any page text is attached."""
+    return rank_within(chosen, "site", [order, "url"], "position")
+
+
 def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
-    """One export item per numbered page record, flat and map-only; :func:`wxr_item_columns` gives the XML names."""
+    """One export item per numbered page record, flat and map-only; :func:`wxr_item_columns` gives the XML names. A ``position`` is kept."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     items = records.select(
         "site",
@@ -90,6 +96,7 @@ def wxr_items(records: DataFrame, as_of: str) -> DataFrame:
         F.lit("").alias("post_password"),
         F.lit(0).cast("bigint").alias("is_sticky"),
         "collision_rank",
+        *[c for c in records.columns if c == "position"],
     )
     return items
 
@@ -127,6 +134,7 @@ def wxr_item_columns(items: DataFrame) -> DataFrame:
         F.col("post_type").alias("wp:post_type"),
         F.col("post_password").alias("wp:post_password"),
         F.col("is_sticky").alias("wp:is_sticky"),
+        *[c for c in items.columns if c == "position"],
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import exportable_page
 from ..functions.urls import is_internal
 from ..operators.crawl import crawl_reachability, link_edges, stored_edges
-from ..operators.export import numbered, records_of, wxr_channel, wxr_gate, wxr_items
+from ..operators.export import numbered, positioned, records_of, wxr_channel, wxr_gate, wxr_items
 from ..operators.layout import asset_manifest, path_conflicts, path_winner
 from ..operators.links import asset_table, link_table, page_path
 from ..operators.ranking import crawl_rank, max_pages_cap
@@ -157,6 +157,10 @@ class SiteClone:
     def items(self) -> DataFrame:
         return wxr_items(records_of(self._gated(numbered(self._exported())), self.pages), self.options.as_of)
 
+    def import_items(self) -> DataFrame:
+        """The items with their place in their site's export, in crawl order; write them with ``sinks.imports.write_import_files``."""
+        return wxr_items(records_of(self._gated(numbered(positioned(self._exported()))), self.pages), self.options.as_of)
+
     def channel(self) -> DataFrame:
         return wxr_channel(self._gated(self.crawl.sites), self._exported(), self.options.as_of)
 

@@ -462,6 +462,13 @@ ORACLES["pages_json_export"] = f"with {RECORDS} select site, title, content, slu
 ORACLES["wxr_files"] = f"""with {RECORDS} select site, title, url as link, md5(content) as content,
   id + 1000000 * (row_number() over (partition by site, id order by url) - 1) as post_id, slug as post_name, 'publish' as status
   from (select *, cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as id from records)"""
+ORACLES["wxr_import_files"] = rf"""{_JOB_CMS}, {_LOG}, saved as (select site, url, page_id, rank,
+    row_number() over (partition by site order by rank) - 1 as i, cast('0x' || substr(md5(url), 1, 8) as bigint) % 1000000 as id
+    from log where outcome = 'saved' and regexp_matches({cms_path('url')}, '(?s)[^/]\.html\z')),
+  ids as (select *, id + 1000000 * (row_number() over (partition by site, id order by url) - 1) as post_id from saved)
+  select site, i//16 as part, i%16 as place, site as channel_title, concat('http://', site, '/') as base, '1.2' as version,
+    {TITLE} as title, url as link, md5({CONTENT}) as content, post_id, {slug('url')} as post_name
+  from (select s.*, t.html from ids s join tree t on t.page_id = s.page_id)"""
 ORACLES["asset_sink"] = f"""with {ASSETS}, w as (select site, {cms_path('asset_url')} as path, asset_url as url, page_id as rank, kind
   from assets where {SAVED_CMS} and length(asset_url)%7 <> 0) select site, path, url, rank, kind, md5(concat('bytes of ', url)) as content
   from (select *, row_number() over (partition by site, path order by rank, url, kind) as n from w) where n = 1"""

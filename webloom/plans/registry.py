@@ -13,6 +13,7 @@ from ..options import BACKUP_ENDINGS, CMS, CMS_ENDINGS, CMS_EXPORT, CMS_WITH_BAC
 from ..session import scratch_path
 from ..sinks import files as file_sinks
 from ..sinks.exports import write_pages_json, write_wxr
+from ..sinks.imports import write_import_files
 from ..sources import captures, seeds, sitemaps
 from ..streaming import discover
 from . import clone, derived
@@ -583,6 +584,23 @@ def wxr_files(spark, sf):
     return flat.withColumn("content", F.md5("content"))
 
 
+@query
+def wxr_import_files(spark, sf):
+    """One importable file per site and part, each read back whole: header and items in crawl order."""
+    out = scratch_path(spark, "import")
+    job = _tree_clone(spark, sf, CMS_EXPORT)
+    write_import_files(job.import_items(), job.channel(), out, per_file=16)
+    item = "struct<title: string, link: string, `content:encoded`: string, `wp:post_id`: bigint, `wp:post_name`: string>"
+    schema = f"channel struct<title: string, link: string, `wp:wxr_version`: string, item: array<{item}>>, site_bucket int, site string, part bigint"
+    back = spark.read.format("xml").option("rowTag", "rss").option("ignoreSurroundingSpaces", "false").schema(schema).load(out)
+    flat = back.select("site", "part", "channel.title", "channel.link", F.col("channel.`wp:wxr_version`").alias("version"), F.posexplode("channel.item").alias("place", "item"))
+    return flat.select(
+        "site", "part", big("place"), F.col("title").alias("channel_title"), F.col("link").alias("base"), "version",
+        F.col("item.title").alias("title"), F.col("item.link").alias("link"), F.md5(F.col("item.`content:encoded`")).alias("content"),
+        F.col("item.`wp:post_id`").alias("post_id"), F.col("item.`wp:post_name`").alias("post_name"),
+    )
+
+
 @query
 def site_files_sink(spark, sf):
     """Pages written under paths that slash variants share; the last writer of each path is read back."""
