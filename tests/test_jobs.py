@@ -1,6 +1,7 @@
 """Crawls, ranks, layouts, sinks and streams on small fixtures, against brute force."""
 
 from collections import deque
+from datetime import datetime
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -15,7 +16,7 @@ from webloom.plans.registry import QUERIES
 from webloom.session import scratch_path, written
 from webloom.sinks import exports, files, imports
 from webloom.sources import captures, seeds, sitemaps
-from webloom.streaming.discover import stream_discover_links
+from webloom.streaming.discover import CAPTURED, discover_links, page_stream, run_stream, stream_discover_links
 
 SF = "/root/testdata/sf0.001"
 
@@ -298,6 +299,24 @@ def test_stream_takes_its_default_batches(spark):
     assert found.count() == QUERIES["distinct_urls"](spark, SF).count() > 0
 
 
+def test_a_stream_with_a_horizon_forgets(spark):
+    """State holds what was seen lately; late pages are left out; a URL is told again after the horizon."""
+    folder, out = scratch_path(spark, "captured"), scratch_path(spark, "recent")
+
+    def arrive(day, *pages):
+        rows = [(i, f"http://s/{i}", "".join(f'<a href="/{k}">x</a>' for k in links), datetime(2024, 1, day + 1 if at is None else at)) for i, links, at in pages]
+        spark.createDataFrame(rows, CAPTURED).coalesce(1).write.mode("append").parquet(folder)
+
+    for day in range(12):
+        arrive(day, (day, ["home", f"new{day}", f"new{day}"], None), *([(100 + day, [f"late{day}"], 1)] if day > 4 else []))
+    query = run_stream(discover_links(page_stream(spark, folder, batch_files=1, schema=CAPTURED), horizon="1 hour"), out)
+    found = [r.url.removeprefix("http://s/") for r in spark.read.parquet(f"{out}/urls").collect()]
+    assert sorted(u for u in found if u != "home") == sorted(f"new{d}" for d in range(12))  # no late ones
+    assert 2 < found.count("home") < 12
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) < 8 and sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"]) >= 8
+
+
 def test_dates(spark):
     record = spark.createDataFrame([("s", "u", "t", "c", "g")], "site string, url string, title string, content string, slug string")
     items = export.wxr_items(export.numbered(record), "2024-02-29 23:05:06").first()

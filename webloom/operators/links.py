@@ -49,10 +49,10 @@ def resolve_in_page(page: Column, ref: Column) -> Column:
     )
 
 
-def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool = True) -> DataFrame:
+def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """``links(page_id, site, src, pos, href, dst)`` of pages ``(page_id, url, html)``.
 
-    ``dst`` is canonical, NULL for references that are not crawlable (kept only without ``internal_only``).
+    ``dst`` is canonical, NULL for references that are not crawlable (kept only without ``internal_only``). Other columns of the pages follow if named in ``keep``.
     """
 
     def target(page: Column, href: Column) -> Column:
@@ -64,12 +64,12 @@ def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool
             extract_anchors("html"), lambda href: F.struct(href.alias("href"), target(page, href).alias("dst"))
         )
 
-    located = pages.select("page_id", canonicalize_url("url", strip_slash).alias("src"), "html")
+    located = pages.select("page_id", canonicalize_url("url", strip_slash).alias("src"), "html", *keep)
     # The outer form on purpose: for the plain one the optimizer would add a filter on the array's size below
     # the explode, and so scan every page twice.
     rows = (
-        located.select("page_id", "src", with_page(F.col("src"), links).alias("links"))
-        .select("page_id", "src", F.posexplode_outer("links").alias("pos", "link"))
+        located.select("page_id", "src", with_page(F.col("src"), links).alias("links"), *keep)
+        .select("page_id", "src", F.posexplode_outer("links").alias("pos", "link"), *keep)
         .select(
             "page_id",
             url_host("src").alias("site"),
@@ -77,6 +77,7 @@ def link_table(pages: DataFrame, strip_slash: bool = False, internal_only: bool
             "pos",
             F.col("link.href").alias("href"),
             F.col("link.dst").alias("dst"),
+            *keep,
         )
     )
     if internal_only:

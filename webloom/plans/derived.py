@@ -202,6 +202,15 @@ def tree_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _responses(urls).unionByName(scripts).unionByName(files)
 
 
+CAPTURE_BATCHES = 5
+#: A batch a day; from the third on some pages were captured long before.
+CAPTURED_AT = "case when page_id%5 >= 2 and page_id%13 = 5 then 1701388800 else 1704067200 + page_id%5*86400 + page_id%60*60 end"
+
+
+def captured_pages(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+    return pages(spark, sf_dir).filter(f"page_id%{CAPTURE_BATCHES} = {batch}").selectExpr("page_id", "url", "html", f"timestamp_seconds({CAPTURED_AT}) as captured_at")
+
+
 def asset_bytes(spark: SparkSession, sf_dir: str, assets: DataFrame) -> DataFrame:
     """``resources(url, content)`` of referenced assets; some were never captured."""
     urls = assets.select("asset_url").distinct().filter("length(asset_url)%7 <> 0")

@@ -473,3 +473,16 @@ ORACLES["asset_sink"] = f"""with {ASSETS}, w as (select site, {cms_path('asset_u
   from assets where {SAVED_CMS} and length(asset_url)%7 <> 0) select site, path, url, rank, kind, md5(concat('bytes of ', url)) as content
   from (select *, row_number() over (partition by site, path order by rank, url, kind) as n from w) where n = 1"""
 ORACLES["stream_discover_links"] = f"with {LINKED} select site, url from linked"
+
+def _recent() -> str:
+    """On-time URLs of each batch that were not told in the two batches before: state is evicted at the end of the batch that follows them."""
+    steps = []
+    for b in range(d.CAPTURE_BATCHES):
+        told = "".join(f" except select site, url from e{k}" for k in (b - 1, b - 2) if k >= 0)
+        late = " and page_id%13 <> 5" if b >= 2 else ""
+        steps.append(f"e{b} as (select distinct site, dst as url from links where page_id%{d.CAPTURE_BATCHES} = {b}{late}{told})")
+    every = " union all ".join(f"select site, url from e{b}" for b in range(d.CAPTURE_BATCHES))
+    return f"with {LINKS}, {', '.join(steps)} select site, url, count(*) as times from ({every}) group by 1, 2"
+
+
+ORACLES["stream_recent_links"] = _recent()

@@ -630,3 +630,13 @@ def asset_sink(spark, sf):
 @query
 def stream_discover_links(spark, sf):
     return discover.stream_discover_links(spark, sf, "pages.parquet")
+
+
+@query
+def stream_recent_links(spark, sf):
+    """Pages that arrive in five batches, a day each; a URL is remembered for some hours, so it is told again days later."""
+    folder = scratch_path(spark, "captured")
+    for batch in range(derived.CAPTURE_BATCHES):
+        derived.captured_pages(spark, sf, batch).coalesce(1).write.mode("append").parquet(folder)
+    found = discover.stream_discover_links(spark, folder, batch_files=1, horizon="2 hours")
+    return found.groupBy("site", "url").agg(F.count(F.lit(1)).alias("times"))
