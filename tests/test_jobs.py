@@ -77,6 +77,31 @@ def test_bucketed_edges_are_not_shuffled_again(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("webloom_edges")]
 
 
+def test_visited_bits(spark):
+    numbers = spark.createDataFrame([("a", n) for n in (0, 7, 8, 32_767, 32_768, 100_000, None)] + [("b", 7)], "site string, number long")
+    first = crawl.folded(None, numbers.filter("site = 'a' and number < 9"))
+    bits = crawl.folded(first, numbers)
+    asked = spark.createDataFrame([(s, n, n) for s in "abc" for n in (0, 1, 7, 8, 9, 32_766, 32_767, 32_768, 100_000)], "site string, number long, x long")
+    got = {(r.site, r.number) for r in crawl.not_in(asked, bits).collect()}
+    have = {("a", n) for n in (0, 7, 8, 32_767, 32_768, 100_000)} | {("b", 7)}
+    assert got == {(r.site, r.number) for r in asked.collect()} - have
+
+
+def test_a_level_does_not_move_what_was_visited(spark, monkeypatch):
+    """A long chain with links back to all pages: with bits the latest levels are all that is joined as rows."""
+    monkeypatch.setattr(crawl, "FOLD_ROWS", 1)
+    folds, plain = [], crawl.folded
+    monkeypatch.setattr(crawl, "folded", lambda bits, numbers: folds.append(numbers.count()) or plain(bits, numbers))
+    n = 14
+    links = {f"http://a/{k}": [f"http://a/{t}" for t in range(min(k + 2, n))] for k in range(n)}
+    edges = spark.createDataFrame([(s, d, p) for s, ds in links.items() for p, d in enumerate(ds)], "src string, dst string, pos long")
+    queue = spark.createDataFrame([("a", "http://a/0", [0]), ("a", "http://a/alone", [1])], "site string, url string, order array<long>")
+    ranked = ranking.crawl_rank(crawl.crawl_reachability(queue, written(edges, "edges"))).orderBy("rank").collect()
+    assert [r.url for r in ranked] == brute_crawl({"a": ["http://a/0", "http://a/alone"]}, links, 99)["a"]
+    assert [r.depth for r in ranked] == [0, 0, *range(1, n)]
+    assert sum(folds) <= n + 2 and len(folds) >= n // 2 and max(folds) <= 3  # each number is folded once
+
+
 def test_max_depth(spark):
     _, _, edges, queue = graph(spark)
     visited = crawl.crawl_reachability(queue, written(edges, "edges"), max_depth=1)

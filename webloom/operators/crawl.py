@@ -3,6 +3,10 @@
 One Spark job set per level, all data in executors and in the shared folder. Each level is a written table: lost
 executors cost a re-read and not a re-crawl, and its true size lets Catalyst broadcast a small frontier and shuffle
 a large one. The driver sees one row count per level.
+
+What is visited is known by numbers. Linked URLs are numbered once, densely; the visited ones are bits of rows ``(site, chunk, bits)``, one
+for 32,768 numbers, and only the numbers of the latest levels (some ``FOLD_ROWS`` at most) are looked up as rows. So a level moves
+its frontier and what it reaches, whatever was visited before, and reads an eighth of a byte for each visited URL.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import nullable, scratch_path
+from ..session import nullable, scratch_path, written
 from .ranking import rank_within
 
 REBASE = 16
+FOLD_ROWS = 1_000_000  #: numbers kept as rows; more are folded into bits
+CHUNK = 32_768  #: numbers in a row of bits, as Spark's bitmap functions have it
 
 
 def seed_level(seeds: DataFrame) -> DataFrame:
@@ -38,9 +44,33 @@ def link_edges(links: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return links.groupBy(*key).agg(F.min("pos").cast("bigint").alias("pos")).select("src", "dst", "pos")
 
 
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """``edges(src, dst, pos, number)``: linked URLs numbered from 0, in the order of their text, so a site's numbers lie together."""
+    edges = written(edges.select("src", "dst", "pos"), "links")
+    urls = edges.select("dst").distinct().withColumn("all", F.lit(0))
+    numbers = rank_within(urls, "all", ["dst"], "number").select("dst", (F.col("number") - 1).alias("number"))
+    return edges.join(numbers, "dst").select("src", "dst", "pos", "number")
+
+
+def folded(bits: DataFrame | None, numbers: DataFrame) -> DataFrame:
+    """``site, chunk, bits`` of bits and some more numbers ``(site, number)``. Numbers are brought together first: a row of bits is wide."""
+    placed = numbers.filter("number is not null").select("site", F.expr(f"number div {CHUNK}").alias("chunk"), (F.col("number") % CHUNK).alias("place"))
+    new = placed.repartition("site", "chunk").groupBy("site", "chunk").agg(F.bitmap_construct_agg("place").alias("bits"))
+    if bits is None:
+        return new
+    return new.unionByName(bits).groupBy("site", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def not_in(numbers: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows ``(site, number, ...)`` whose bit is not set."""
+    bit = "(shiftright(cast(conv(hex(substring(bits, cast(number % {c} div 8 as int) + 1, 1)), 16, 10) as int), cast(number % 8 as int)) & 1) = 1"
+    placed = numbers.withColumn("chunk", F.expr(f"number div {CHUNK}")).join(bits, ["site", "chunk"], "left")
+    return placed.filter(F.col("bits").isNull() | ~F.expr(bit.format(c=CHUNK))).select(*numbers.columns)
+
+
 @contextmanager
 def stored_edges(edges: DataFrame, buckets: int | None = None) -> Iterator[DataFrame]:
-    """Write the link table once for all levels, bucketed by source page, so that no level shuffles it again.
+    """Write the numbered link table once for all levels, bucketed by source page, so that no level shuffles it again.
 
     It is an external table of the session's catalog with its files in the shared folder, and leaves the catalog at the end.
     ``buckets`` is the session's number of shuffle partitions if it is not given.
@@ -49,7 +79,8 @@ def stored_edges(edges: DataFrame, buckets: int | None = None) -> Iterator[DataF
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"webloom_edges_{uuid.uuid4().hex}"
     (
-        edges.repartition(buckets, "src")
+        numbered_edges(edges)
+        .repartition(buckets, "src")
         .write.option("path", scratch_path(spark, "edges"))
         .bucketBy(buckets, "src")
         .sortBy("src")
@@ -67,7 +98,7 @@ def crawl_reachability(
     max_depth: int | None = None,
     max_pages: int | None = None,
 ) -> DataFrame:
-    """``visited(site, url, order, depth)`` from ``seeds(site, url, order)`` over stored ``edges(src, dst, pos)``.
+    """``visited(site, url, order, depth)`` from ``seeds(site, url, order)`` over stored ``edges(src, dst, pos)``, numbered if they are not.
 
     ``order`` is the list of link positions that leads to a URL. Within a depth it sorts URLs exactly as a
     first-in-first-out queue would, so a level needs no sort. Every ``REBASE`` levels the list is replaced by the
@@ -76,18 +107,26 @@ def crawl_reachability(
     """
     spark = seeds.sparkSession
     root = scratch_path(spark, "visited")
-    level = seed_level(seeds)
+    if "number" not in edges.columns:
+        edges = written(numbered_edges(edges), "edges")
+    linked = edges.select(F.col("dst").alias("url"), "number")
+    starts = seed_level(seeds)
+    # Seeds that nothing links to have no number, and are never reached.
+    known = linked.join(starts.select("url"), "url", "left_semi").distinct()
+    level = starts.join(known, "url", "left").select("site", "url", "order", "number")
     schema = nullable(level.schema).add("depth", "integer")
 
     def visited(depth: int | None = None) -> DataFrame:
         path = root if depth is None else f"{root}/depth={depth}"
         return spark.read.schema(schema).option("basePath", root).parquet(path)
 
-    depth, total = 0, 0
+    depth, total, bits, since = 0, 0, None, 0  # levels from `since` on are not in the bits
+    recent = 0
     while True:
         level.write.parquet(f"{root}/depth={depth}")
         found = visited(depth).count()  # from file footers
         total += found
+        recent += found
         if found == 0 or depth == max_depth:
             break
         frontier = visited(depth).select("site", "url", "order")
@@ -99,11 +138,18 @@ def crawl_reachability(
             frontier = frontier.join(full, "site", "left_anti")
         reached = (
             frontier.join(edges, frontier["url"] == edges["src"])
-            .select("site", F.col("dst").alias("url"), F.concat("order", F.array("pos")).alias("order"))
+            .select("site", F.col("dst").alias("url"), F.concat("order", F.array("pos")).alias("order"), "number")
             # Combined before the exchange: a page that everything links to is one row per task.
-            .groupBy("site", "url")
-            .agg(F.min("order").alias("order"))
+            .groupBy("site", "number")
+            .agg(F.min("order").alias("order"), F.first("url").alias("url"))
         )
-        level = reached.join(visited().select("site", "url"), ["site", "url"], "left_anti")
+        latest = visited().filter(F.col("depth") >= since).select("site", "number")
+        if recent > FOLD_ROWS or depth - since >= REBASE:
+            bits, since, recent = written(folded(bits, latest), "bits"), depth + 1, 0
+            level = not_in(reached, bits)
+        else:
+            level = reached.join(latest, ["site", "number"], "left_anti")
+            level = level if bits is None else not_in(level, bits)
+        level = level.select("site", "url", "order", "number")
         depth += 1
-    return visited()
+    return visited().select("site", "url", "order", "depth")
