@@ -267,6 +267,22 @@ def test_attempts_decide_failures(spark):
     assert got["http://s/a"] == "failed" and got["http://s/b/"] == "saved"
 
 
+def test_queue_log_equals_a_queue(spark):
+    """Every entry of a first-in-first-out queue with a cap, in order."""
+    pages, sites = site_pages(spark)
+    log = [("http://s/a", i, i, i == 1) for i in range(3)] + [("http://s/b/", i, i, False) for i in range(5)]
+    attempts = spark.createDataFrame(log, "url string, ts long, attempt_id long, ok boolean")
+    options = CMS_EXPORT.with_(seed_paths=("a", "a", "island"), max_pages=5)
+    job = clone.clone_cms_site(pages, sites, options, attempts=attempts)
+    got = [(r.entry, r.parent, r.url, r.outcome, r.attempts) for r in job.queue_log().orderBy("entry").collect()]
+    s = "http://s/"
+    assert got == [
+        (1, 0, s, "saved", None), (2, 0, s + "a", "saved", 2), (3, 0, s + "a", "duplicate", None), (4, 0, s + "island", "saved", None),
+        (5, 1, s + "a", "duplicate", None), (6, 1, s + "b/", "failed", 3), (7, 1, s + "c.html", "saved", None), (8, 1, s + "gone", "cap_reached", None),
+        (9, 1, "http://o/x", "off_site", None),
+    ]
+
+
 def test_text_moves_once(spark):
     """Of the exchanges of an export only the one that attaches the text carries it."""
     pages, sites = site_pages(spark)

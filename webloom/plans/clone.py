@@ -14,11 +14,12 @@ from ..operators.crawl import crawl_reachability, link_edges, stored_edges
 from ..operators.export import numbered, positioned, records_of, wxr_channel, wxr_gate, wxr_items
 from ..operators.layout import asset_manifest, path_conflicts, path_winner
 from ..operators.links import asset_table, link_table, page_path
+from ..operators.queue import queue_entries, queue_log
 from ..operators.ranking import crawl_rank, max_pages_cap
 from ..operators.rewrite import rewrite_pages
 from ..options import CMS, CMS_EXPORT, GENERIC, CrawlOptions
 from ..session import written
-from ..sources.captures import failed_fetches, fetch_outcome, fetched_html, page_index
+from ..sources.captures import failed_fetches, fetch_outcome, fetched_html, page_index, tried_fetches
 from ..sources.seeds import seed_queue
 
 
@@ -30,6 +31,8 @@ class SiteCrawl:
     index: DataFrame
     ranked: DataFrame  # every reached URL, beyond the cap too
     log: DataFrame  # site, url, depth, rank, page_id, status, content_type, outcome
+    seeds: DataFrame  # the queue before the first page
+    tries: DataFrame | None  # url, attempts: of a log of attempts
 
 
 def crawl_sites(
@@ -50,7 +53,7 @@ def crawl_sites(
         visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
     ranked = written(crawl_rank(visited).drop("order"), "ranked")
     log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options, failed), "log")
-    return SiteCrawl(sites, index, ranked, log)
+    return SiteCrawl(sites, index, ranked, log, seeds, tried_fetches(attempts, options))
 
 
 def crawl_log(crawl: SiteCrawl, options: CrawlOptions) -> DataFrame:
@@ -124,6 +127,12 @@ class SiteClone:
         crawled = self.resources().select("site", "path", "url", "rank", F.lit("resource").alias("kind"))
         return path_winner(refs.unionByName(crawled), keep="first")
 
+    def queue_log(self) -> DataFrame:
+        """What became of every entry of the queue: ``operators.queue.queue_log``. Links are parsed in place once more, those off the site too."""
+        links = link_table(self.pages, self.options.strip_slash, internal_only=False)
+        entries = queue_entries(self.crawl.seeds, links, self.saved())
+        return queue_log(entries, crawl_log(self.crawl, self.options), self.crawl.tries)
+
     def manifest(self) -> DataFrame:
         return asset_manifest(self.assets())
 

@@ -202,6 +202,16 @@ def tree_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _responses(urls).unionByName(scripts).unionByName(files)
 
 
+#: The attempt that succeeds; some never do.
+SUCCESS = "case when page_id%11 = 4 then 99 else page_id%3 + 1 end"
+
+
+def tree_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four attempts at each page of the tree."""
+    tries = table(spark, sf_dir, "pages").selectExpr("page_id", f"{TREE_URL} as url", "explode(sequence(1, 4)) as k")
+    return tries.selectExpr("url", "k as ts", "4 * page_id + k as attempt_id", f"k >= {SUCCESS} as ok")
+
+
 CAPTURE_BATCHES = 5
 #: A batch a day; from the third on some pages were captured long before.
 CAPTURED_AT = "case when page_id%5 >= 2 and page_id%13 = 5 then 1701388800 else 1704067200 + page_id%5*86400 + page_id%60*60 end"

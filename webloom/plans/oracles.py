@@ -369,6 +369,19 @@ def log(kept: str) -> str:
 
 _LOG = log(CMS_KEPT)
 ORACLES["crawl_log"] = f"{_JOB_CMS}, {_LOG} select site, url, depth, rank, outcome from log"
+# Every entry of the queue, in a crawl where some pages are never fetched.
+_TRIED = _JOB_CMS.replace("where r.s < 400 and", "where i.page_id%11 <> 4 and r.s < 400 and")
+_ALL_SEEDS = "select distinct site, concat('http://', site, '/') as url, 0 as parent, [0, 0, 0]::bigint[] as place from own" + "".join(
+    f" union all select distinct site, concat('http://', site, '/{p}'), 0, [3, {i}, 0]::bigint[] from own" for i, p in enumerate(CMS_SEED_PATHS)
+)
+ORACLES["queue_log"] = f"""{_TRIED}, {_LOG.replace("case when resp.url is null", "case when idx.page_id%11 = 4 then 'failed' when resp.url is null")},
+  entries as ({_ALL_SEEDS} union all select o.site, case when o.a[i] like '/%' then concat('http://', o.site, o.a[i]) when o.a[i] like 'mailto:%' then null else o.a[i] end,
+    s.rank, [i - 1]::bigint[] from (select site, page_id, a, unnest(range(1, len(a) + 1)) as i from own) o join log s using (page_id) where s.outcome = 'saved'),
+  placed as (select *, row_number() over (partition by site order by parent, place) as entry, row_number() over (partition by site, url order by parent, place) as n from entries)
+  select p.site, p.entry, p.parent, p.url, case when p.url is null then 'not_crawlable' when regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) <> p.site then 'off_site'
+    when n > 1 then 'duplicate' else l.outcome end as outcome,
+    case when n = 1 and idx.page_id is not null and regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) = p.site then case when idx.page_id%11 = 4 then 3 else idx.page_id%3 + 1 end end as attempts
+  from placed p left join log l on l.site = p.site and l.url = p.url left join idx on idx.url = p.url"""
 _LISTED = """ union all select site, src, [1, page_id//64, row_number() over (partition by site, page_id//64 order by page_id) - 1]::bigint[]
   from own where page_id%7 = 3"""
 ORACLES["crawl_from_sitemaps"] = f"{job(CMS_SEED_PATHS, '', extra=_LISTED)}, {_LOG} select site, url, depth, rank, outcome from log"

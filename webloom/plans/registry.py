@@ -498,6 +498,14 @@ def outcome_counts(spark, sf):
     return clone.outcome_counts(log)
 
 
+@query
+def queue_log(spark, sf):
+    """Every entry of the queue of a crawl with a log of attempts: saved, failed, duplicate, off the site and so on."""
+    sites = seeds.site_table(derived.tree_bases(spark, sf))
+    answers, attempts = derived.tree_responses(spark, sf), derived.tree_attempts(spark, sf)
+    return clone.clone_cms_site(derived.pages_site(spark, sf), sites, CMS, responses=answers, attempts=attempts).queue_log()
+
+
 @query
 def link_outcomes(spark, sf):
     return clone.link_outcomes(links.link_table(derived.pages_aug(spark, sf), internal_only=False))

@@ -59,12 +59,18 @@ def canonical_responses(responses: DataFrame, strip_slash: bool = False) -> Data
     )
 
 
-def failed_fetches(attempts: DataFrame | None, options: CrawlOptions) -> DataFrame | None:
-    """URLs of an attempt log ``(url, ts, attempt_id, ok)`` without a success among the attempts that count."""
+def tried_fetches(attempts: DataFrame | None, options: CrawlOptions) -> DataFrame | None:
+    """``url, attempts, first_success, exhausted`` of an attempt log ``(url, ts, attempt_id, ok)``."""
     if attempts is None:
         return None
     canonical = attempts.withColumn("url", canonicalize_url("url", options.strip_slash)).filter(F.col("url").isNotNull())
-    return retry_outcome(canonical, options.max_retries).filter(F.col("first_success").isNull()).select("url")
+    return retry_outcome(canonical, options.max_retries)
+
+
+def failed_fetches(attempts: DataFrame | None, options: CrawlOptions) -> DataFrame | None:
+    """URLs without a success among the attempts that count."""
+    tried = tried_fetches(attempts, options)
+    return None if tried is None else tried.filter(F.col("first_success").isNull()).select("url")
 
 
 def fetched_html(index: DataFrame, responses: DataFrame | None, options: CrawlOptions, failed: DataFrame | None = None) -> DataFrame:
