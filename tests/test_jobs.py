@@ -5,6 +5,7 @@ from datetime import datetime
 from pathlib import Path
 from xml.etree import ElementTree
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from webloom.operators.attempts import retry_outcome
 from webloom.plans import clone, derived
 from webloom.plans.registry import QUERIES
 from webloom.session import scratch_path, written
-from webloom.sinks import exports, files, imports
+from webloom.sinks import exports, files, imports, snapshots
 from webloom.sources import captures, seeds, sitemaps
 from webloom.streaming.discover import CAPTURED, discover_links, page_stream, run_stream, stream_discover_links
 
@@ -179,6 +180,42 @@ def test_sinks(spark):
     assert sorted(r.content for r in spark.read.parquet(pages).collect()) == [f"u{i}" for i in range(15, 20)]
 
 
+def test_snapshots_are_replaced_path_by_path(spark, monkeypatch):
+    out = scratch_path(spark, "snapshots")
+
+    def rows(run, *paths):
+        return spark.createDataFrame([(f"s{p % 3}", f"p{p}", f"u{p}", p, f"{run} {p}") for p in paths], "site string, path string, url string, rank long, content string")
+
+    def held(version=None):
+        return {r.path: r.content for r in snapshots.read_snapshot(spark, out, version).collect()}
+
+    assert snapshots.read_snapshot(spark, out) is None and snapshots.upsert_files(rows("none"), out) == 0
+    assert snapshots.upsert_files(rows("a", *range(9)), out, buckets=8) == 1
+    twice = rows("b", 3, 12).unionByName(rows("lost", 3).withColumn("rank", F.lit(1).cast("bigint")))
+    assert snapshots.upsert_files(twice, out, buckets=8) == 2
+    want = {f"p{p}": f"a {p}" for p in range(9)} | {"p3": "b 3", "p12": "b 12"}
+    assert held() == want and held(1) == {f"p{p}": f"a {p}" for p in range(9)}
+    # All of b's paths are of one site, so the buckets of the other sites are where they were.
+    folders = {r["site_bucket"]: r["folder"] for r in snapshots.manifest(spark, out, 1)}
+    assert sum(folders[r["site_bucket"]] == r["folder"] for r in snapshots.manifest(spark, out)) == len(folders) - 1
+    with pytest.raises(ValueError, match="buckets"):
+        snapshots.upsert_files(twice, out, buckets=9)
+
+    # A run that fails before its commit, or in it, leaves the snapshot before.
+    broken = rows("c", 1).withColumn("content", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.upsert_files(broken, out, buckets=8)
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            snapshots.upsert_files(rows("d", 1), out, buckets=8)
+    assert held() == want
+    # Of two writers of one version the second fails.
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        snapshots._commit(spark, out, 2, [(2, 0, "x", 8)])
+    assert held() == want
+
+
 def site_pages(spark):
     link = "".join(f'<a href="{p}">x</a>' for p in ("/a", "/b/", "c.html", "/gone", "http://o/x"))
     rows = [

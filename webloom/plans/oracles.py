@@ -429,6 +429,10 @@ ORACLES["site_files_sink"] = f"""with {AUG_GENERIC}, w as (select site, own as p
     row_number() over (partition by site, own order by page_id desc) as n from {own_pages(site_path("src"))})
   select site, path, url, content from w where n = 1"""
 
+ORACLES["site_files_upsert"] = f"""with {AUG_GENERIC}, w as (select site, own as path, src as url, page_id as rank, page_id%3 = 0 as again,
+    md5(html) as content, row_number() over (partition by site, own order by page_id%3 = 0 desc, page_id desc) as n from {own_pages(site_path("src"))})
+  select site, path, url, rank, case when again then concat('new ', content) else content end as content from w where n = 1"""
+
 
 def files(head: str, own_path, local: str, types: str, kept: str) -> str:
     ref_tables = ASSETS.replace(AUG, f"aug as (select page_id, {d.TREE_HOST} as site, own.src, tree.html from tree join own using (page_id))").replace(d.TREE_HOST, "own.site")

@@ -12,6 +12,7 @@ from ..operators import attempts, crawl, export, frontier, layout, links, rankin
 from ..options import BACKUP_ENDINGS, CMS, CMS_ENDINGS, CMS_EXPORT, CMS_WITH_BACKUP, GENERIC
 from ..session import scratch_path
 from ..sinks import files as file_sinks
+from ..sinks import snapshots
 from ..sinks.exports import write_pages_json, write_wxr
 from ..sinks.imports import write_import_files
 from ..sources import captures, seeds, sitemaps
@@ -623,6 +624,19 @@ def site_files_sink(spark, sf):
     return spark.read.parquet(out).select("site", "path", "url", F.md5("content").alias("content"))
 
 
+@query
+def site_files_upsert(spark, sf):
+    """All pages written, then every third one anew with other contents: the second run replaces its own paths only."""
+    out = scratch_path(spark, "snapshots")
+    pages = derived.pages_aug(spark, sf)
+    url = urls.canonicalize_url("url", GENERIC.strip_slash)
+    files = pages.select(urls.url_host(url).alias("site"), links.page_path(url, GENERIC).alias("path"), url.alias("url"), F.col("page_id").alias("rank"), F.md5("html").alias("content"))
+    files = files.filter("url is not null")
+    snapshots.upsert_files(files, out)
+    snapshots.upsert_files(files.filter("rank % 3 = 0").withColumn("content", F.concat(F.lit("new "), "content")), out)
+    return snapshots.read_snapshot(spark, out).select("site", "path", "url", "rank", "content")
+
+
 @query
 def asset_sink(spark, sf):
     """Contents of captured assets written twice; the second run finds every path taken and adds nothing."""
