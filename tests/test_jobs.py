@@ -216,6 +216,31 @@ def test_snapshots_are_replaced_path_by_path(spark, monkeypatch):
     assert held() == want
 
 
+def test_assets_from_captured_files(spark, tmp_path):
+    """Files below hosts are resources; their bytes are read by one scan and take part in one join."""
+    for name in ("s/a/x.css", "s/b.js", "s/sub dir/é.png", "t/b.js", "s/unwanted.bin"):
+        file = tmp_path / "captured" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(name.encode() * 1000)
+    resources = captures.read_asset_files(spark, str(tmp_path / "captured"))
+    assert {r.url for r in resources.select("url").collect()} == {"http://s/a/x.css", "http://s/b.js", "http://s/sub dir/é.png", "http://t/b.js", "http://s/unwanted.bin"}
+    rows = [("s", "x.css", "http://s/a/x.css", 1), ("s", "b.js", "http://s/gone.js", 1), ("s", "b.js", "http://s/b.js", 2), ("s", "p", "http://s/sub dir/é.png", 3), ("t", "b.js", "http://t/b.js", 4)]
+    assets = spark.createDataFrame(rows, "site string, path string, url string, rank long")
+    out, seen, plain = scratch_path(spark, "assets"), [], files._write
+    try:
+        files._write = lambda rows, *rest: seen.append(rows._jdf.queryExecution().executedPlan().toString()) or plain(rows, *rest)
+        files.asset_sink(assets, resources, out)
+        files.asset_sink(assets, resources, out, existing=spark.read.parquet(out))
+    finally:
+        files._write = plain
+    got = {(r.site, r.path): bytes(r.content) for r in spark.read.parquet(out).collect()}
+    assert got == {("s", "x.css"): b"s/a/x.css" * 1000, ("s", "b.js"): b"s/b.js" * 1000, ("s", "p"): "s/sub dir/é.png".encode() * 1000, ("t", "b.js"): b"t/b.js" * 1000}
+    assert spark.read.parquet(out).count() == 4
+    # One scan reads contents, and the aggregates are on names only.
+    assert all(sum("Aggregate" in line and "content" in line for line in plan.splitlines()) == 0 for plan in seen)
+    assert [plan.count("content:binary") for plan in seen] == [1, 1]
+
+
 def site_pages(spark):
     link = "".join(f'<a href="{p}">x</a>' for p in ("/a", "/b/", "c.html", "/gone", "http://o/x"))
     rows = [

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.frontier import existing_anti
 from ..operators.layout import path_winner
+from ..session import written
 
 SITE_BUCKETS = 64
 
@@ -58,9 +59,18 @@ def new_assets(assets: DataFrame, existing: DataFrame | None) -> DataFrame:
 def asset_sink(assets: DataFrame, resources: DataFrame, path: str, existing: DataFrame | None = None, buckets: int = SITE_BUCKETS) -> None:
     """Append the contents of assets whose path does not exist yet, so a second run adds nothing.
 
-    ``assets(site, path, url, rank, ...)``; ``resources(url, content)`` are the captured bytes (for files, of Spark's
-    ``binaryFile`` source); an asset without them failed and is left to a later run. ``existing`` is what an earlier run wrote to ``path``.
+    ``assets(site, path, url, rank, ...)``; ``resources(url, content)`` are the captured bytes (for files, ``sources.captures.read_asset_files``);
+    an asset without them failed and is left to a later run. ``existing`` is what an earlier run wrote to ``path``.
+
+    Everything is decided on narrow rows: which assets are new, and which capture of a URL counts (the least ``file``, where captures have one; otherwise
+    copies of a URL must be equal). Then one join fetches contents, of chosen captures only, and no aggregate sees them.
     """
     captured = assets.join(resources.select("url"), "url", "left_semi")
-    chosen = new_assets(captured, existing)
-    _write(chosen.join(resources.select("url", "content").dropDuplicates(["url"]), "url"), path, "append", buckets)
+    chosen = written(new_assets(captured, existing), "chosen")
+    if "file" in resources.columns:
+        files = chosen.select("url").distinct().join(resources.select("url", "file"), "url").groupBy("url").agg(F.min("file").alias("file"))
+        contents = files.join(resources.select("file", "content"), "file").select("url", "content")
+    else:
+        wanted = resources.select("url", "content").join(chosen.select("url").distinct(), "url", "left_semi")
+        contents = wanted.dropDuplicates(["url"])
+    _write(chosen.join(contents, "url"), path, "append", buckets)

@@ -18,6 +18,19 @@ def read_pages(spark: SparkSession, path: str, few_files: bool = False) -> DataF
     return spread(pages) if few_files else pages
 
 
+def read_asset_files(spark: SparkSession, folder: str, scheme: str = "http") -> DataFrame:
+    """``resources(url, file, length, content)`` of captured files at ``<folder>/<host>/<path of the URL>``.
+
+    ``file`` tells captures of one URL apart (``/a//b`` and ``/a/b`` in some stores) and is what a join that fetches contents goes by. A query that does not
+    ask for ``content`` lists the files and reads none of them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = F.lit(f"{folder.rstrip('/').split(':', 1)[-1].lstrip('/')}/")
+    below = F.expr("substring(path, locate(root, path) + length(root))")
+    named = files.withColumn("root", root).withColumn("url", canonicalize_url(F.concat(F.lit(f"{scheme}://"), below)))
+    return named.select("url", F.col("path").alias("file"), "length", "content").filter(F.col("url").isNotNull())
+
+
 def page_index(pages: DataFrame, strip_slash: bool = False, with_branch: bool = False) -> DataFrame:
     """``(url, page_id)``: one page per canonical URL, the one with the lowest id.
 
