@@ -44,8 +44,8 @@ GRAM = 64
 GROUP = 2048
 ROWS = 1024  #: sorted together, besides one whole group
 PLACE_BITS = 24  #: of a place in a block, below the hash in a packed key
-BLOCK = 1 << 20
-CHUNK = 1 << 19  #: bytes of texts at a time; each byte takes some 100 bytes of arrays
+BLOCK = 1 << 18
+CHUNK = 1 << 17  #: bytes of texts at a time; each byte takes some 100 bytes of arrays
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 LONG = 256  #: bytes from which a span is hashed by xxh3: modulo 2**64 any base has collisions that can be written down from some 1,000 bytes on
