@@ -238,6 +238,20 @@ def test_repeated_spans(given, awkward):
     check_spans(given.limit(80), 100, gram=32)
 
 
+def test_periodic_texts_are_few_rows(spark):
+    """Short periods make a run at every period; equal runs in a row are one, with the same result."""
+    rng = random.Random(12)
+    spam = "".join(rng.choice("abcdef") for _ in range(10))
+    rows = [(d, f"start {d} " + spam * (80 + d) + f" end {d}" + " z" * d) for d in range(30)] + [(40, "ab" * 900), (41, "q" * 1000 + "r"), (42, "unique " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_spans(docs, 400)
+    check_spans(docs, 60, gram=16, group=3)
+    found = suffix_dedup.anchored(docs, 400, 64, "doc_id", "text")
+    n = found.count()
+    assert n < 30 * 20 and found.agg({"times": "sum"}).first()[0] > 4 * n
+    assert suffix_dedup.repeated_spans(docs, 400).count() < 30 * 20
+
+
 def test_many_different_runs_of_an_anchor(awkward):
     check_spans(awkward, 60, gram=16, group=1)
 

@@ -82,7 +82,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
 
 
 def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> DataFrame:
-    """``doc_id, first, last, anchor, ah, sh``: the runs of all documents, with hashes of the anchor and of the bytes."""
+    """``doc_id, first, last, anchor, ah, sh, until, times``: the runs of all documents, with hashes of the anchor and of the bytes.
+
+    Equal runs that follow each other, as in text with a short period, are one row: the first of them, how many they are and where the last one's strings end.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,6 +97,12 @@ def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> Da
                 whole = np.array(
                     [xxhash.xxh3_64_intdigest(raw[s:e], c) for s, e, c in zip(first.tolist(), ends, (anchor - first).tolist(), strict=True)], np.uint64
                 )
+                new = np.ones(len(first), bool)
+                new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]) | (whole[1:] != whole[:-1]) | (first[1:] != last[:-1] + 1)
+                at = np.flatnonzero(new)
+                behind = np.append(at[1:], len(first))
+                until, times = last[behind - 1] if len(at) else last, behind - at
+                row, first, last, anchor, hashes, whole = (x[at] for x in (row, first, last, anchor, hashes, whole))
                 base = chunk.offsets[row]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -101,12 +110,14 @@ def anchored(docs: DataFrame, length: int, gram: int, key: str, text: str) -> Da
                         *[pa.array((x - base).astype(np.int32)) for x in (first, last, anchor)],
                         pa.array(hashes.astype(np.int64)),
                         pa.array(whole.astype(np.int64)),
+                        pa.array((until - base).astype(np.int32)),
+                        pa.array(times.astype(np.int32)),
                     ],
-                    names=["doc_id", "first", "last", "anchor", "ah", "sh"],
+                    names=["doc_id", "first", "last", "anchor", "ah", "sh", "until", "times"],
                 )
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).filter("doc_id is not null").transform(arrow_map,
-        run, "doc_id bigint, first int, last int, anchor int, ah bigint, sh bigint"
+        run, "doc_id bigint, first int, last int, anchor int, ah bigint, sh bigint, until int, times int"
     )
 
 
@@ -318,19 +329,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
     marked = written(anchored(docs, length, gram, key, text), "runs")
-    anchors = marked.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).filter("n > 1")
+    anchors = marked.groupBy("ah").agg(F.sum("times").alias("n"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).filter("n > 1")
     shared = written(marked.join(anchors.select("ah", (F.col("lo") < F.col("hi")).alias("mixed")), "ah"), "shared")
     mixed = shared.filter("mixed")
-    classes = mixed.groupBy("ah", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("at"))
+    classes = mixed.groupBy("ah", "sh").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("at"))
     classes = written(classes.select("ah", "sh", "n", "at.*"), "classes")
     sizes = classes.groupBy("ah").agg((F.count(F.lit(1)) > group).alias("wide"))
     segments = written(segments_of(classes.join(sizes, "ah"), docs, length, key, text), "segments")
     solved = sort_groups(segments.filter("not wide"), length).unionByName(count_strings(segments.filter("wide"), length))
-    # One outcome for each different run: all of it (no spans), or some strings. Equal runs (n > 1) are repeats as a whole.
+    # One outcome for each different run: all of it (no spans), or some strings. Equal runs (n > 1) are repeats as a whole, rows of several among them.
     outcome = classes.join(solved, ["ah", "sh"], "left").filter("n > 1 or spans is not null")
     outcome = outcome.select("ah", "sh", F.when(F.col("n") == 1, F.col("spans")).alias("spans"), F.lit(True).alias("known"))
     joined = shared.join(outcome, ["ah", "sh"], "left").filter("not mixed or known")
-    every = F.array(F.struct((F.col("anchor") - F.col("last")).alias("lo"), (F.col("anchor") - F.col("first")).alias("hi")))
+    every = F.array(F.struct((F.col("anchor") - F.col("until")).alias("lo"), (F.col("anchor") - F.col("first")).alias("hi")))
     some = joined.select("doc_id", "anchor", F.explode(F.coalesce("spans", every)).alias("s"))
     return some.select("doc_id", (F.col("anchor") - F.col("s.hi")).alias("begin"), (F.col("anchor") - F.col("s.lo") + length).alias("end"))
 
