@@ -456,3 +456,69 @@ def test_import_files_are_whole_documents(spark):
             assert item.findtext("title") == want[link].title.replace("\u0001", "")
     assert links == order and len(links) == len(want)
     imports.write_import_files(job.import_items(), job.channel().limit(0), scratch_path(spark, "none"))
+
+
+def test_sitemap_indexes_are_followed(spark):
+    """Nested, cyclic, missing and bad documents; addresses keep their query, and lose their fragment."""
+    index = "<?xml version='1.0'?><!-- <urlset> --><s:sitemapindex xmlns:s='urn:s'>{}</s:sitemapindex>"
+    maps = lambda *to: index.format("".join(f"<s:sitemap><s:loc> {a} </s:loc></s:sitemap>" for a in to))
+    page = "<urlset><url><loc>{}</loc></url><url><loc>not a url</loc></url></urlset>"
+    docs = [
+        ("h", 0, maps("http://h/i?n=1&amp;x", "http://h/a.xml#f", "http://h/gone.xml", "http://h/sitemap.xml"), "http://h/sitemap.xml"),
+        ("h", 1, maps("http://h/sitemap.xml", "http://h/b.xml", "http://h/bad.xml", "http://h/a.xml"), "http://h/i?n=1&x"),
+        ("h", 2, page.format("http://h/a"), "http://h/a.xml"),
+        ("h", 9, page.format("http://h/later"), "http://h/a.xml"),
+        ("h", 3, page.format("http://o/b"), " http://h/b.xml"),
+        ("h", 4, "<sitemapindex><sitemap>", "http://h/bad.xml"),
+        ("h", 5, page.format("http://h/unreached"), "http://h/u.xml"),
+        ("h", 6, page.format("http://h/nowhere"), None),
+        ("h", 7, None, "http://h/null.xml"),
+    ]
+    df = spark.createDataFrame(docs, "site string, doc long, xml string, address string")
+    roots = spark.createDataFrame([("h", "http://h/sitemap.xml"), ("h", None), ("g", "http://g/sitemap.xml")], "site string, address string")
+    tree = sitemaps.sitemap_tree(df, roots)
+    assert {tuple(r) for r in tree.documents.collect()} == {
+        ("h", "http://h/sitemap.xml", 0, "index"), ("h", "http://h/i?n=1&x", 1, "index"), ("h", "http://h/a.xml", 1, "urls"), ("h", "http://h/gone.xml", 1, "missing"),
+        ("h", "http://h/b.xml", 2, "urls"), ("h", "http://h/bad.xml", 2, "bad"), ("g", "http://g/sitemap.xml", 0, "missing"),
+    }
+    assert {(r.address, r.doc, r.pos, r.url) for r in tree.urls().collect()} == {("http://h/a.xml", 2, 0, "http://h/a"), ("http://h/b.xml", 3, 0, "http://o/b")}
+    assert [r.url for r in tree.urls(internal_only=True).collect()] == ["http://h/a"]
+    assert sitemaps.sitemap_tree(df, roots, max_depth=1).documents.count() == 5
+    assert sitemaps.sitemap_tree(df.limit(0), roots).documents.filter("outcome = 'missing'").count() == 2
+
+
+def test_path_conflicts_at_any_depth(spark):
+    """Against brute force, and with two rows a file where it lies deep."""
+    paths = ["/".join("ab"[n >> k & 1] for k in range(1 + n % 9)) + ("/" if n % 11 == 0 else "") for n in range(400)]
+    paths += ["a b", "a!", "a/", "a//b", "", "é/ü", "é", "a\x01", "\U0010ffff/x", "\U0010ffff"]
+    rows = [("st"[i % 2], p, f"u{i}") for i, p in enumerate(paths)] + [("s", None, "u"), ("s", "a", "u0")]
+    got = {tuple(r) for r in layout.path_conflicts(spark.createDataFrame(rows, "site string, path string, url string")).collect()}
+    want = set()
+    for site in "st":
+        named = {}
+        for s, p, u in rows:
+            if s == site and p is not None:
+                named.setdefault(p, set()).add(u)
+        for p, urls in named.items():
+            below = sum(q.startswith(p + "/") for q in named)
+            if len(urls) > 1:
+                want.add((site, p, "same_path", len(urls), min(urls)))
+            if below:
+                want.add((site, p, "file_is_folder", below, min(urls)))
+    assert got == want
+    empty = spark.createDataFrame([], "site string, path string, url string")
+    assert layout.path_conflicts(empty).count() == 0
+    deep = spark.createDataFrame([("s", "x/" * 500 + str(i), "u") for i in range(50)], "site string, path string, url string")
+    plan = layout.path_conflicts(deep)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and layout.path_conflicts(deep).count() == 0  # the marks were written by ranges before
+
+
+def test_posting_lists_of_assets(spark):
+    numbers = [0, 1, 1, 32767, 32768, 70000, -1, 2**53 + 1, None]
+    rows = [("s", "u", n) for n in numbers] + [("s", "v", None)]
+    lists = layout.asset_pages(spark.createDataFrame(rows, "site string, asset_url string, page_id long"))
+    assert {(r.block, r.n_pages) for r in lists.collect()} == {(0, 3), (1, 1), (2, 1), (-1, 1), (2**38, 1)}
+    assert sorted(r.page_id for r in layout.pages_of(lists).collect()) == sorted(set(numbers) - {None})
+    # An asset on all pages: rows of bounded width, one for each 32,768 pages.
+    wide = layout.asset_pages(spark.range(100_000).selectExpr("'s' as site", "'u' as asset_url", "id as page_id"))
+    assert [(r.n_pages, len(r.pages)) for r in wide.orderBy("block").collect()] == [(32768, 32768)] * 3 + [(1696, 1696)]

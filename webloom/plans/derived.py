@@ -167,6 +167,30 @@ def tree_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("site", "doc", F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("xml"))
 
 
+# Addresses of nested sitemaps: a root, indexes of four documents each, and documents.
+MAP_ROOT = "concat('http://', site, '/sitemap.xml')"
+MAP_INDEX = "concat('http://', site, '/index.php?n=', cast({g} as string))"
+MAP_DOC = "concat('http://', site, '/map-', cast(doc as string), '.xml')"
+MAP_GONE = "concat('http://', site, '/gone-', cast(g as string), '.xml')"
+
+
+def nested_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of :func:`tree_sitemaps` below indexes. The root names four of five indexes and the fourth of each five names the fifth;
+    every index names its documents, the root again, and one that is not there."""
+    leaves = tree_sitemaps(spark, sf_dir).selectExpr("site", "doc", "xml", f"{MAP_DOC} as address")
+    groups = leaves.selectExpr("site", "doc", "doc div 4 as g", "address")
+    named = groups.groupBy("site", "g").agg(F.sort_array(F.collect_set("address")).alias("maps"))
+    more = f"case when g%5 = 3 then array({MAP_INDEX.format(g='g+1')}) else array() end"
+    named = named.selectExpr("site", "g", f"concat(maps, array({MAP_ROOT}, {MAP_GONE}), {more}) as named")
+    indexes = named.selectExpr("site", "-2 - g as doc", "named", f"{MAP_INDEX.format(g='g')} as address")
+    listed = F.sort_array(F.collect_set(F.when(F.expr("g%5 <> 4"), F.expr(MAP_INDEX.format(g="g")))))
+    roots = named.groupBy("site").agg(listed.alias("named")).selectExpr("site", "cast(-1 as bigint) as doc", "named", f"{MAP_ROOT} as address")
+    body = F.array_join(F.transform("named", lambda a: F.concat(F.lit("<sitemap><loc>"), a, F.lit("</loc></sitemap>"))), "")
+    xml = F.concat(F.lit('<?xml version="1.0"?><sitemapindex>'), body, F.lit("</sitemapindex>"))
+    above = indexes.unionByName(roots).select("site", "doc", xml.alias("xml"), "address")
+    return leaves.unionByName(above)
+
+
 RESPONSE_STATUS = "case when page_id%10=9 then 404 else 200 end"
 RESPONSE_TYPE = """case when page_id%13=12 then 'application/pdf'
   when page_id%3=0 then 'Text/HTML; charset=UTF-8' else 'text/html' end"""

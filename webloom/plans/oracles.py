@@ -152,6 +152,24 @@ ORACLES["page_source"] = f"""with idx as (select {PAGE} as url, min(page_id) as
 ORACLES["sitemap_urls"] = f"with {LOCS} select distinct site, doc, url from locs where url is not null"
 ORACLES["sitemap_count"] = f"with {LOCS} select site, count(*) as n from locs group by site"
 ORACLES["nonempty_loc"] = f"with {LOCS} select loc, count(*) as n from locs group by loc"
+_MAPS = f"""listed as (select page_id, page_id//64 as doc, {d.TREE_HOST} as site, regexp_extract({d.TREE_URL}, '^[^?#]*') as url from pages),
+  leaf as (select distinct site, doc, doc//4 as g from listed where page_id%7 = 3), idx as (select distinct site, g from leaf),
+  edges as (select site, {d.MAP_ROOT} as src, {d.MAP_INDEX.format(g='g')} as dst from idx where g%5 <> 4
+    union all select site, {d.MAP_INDEX.format(g='g')}, {d.MAP_DOC} from leaf
+    union all select site, {d.MAP_INDEX.format(g='g')}, unnest([{d.MAP_ROOT}, {d.MAP_GONE}]) from idx
+    union all select site, {d.MAP_INDEX.format(g='g')}, {d.MAP_INDEX.format(g='(g+1)')} from idx where g%5 = 3),
+  docs as (select site, {d.MAP_DOC} as address, 'urls' as outcome from leaf union all select site, {d.MAP_INDEX.format(g='g')}, 'index' from idx
+    union all select distinct site, {d.MAP_ROOT}, 'index' from idx),
+  walk(site, address, depth) as (select distinct site, {d.MAP_ROOT}, cast(0 as bigint) from (select {d.TREE_HOST} as site from pages)
+    union select e.site, e.dst, w.depth + 1 from walk w join edges e on e.site = w.site and e.src = w.address where w.depth < 8),
+  reached as (select site, address, min(depth) as depth from walk group by 1, 2),
+  found as (select r.site, r.address, r.depth, t.url, row_number() over (partition by r.site, t.doc order by t.page_id) - 1 as pos
+    from reached r join (select *, {d.MAP_DOC} as address from listed where page_id%7 = 3) t using (site, address))"""
+ORACLES["sitemap_tree_documents"] = f"""with recursive {_MAPS} select r.site, r.address, r.depth, coalesce(o.outcome, 'missing') as outcome
+  from reached r left join docs o using (site, address)"""
+ORACLES["sitemap_tree_urls"] = f"with recursive {_MAPS} select site, address, depth, pos, url from found"
+ORACLES["nested_sitemap_seeds"] = f"""with recursive {_MAPS} select site, url, min(source) as source
+  from (select site, url, cast(1 as bigint) as source from found union all select distinct site, concat('http://', site, '/'), 0 from listed) group by 1, 2"""
 ORACLES["rest_endpoint_candidates"] = f"""with {SITES}
   select 'generic' as layout, site, pos, concat(origin, path) as url from sites, {api_rows(('/api/', '/data/'), 1)}
   union all select 'cms', site, pos, url from ({CMS_CANDIDATES})
@@ -276,6 +294,8 @@ ORACLES["crawl_count"] = f"with {LINKED} select site, count(*) as n from linked
 ORACLES["distinct_urls"] = f"with {LINKED} select site, url from linked"
 ORACLES["asset_manifest"] = f"""with {ASSETS} select site, asset_url, {cms_path('asset_url')} as path, kind, count(*) as n_refs,
   count(distinct page_id) as n_pages, min(page_id) as first_page from assets where {SAVED_CMS} group by 1, 2, 3, 4"""
+ORACLES["asset_pages"] = f"""with {ASSETS}, refs_ as (select distinct site, asset_url, page_id from assets where {SAVED_CMS})
+  select site, asset_url, page_id//32768 as block, count(*) as n_pages, string_agg(page_id%32768, ',' order by page_id) as pages from refs_ group by 1, 2, 3"""
 ORACLES["asset_kind"] = f"""with {ASSETS_GENERIC} select page_id, pos, kind, {GENERIC_LOCAL} as local_path from assets
   where {SAVED_GENERIC}"""
 ORACLES["retry_outcome"] = """with a as (select concat('res/', user_id) as url, event_type <> 'error' as ok,

@@ -66,6 +66,30 @@ def nonempty_loc(spark, sf):
     return locs.groupBy("loc").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sitemap_tree(spark, sf):
+    sites = seeds.site_table(derived.tree_bases(spark, sf))
+    return sitemaps.sitemap_tree(derived.nested_sitemaps(spark, sf), sitemaps.tree_roots(sites))
+
+
+@query
+def sitemap_tree_documents(spark, sf):
+    """Sitemaps reached through indexes that name one another, with depth and outcome."""
+    return _sitemap_tree(spark, sf).documents
+
+
+@query
+def sitemap_tree_urls(spark, sf):
+    return _sitemap_tree(spark, sf).urls().select("site", "address", "depth", big("pos"), "url")
+
+
+@query
+def nested_sitemap_seeds(spark, sf):
+    """Seeds of a job whose sitemaps are found through indexes."""
+    sites = seeds.site_table(derived.tree_bases(spark, sf))
+    found = seeds.seed_frontier(sites, CMS.with_(seed_paths=()), derived.nested_sitemaps(spark, sf))
+    return found.select("site", "url", F.get("order", F.lit(0)).alias("source"))
+
+
 def _sites(spark, sf):
     return seeds.site_table(derived.page_bases(spark, sf))
 
@@ -416,6 +440,13 @@ def asset_manifest(spark, sf):
     return layout.asset_manifest(links.asset_table(derived.pages_aug(spark, sf), CMS))
 
 
+@query
+def asset_pages(spark, sf):
+    """Posting lists of the pages that refer to each saved asset."""
+    lists = layout.asset_pages(links.asset_table(derived.pages_aug(spark, sf), CMS))
+    return lists.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
 @query
 def asset_kind(spark, sf):
     refs = links.asset_table(derived.pages_aug(spark, sf), GENERIC)

@@ -13,7 +13,7 @@ from ..functions.urls import canonicalize_url, is_internal, url_host
 from ..operators.frontier import endpoint_semi, frontier_union
 from ..operators.links import resolve_in_page, with_page
 from ..options import POSTS_API_PATH, CrawlOptions
-from .sitemaps import sitemap_urls
+from .sitemaps import sitemap_tree, sitemap_urls, tree_roots
 
 
 def site_table(base_urls: DataFrame) -> DataFrame:
@@ -72,12 +72,19 @@ def _ordered(df: DataFrame, place: int, *position: str) -> DataFrame:
 def seed_queue(
     sites: DataFrame, options: CrawlOptions, sitemaps: DataFrame | None = None, responses: DataFrame | None = None
 ) -> DataFrame:
-    """The queue before the first page: ``(site, url, order)``, duplicates allowed."""
+    """The queue before the first page: ``(site, url, order)``, duplicates allowed.
+
+    Sitemaps with an ``address`` are followed from each site's ``/sitemap.xml`` through their indexes; without, every document counts.
+    """
     slash = options.strip_slash
     base = sites.select("site", canonicalize_url("base_url", slash).alias("url"))
     parts = [_ordered(base.filter(F.col("url").isNotNull()), 0)]
     if sitemaps is not None and options.follow_sitemap:
-        parts.append(_ordered(sitemap_urls(sitemaps, slash, internal_only=True), 1, "doc", "pos"))
+        if "address" in sitemaps.columns:
+            tree = sitemap_tree(sitemaps, tree_roots(sites)).urls(slash, internal_only=True)
+            parts.append(_ordered(tree, 1, "doc", "pos"))
+        else:
+            parts.append(_ordered(sitemap_urls(sitemaps, slash, internal_only=True), 1, "doc", "pos"))
     if responses is not None and options.fetch_json:
         hits = rest_endpoint_hits(rest_endpoint_candidates(sites, options), responses)
         # Queued URLs are canonicalized when they are taken out.
