@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from webloom import CMS_EXPORT, GENERIC
 from webloom.operators import crawl, export, layout, ranking
 from webloom.operators.attempts import retry_outcome
+from webloom.operators.links import asset_rows, asset_table, link_rows, link_table, page_references
 from webloom.plans import clone, derived
 from webloom.plans.registry import QUERIES
 from webloom.session import scratch_path, written
@@ -522,3 +523,34 @@ def test_posting_lists_of_assets(spark):
     # An asset on all pages: rows of bounded width, one for each 32,768 pages.
     wide = layout.asset_pages(spark.range(100_000).selectExpr("'s' as site", "'u' as asset_url", "id as page_id"))
     assert [(r.n_pages, len(r.pages)) for r in wide.orderBy("block").collect()] == [(32768, 32768)] * 3 + [(1696, 1696)]
+
+
+def test_a_job_reads_each_page_text_once(spark):
+    """Links, assets, branch and the log of the queue come from one scan of the text; only saved pages are read again, to be rewritten."""
+    pages, sites = site_pages(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(html):
+        reads.add(1)
+        return html
+
+    job = clone.clone_cms_site(pages.withColumn("html", counted("html")), sites, CMS_EXPORT.with_(seed_paths=()))
+    for table in (job.crawl.log, job.assets(), job.asset_files(), job.manifest(), job.files(), job.conflicts(), job.queue_log()):
+        table.collect()
+    assert reads.value == pages.count()
+    assert job.page_files().count() == job.saved().count()
+
+
+def test_stored_references_equal_the_tables(spark):
+    pages = derived.pages_site(spark, SF)
+    for options in (GENERIC, CMS_EXPORT):
+        found = written(page_references(pages, options.strip_slash), "references")
+        links = link_rows(found.select("page_id", "src", "found.links"), internal_only=False)
+        assert links.exceptAll(link_table(pages, options.strip_slash, internal_only=False)).count() == 0 < links.count()
+        refs = asset_rows(found.select("page_id", "src", "found.refs"), options)
+        assert refs.exceptAll(asset_table(pages, options)).count() == 0 < refs.count() == asset_table(pages, options).count()
+        index = captures.lowest_page(found.select(F.col("src").alias("url"), "page_id", "branch"))
+        assert index.exceptAll(captures.page_index(pages, options.strip_slash, with_branch=True)).count() == 0 < index.count()
+    scan = found.select("found.refs")._jdf.queryExecution().executedPlan().toString()
+    assert "refs" in scan and "links" not in scan.partition("ReadSchema")[2]

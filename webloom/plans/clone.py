@@ -13,13 +13,13 @@ from ..functions.urls import is_internal
 from ..operators.crawl import crawl_reachability, link_edges, stored_edges
 from ..operators.export import numbered, positioned, records_of, wxr_channel, wxr_gate, wxr_items
 from ..operators.layout import asset_manifest, path_conflicts, path_winner
-from ..operators.links import asset_table, link_table, page_path
+from ..operators.links import asset_rows, link_rows, page_path, page_references
 from ..operators.queue import queue_entries, queue_log
 from ..operators.ranking import crawl_rank, max_pages_cap
 from ..operators.rewrite import rewrite_pages
 from ..options import CMS, CMS_EXPORT, GENERIC, CrawlOptions
 from ..session import written
-from ..sources.captures import failed_fetches, fetch_outcome, fetched_html, page_index, tried_fetches
+from ..sources.captures import failed_fetches, fetch_outcome, fetched_html, lowest_page, tried_fetches
 from ..sources.seeds import seed_queue
 
 
@@ -28,6 +28,7 @@ class SiteCrawl:
     """Visited URLs with rank and outcome, and what the later steps share."""
 
     sites: DataFrame
+    found: DataFrame  # page_id, src, branch, found: links and asset references of every page
     index: DataFrame
     ranked: DataFrame  # every reached URL, beyond the cap too
     log: DataFrame  # site, url, depth, rank, page_id, status, content_type, outcome
@@ -44,16 +45,19 @@ def crawl_sites(
     attempts: DataFrame | None = None,
 ) -> SiteCrawl:
     slash = options.strip_slash
-    index = written(page_index(pages, slash, with_branch=options.layout == "cms"), "index")
+    # The only parsing of the page text; everything after it reads the columns of this table.
+    found = written(page_references(pages, slash), "references")
+    branch = ["branch"] if options.layout == "cms" else []
+    index = written(lowest_page(found.select(F.col("src").alias("url"), "page_id", *branch)), "index")
     failed = failed_fetches(attempts, options)
     html = fetched_html(index, responses, options, failed)
-    # The only parsing of the page text; everything after it is narrow.
+    links = link_rows(found.select("page_id", "src", "found.links"))
     seeds = seed_queue(sites, options, sitemaps, responses)
-    with stored_edges(link_edges(link_table(pages, slash), html), options.edge_buckets) as edges:
+    with stored_edges(link_edges(links, html), options.edge_buckets) as edges:
         visited = crawl_reachability(seeds, edges, options.max_depth, options.max_pages)
     ranked = written(crawl_rank(visited).drop("order"), "ranked")
     log = written(fetch_outcome(max_pages_cap(ranked, options.max_pages), index, responses, options, failed), "log")
-    return SiteCrawl(sites, index, ranked, log, seeds, tried_fetches(attempts, options))
+    return SiteCrawl(sites, found, index, ranked, log, seeds, tried_fetches(attempts, options))
 
 
 def crawl_log(crawl: SiteCrawl, options: CrawlOptions) -> DataFrame:
@@ -112,10 +116,11 @@ class SiteClone:
     @cached_property
     def _assets(self) -> DataFrame:
         saved = self.saved().select("page_id", "rank")
-        return written(asset_table(self.pages, self.options).join(saved, "page_id"), "assets")
+        refs = self.crawl.found.select("page_id", "src", "found.refs")
+        return written(asset_rows(refs, self.options).join(saved, "page_id"), "assets")
 
     def assets(self) -> DataFrame:
-        """References to saved assets in saved pages. Page text is parsed in place and once; the join is narrow."""
+        """References to saved assets in saved pages. The page text is not read again; the join is narrow."""
         return self._assets
 
     def asset_files(self) -> DataFrame:
@@ -128,8 +133,8 @@ class SiteClone:
         return path_winner(refs.unionByName(crawled), keep="first")
 
     def queue_log(self) -> DataFrame:
-        """What became of every entry of the queue: ``operators.queue.queue_log``. Links are parsed in place once more, those off the site too."""
-        links = link_table(self.pages, self.options.strip_slash, internal_only=False)
+        """What became of every entry of the queue: ``operators.queue.queue_log``. Links off the site are entries too."""
+        links = link_rows(self.crawl.found.select("page_id", "src", "found.links"), internal_only=False)
         entries = queue_entries(self.crawl.seeds, links, self.saved())
         return queue_log(entries, crawl_log(self.crawl, self.options), self.crawl.tries)
 

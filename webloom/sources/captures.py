@@ -39,9 +39,14 @@ def page_index(pages: DataFrame, strip_slash: bool = False, with_branch: bool =
     """
     located = pages.select(
         canonicalize_url("url", strip_slash).alias("url"), "page_id", *([route_page_or_resource("html").alias("branch")] if with_branch else [])
-    ).filter(F.col("url").isNotNull())
-    branch = [F.min_by("branch", "page_id").alias("branch")] if with_branch else []
-    return located.groupBy("url").agg(F.min("page_id").alias("page_id"), *branch)
+    )
+    return lowest_page(located)
+
+
+def lowest_page(located: DataFrame) -> DataFrame:
+    """:func:`page_index` of pages ``(url, page_id)``, or ``(url, page_id, branch)``, whose URLs are canonical."""
+    branch = [F.min_by("branch", "page_id").alias("branch")] if "branch" in located.columns else []
+    return located.filter(F.col("url").isNotNull()).groupBy("url").agg(F.min("page_id").alias("page_id"), *branch)
 
 
 def page_source(frontier: DataFrame, pages: DataFrame, strip_slash: bool = False) -> DataFrame:
