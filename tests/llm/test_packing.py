@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from webloom.llm import packing, word_bpe
-from webloom.llm.queries import QUERIES, WORD_BPE
+from webloom.llm.more_queries import QUERIES, WORD_BPE
 
 from .test_documents import SCHEMA, SF, awkward_rows
 

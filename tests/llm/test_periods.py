@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 
 from webloom.llm import periodic_runs
-from webloom.llm.queries import QUERIES
+from webloom.llm.more_queries import QUERIES
 
 from . import brute
 from .test_documents import SCHEMA, SF, awkward_rows

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from webloom.llm import conversation_repair, role_grammar
-from webloom.llm.queries import QUERIES
+from webloom.llm.more_queries import QUERIES
 
 from . import brute
 
