@@ -18,7 +18,8 @@ from webloom.plans.registry import QUERIES
 from webloom.session import scratch_path, written
 from webloom.sinks import exports, files, imports, snapshots
 from webloom.sources import captures, seeds, sitemaps
-from webloom.streaming.discover import CAPTURED, discover_links, page_stream, run_stream, stream_discover_links
+from webloom.streaming import discover
+from webloom.streaming.discover import CAPTURED, PAGES, discover_links, page_stream, run_stream, stream_discover_links
 
 SF = "/root/testdata/sf0.001"
 
@@ -421,6 +422,20 @@ def test_a_stream_with_a_horizon_forgets(spark):
     assert max(held) < 8 and sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"]) >= 8
 
 
+def test_recent_links_take_a_batch_in_many_files(spark, monkeypatch):
+    """No task writes or reads a whole batch, and a batch of several files is one micro-batch; a second drain in the process works like the first."""
+    sf, drain, folders = scratch_path(spark, "given"), discover.stream_discover_links, set()
+    rows = [(i, f"http://s/{i}", f'<a href="/home">x</a><a href="/new{i % 5}">x</a>' + '<a href="/late">x</a>' * (i == 18)) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    monkeypatch.setattr(discover, "stream_discover_links", lambda spark, folder, *a, **k: folders.add(folder) or drain(spark, folder, *a, **k))
+    for _ in range(2):
+        found = {r.url.removeprefix("http://s/"): r.times for r in QUERIES["stream_recent_links"](spark, sf).collect()}
+        assert found == {"home": 2, **{f"new{b}": 1 for b in range(5)}}  # told again three batches later; the late page not at all
+        files = spark.read.parquet(*folders).selectExpr("page_id % 5 as batch", "input_file_name() as file").distinct().groupBy("batch").count().collect()
+        assert len(files) == 5 and min(r["count"] for r in files) > len(folders)
+    assert len(folders) == 2 and PAGES.fieldNames() == [f.name for f in PAGES.fields] and discover.URLS.fieldNames() == [f.name for f in discover.URLS.fields]
+
+
 def test_dates(spark):
     record = spark.createDataFrame([("s", "u", "t", "c", "g")], "site string, url string, title string, content string, slug string")
     items = export.wxr_items(export.numbered(record), "2024-02-29 23:05:06").first()

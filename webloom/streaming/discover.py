@@ -10,7 +10,7 @@ from ..operators.links import link_table
 from ..session import nullable, scratch_path
 
 PAGES = T.StructType().add("page_id", "long").add("url", "string").add("html", "string")
-CAPTURED = T.StructType(PAGES.fields).add("captured_at", "timestamp")
+CAPTURED = T.StructType([*PAGES.fields]).add("captured_at", "timestamp")
 URLS = T.StructType().add("site", "string").add("url", "string")
 
 BATCH_BYTES = 100 << 30  # of page files per micro-batch: a failure repeats at most that much
@@ -43,14 +43,18 @@ def discover_links(pages: DataFrame, strip_slash: bool = False, horizon: str | N
     return found.selectExpr("site", "dst as url", "captured_at").dropDuplicatesWithinWatermark(["site", "url"])
 
 
-def run_stream(found: DataFrame, out: str) -> StreamingQuery:
-    """Append discovered URLs to ``<out>/urls`` until nothing is left to read now; continues from ``<out>/checkpoint``."""
+def run_stream(found: DataFrame, out: str, whole: bool = False) -> StreamingQuery:
+    """Append discovered URLs to ``<out>/urls`` until nothing is left to read now; continues from ``<out>/checkpoint``.
+
+    With ``whole`` all that is there is one micro-batch, whatever its files and bytes, and no empty one follows it: state that the watermark has passed goes
+    with the next arrival. (``availableNow`` keeps to the limits of the source and would end with an empty micro-batch.)
+    """
     query = (
         found.writeStream.format("parquet")
         .option("path", f"{out}/urls")
         .option("checkpointLocation", f"{out}/checkpoint")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**({"once": True} if whole else {"availableNow": True}))
         .start()
     )
     query.awaitTermination()
@@ -66,13 +70,15 @@ def stream_discover_links(
     batch_bytes: int = BATCH_BYTES,
     batch_files: int | None = None,
     horizon: str | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Drain what is in the folder now and return all URLs discovered so far; with a ``horizon`` also when.
 
-    Give the same ``out`` again to continue from its checkpoint. The state store is the session's: see ``build_session``.
+    Give the same ``out`` again to continue from its checkpoint. ``whole`` takes what is new as one micro-batch, see :func:`run_stream`.
+    The state store is the session's: see ``build_session``.
     """
     out = out or scratch_path(spark, "discovered")
     pages = page_stream(spark, folder, files, batch_bytes, batch_files, CAPTURED if horizon else PAGES)
-    run_stream(discover_links(pages, strip_slash, horizon), out)
-    schema = T.StructType(URLS.fields).add("captured_at", "timestamp") if horizon else URLS
+    run_stream(discover_links(pages, strip_slash, horizon), out, whole)
+    schema = T.StructType([*URLS.fields]).add("captured_at", "timestamp") if horizon else URLS
     return spark.read.schema(nullable(schema)).parquet(f"{out}/urls")
