@@ -2,14 +2,17 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from webloom.llm import bpe, decontaminate, ngram_join, quality_gam, quality_rules, suffix_dedup, token_counts, training_order
 from webloom.llm.queries import BYTE_BPE, QUERIES
 
@@ -267,6 +270,62 @@ def test_suffix_digest_and_cleaning(awkward, empty):
     assert kept.filter("doc_id = 3").first().text == "one"
 
 
+def check_word_spans(df, length, **options):
+    rows = [r for r in table_of(df) if r[0] is not None]
+    words = [brute.SPACED.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    by_doc = {}
+    for r in suffix_dedup.repeated_spans(df, length, words=True, **options).collect():
+        by_doc.setdefault(r.doc_id, set()).update(range(r.begin, r.end))
+    n = 0
+    for (doc, _), w in zip(rows, words, strict=True):
+        want = {k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(i, i + length)}
+        assert by_doc.get(doc, set()) == want, doc
+        n += len(want)
+    return n
+
+
+@pytest.mark.parametrize(("length", "gram", "group"), [(51, 8, 2048), (12, 3, 2048), (12, 3, 1), (3, 1, 1)])
+def test_repeated_words(spark, awkward, length, gram, group):
+    rng = random.Random(length)
+    stock = [[f"s{rng.randrange(40)}" for _ in range(90)] for _ in range(6)]
+    parts = [rng.choice(stock)[rng.randrange(30) :][: rng.randrange(3, 80)] + [f"o{rng.randrange(900)}"] for _ in range(160)]
+    rows = [(d, rng.choice((" ", "\n", " \t ")).join(w for p in parts[2 * d : 2 * d + 2] for w in p)) for d in range(80)]
+    made = spark.createDataFrame([*rows, (80, None), (81, ""), rows[3]], "doc_id long, text string").repartition(6)
+    assert check_word_spans(made, length, gram=gram, group=group) > 0
+    assert check_word_spans(awkward, length, gram=gram, group=group) > 0
+
+
+def test_passages_below_the_byte_length(spark, tmp_path):
+    """51 equal words of some 300 bytes go, 50 stay; white space between them and letters of two bytes do not matter; leaks are left to the next stage."""
+    rng = random.Random(5)
+    own = [" ".join(f"o{rng.randrange(10**6)}" for _ in range(70)) for _ in range(11)]
+    word = iter(f"p{i:04}" for i in range(9000))
+    long, short = ([next(word) for _ in range(n)] for n in (51, 50))
+    accents = ["é" * 2 + next(word) for _ in range(60)]
+    assert len(" ".join(long)) == 305 and len(" ".join(accents).encode()) > 400
+    rows = [
+        (1, f"{own[0]} {' '.join(long)} {own[1]}"), (2, "\n".join(long) + "\n" + own[2]), (3, f"{own[3]} {' '.join(short)}"), (4, f"{' '.join(short)} {own[4]}"),
+        (5, f"{own[5]} {' '.join(accents)}"), (6, "\t".join(accents)), (7, None), (8, own[6]), (9, f"x{' '.join(long)} {own[7]}"),
+    ]
+    item = " ".join(next(word) for _ in range(55))
+    assert len(item) < 400
+    leaks = [(10, f"{own[8]} {item}"), (11, f"{item} {own[9]}"), (12, f"{own[10]} {' '.join(long)} {item[:80]}")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit("w")).repartition(4)
+    want = dict(rows) | {1: f"{own[0]}  {own[1]}", 2: f"\n{own[2]}", 5: f"{own[5]} ", 6: ""}
+    cleaned = suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs), suffix_dedup.repeated_spans(docs, 51, 8, words=True))
+    assert cleaned.columns == docs.columns
+    assert {r.doc_id: r.text for r in cleaned.collect()} == want
+    numbered = docs.unionByName(spark.createDataFrame(leaks, "doc_id long, text string").withColumn("words", F.lit("w")))
+    staged = corpus_pipeline.written(corpus_pipeline.repeated_passages(spark, numbered.withColumn("n_chars", F.lit(0)), str(tmp_path)), "staged")
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in staged.collect())
+    got = {r.doc_id: r.text for r in staged.collect()}
+    assert {d: t for d, t in got.items() if d < 10} == want
+    assert {d: t for d, t in got.items() if d >= 10} == dict(leaks)
+    assert {r.doc_id for r in corpus_pipeline.benchmark_leaks(spark, staged, str(tmp_path)).collect()} == set(want)
+
+
 def test_hash_collision_falls_back_to_bytes(monkeypatch):
     texts = [b"abcx", b"abdy", b"abcz", b"b", b""]
     wrong = suffix_dedup.Suffixes(texts)
